@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.fixed import (
@@ -14,6 +15,7 @@ from spendlens.fixed import (
     LABEL_SHARE,
 )
 from spendlens.functions.names import strings
+from spendlens.functions.rows import settled
 
 
 def prepare_labels(labels: Column) -> Column:
@@ -36,16 +38,24 @@ def keyword_weights(category: str) -> list[tuple[str, float]]:
 
 
 def category_score(prepared: Column, category: str) -> Column:
-    """Sum of depth x weight over labels and keywords, in list order."""
+    """Sum of depth x weight over labels and keywords, in list order.
 
-    def add(total: Column, label: Column) -> Column:
-        for keyword, weight in keyword_weights(category):
-            total = total + F.when(
-                label["text"].contains(keyword), label["depth"] * F.lit(weight)
-            ).otherwise(F.lit(0.0))
-        return total
-
-    return F.aggregate(prepared, F.lit(0.0), add)
+    The keywords are one constant array that is looped over: a branch per
+    keyword would not fit into a generated method.
+    """
+    rows = json.dumps([{"word": k, "weight": w} for k, w in keyword_weights(category)])
+    table = F.from_json(F.lit(rows), "array<struct<word:string,weight:double>>")
+    return F.aggregate(
+        prepared,
+        F.lit(0.0),
+        lambda total, label: F.aggregate(
+            table,
+            total,
+            lambda t, k: F.when(
+                label["text"].contains(k["word"]), t + label["depth"] * k["weight"]
+            ).otherwise(t),
+        ),
+    )
 
 
 def any_of(words: list[str]) -> str:
@@ -75,32 +85,31 @@ def score_order(prepared: Column, category: str) -> Column:
     )
 
 
-def map_labels(labels: Column) -> Column:
-    """Struct (category, confidence): the best-scoring category and its share.
+def map_labels(df: DataFrame, labels: str, out: str = "mapped") -> DataFrame:
+    """Adds struct (category, confidence): the best-scoring category and its share.
 
     A share below the limit keeps its confidence but names no category. Ties
     go to the category that scored first.
     """
-    prepared = prepare_labels(labels)
-    scored = F.array(
-        *[
-            F.struct(
-                category_score(prepared, c).alias("score"),
-                (-score_order(prepared, c)).alias("order"),
-                F.lit(c).alias("category"),
-            )
-            for c in LABEL_KEYWORDS
-        ]
-    )
-    # Total in order of first score, as the shares are defined on that sum.
-    scored = F.reverse(
-        F.array_sort(
-            F.filter(scored, lambda s: s["score"] > 0),
-            lambda a, b: (a["order"] - b["order"]).cast("int"),
-        )
+    kept = [c for c in df.columns if c != out]
+    prepared = df.withColumn("_prepared", prepare_labels(F.col(labels)))
+    scored = prepared.withColumn(
+        "_scored",
+        F.array(
+            *[
+                F.struct(
+                    score_order(F.col("_prepared"), c).alias("order"),
+                    category_score(F.col("_prepared"), c).alias("score"),
+                    F.lit(c).alias("category"),
+                )
+                for c in LABEL_KEYWORDS
+            ]
+        ),
     )
+    # In order of first score: the total adds up, and ties fall, in that order.
+    ranked = F.array_sort(F.filter("_scored", lambda s: s["score"] > 0))
     summary = F.aggregate(
-        scored,
+        ranked,
         F.struct(
             F.lit(0.0).alias("total"),
             F.lit(0.0).alias("best"),
@@ -111,11 +120,15 @@ def map_labels(labels: Column) -> Column:
             F.greatest(acc["best"], s["score"]).alias("best"),
             F.when(s["score"] > acc["best"], s["category"]).otherwise(acc["category"]).alias("category"),
         ),
-        lambda acc: F.struct(
-            F.when(acc["best"] / F.nullif(acc["total"], F.lit(0.0)) >= LABEL_SHARE, acc["category"]).alias(
-                "category"
-            ),
-            F.coalesce(acc["best"] / F.nullif(acc["total"], F.lit(0.0)), F.lit(0.0)).alias("confidence"),
-        ),
     )
-    return summary
+    totalled = scored.withColumn("_sum", summary)
+    share = F.coalesce(F.col("_sum.best") / F.nullif(F.col("_sum.total"), F.lit(0.0)), F.lit(0.0))
+    return settled(
+        totalled,
+        kept,
+        **{
+            out: F.struct(
+                F.when(share >= LABEL_SHARE, F.col("_sum.category")).alias("category"), share.alias("confidence")
+            )
+        },
+    )

@@ -37,21 +37,20 @@ def alias_variants(values: Column) -> Column:
 
 def with_priority(values: Column, priority: int) -> Column:
     return F.transform(
-        strings(values),
-        lambda v: F.struct(clean_text(v).alias("alias"), F.lit(priority).alias("priority")),
+        strings(values), lambda v: F.struct(v.alias("alias"), F.lit(priority).alias("priority"))
     )
 
 
 def ranked_aliases(groups: list[tuple[int, Column]]) -> Column:
     """Struct array (alias, priority): values cleaned, 3+ chars, first group wins."""
-    pairs = F.flatten(F.array(*[with_priority(values, p) for p, values in groups]))
+    listed = F.concat(*[with_priority(values, p) for p, values in groups])
+    pairs = F.transform(listed, lambda p: F.struct(clean_text(p["alias"]).alias("alias"), p["priority"].alias("priority")))
     pairs = F.filter(pairs, lambda p: F.length(p["alias"]) >= 3)
-    names = F.array_distinct(F.transform(pairs, lambda p: p["alias"]))
-    return F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("alias"),
-            F.element_at(F.filter(pairs, lambda p: p["alias"] == n), 1)["priority"].alias("priority"),
+    return F.aggregate(
+        pairs,
+        F.array().cast("array<struct<alias:string,priority:int>>"),
+        lambda acc, p: F.when(F.exists(acc, lambda a: a["alias"] == p["alias"]), acc).otherwise(
+            F.concat(acc, F.array(p))
         ),
     )
 

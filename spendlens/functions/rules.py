@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.fixed import DIRECTION_PATTERNS, RULES
-from spendlens.functions.cleaning import fold_case
+from spendlens.functions.cleaning import fold_case, guarded_rlike, needed_word
 from spendlens.options import DEFAULTS, Options
 
 DEFAULT_PRIORITY = 50
@@ -60,7 +60,9 @@ def rule_hits(rule: Rule, upper: Column) -> Column:
         return upper == rule.pattern.upper()
     if rule.kind == "contains":
         return upper.contains(rule.pattern.upper())
-    return upper.rlike("(?i)" + rule.pattern)
+    word = needed_word(rule.pattern)
+    found = upper.rlike("(?i)" + rule.pattern)
+    return found if word is None else upper.contains(word) & found
 
 
 def match_rules(
@@ -92,5 +94,5 @@ def detect_direction(raw: Column, options: Options = DEFAULTS) -> Column:
             F.lit(options.direction_confidence).alias("confidence"),
         )
         hit = F.when if picked is None else picked.when
-        picked = hit(upper.rlike(pattern), result)
+        picked = hit(guarded_rlike(upper, pattern), result)
     return picked

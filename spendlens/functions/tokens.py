@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.fixed import DESCRIPTOR_PHRASES, DESCRIPTOR_WORDS, LOCATIONS, NOISE_PATTERN
@@ -91,31 +91,42 @@ def tokens_with_role(roles: Column, role: str) -> Column:
     return F.transform(F.filter(roles, lambda r: r["role"] == role), lambda r: r["token"])
 
 
-def analyze(text: Column, brand_positions: Column | None = None) -> Column:
-    """Struct with the roles of every token, the brand query and the hints.
+def analyze(df: DataFrame, text: str, out: str = "decomposed", brands: str | None = None) -> DataFrame:
+    """Adds a struct with the role of every token, the brand query and the hints.
 
-    `brand_positions` lists 1-based positions of words known to be part of a
-    multi-word brand (see operators.brands).
+    `brands` names a column with the 1-based positions of words known to be part
+    of a multi-word brand (see operators.exact). Words, phrase hits and roles
+    are columns of their own on the way, so each is computed once per row.
     """
-    tokens = tokenize(text)
-    hits = phrase_hits(tokens)
-    roles = token_roles(tokens, hits, brand_positions)
-    brand = tokens_with_role(roles, "brand")
-    hints = F.array_distinct(
-        F.concat(
-            F.transform(hits, lambda h: h["hint"]),
-            F.filter(F.transform(roles, lambda r: r["hint"]), lambda h: h.isNotNull()),
-        )
+    kept = df.columns
+    named = df.withColumn("_words", tokenize(F.col(text)))
+    found = named.withColumn("_hits", phrase_hits(F.col("_words")))
+    branded = None if brands is None else F.coalesce(F.col(brands), F.array().cast("array<int>"))
+    judged = found.withColumn("_roles", token_roles(F.col("_words"), F.col("_hits"), branded))
+    brand = tokens_with_role(F.col("_roles"), "brand")
+    listed = judged.withColumn("_brand", brand).withColumn(
+        "_hints",
+        F.array_distinct(
+            F.concat(
+                F.transform("_hits", lambda h: h["hint"]),
+                F.filter(F.transform("_roles", lambda r: r["hint"]), lambda h: h.isNotNull()),
+            )
+        ),
     )
-    brand_query = F.when(F.size(tokens) == 0, F.lit("")).otherwise(
-        F.when(F.size(brand) > 0, F.concat_ws(" ", brand)).otherwise(text)
+    brand_query = (
+        F.when(F.size("_words") == 0, F.lit(""))
+        .when(F.size("_brand") > 0, F.concat_ws(" ", "_brand"))
+        .otherwise(F.col(text))
     )
-    return F.struct(
-        roles.alias("token_roles"),
-        brand.alias("brand_tokens"),
-        tokens_with_role(roles, "descriptor").alias("descriptor_tokens"),
-        tokens_with_role(roles, "location").alias("location_tokens"),
-        tokens_with_role(roles, "noise").alias("noise_tokens"),
-        brand_query.alias("brand_query"),
-        F.concat_ws("; ", hints).alias("descriptor_context"),
+    return listed.select(
+        *kept,
+        F.struct(
+            F.col("_roles").alias("token_roles"),
+            F.col("_brand").alias("brand_tokens"),
+            tokens_with_role(F.col("_roles"), "descriptor").alias("descriptor_tokens"),
+            tokens_with_role(F.col("_roles"), "location").alias("location_tokens"),
+            tokens_with_role(F.col("_roles"), "noise").alias("noise_tokens"),
+            brand_query.alias("brand_query"),
+            F.concat_ws("; ", "_hints").alias("descriptor_context"),
+        ).alias(out),
     )

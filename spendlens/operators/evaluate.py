@@ -11,6 +11,7 @@ from spendlens.fixed import CATEGORIES
 from spendlens.functions.labels import map_labels
 from spendlens.functions.names import strings
 from spendlens.functions.routing import is_category
+from spendlens.functions.rows import exploded
 from spendlens.functions.tokens import tokenize
 from spendlens.operators.ranking import top_n
 
@@ -171,10 +172,11 @@ def why_unmapped(df: DataFrame, labels: str = "raw_category_labels") -> DataFram
 
 def top_unmapped_labels(df: DataFrame, n: int, labels: str = "raw_category_labels") -> DataFrame:
     """Most frequent labels (first three per row) that map to nothing by themselves."""
-    counts = df.select(F.explode(F.slice(strings(F.col(labels)), 1, 3)).alias("label")).groupBy("label").agg(
+    counts = exploded(df, [], F.slice(strings(F.col(labels)), 1, 3), "label").groupBy("label").agg(
         F.count("*").alias("n")
     )
-    unmapped = counts.where(map_labels(F.array("label"))["category"].isNull())
+    mapped = map_labels(counts.withColumn("one", F.array("label")), "one", "m")
+    unmapped = mapped.where(F.col("m.category").isNull()).select("label", "n")
     return unmapped.orderBy(F.desc("n"), F.asc("label")).limit(n)
 
 
@@ -278,7 +280,7 @@ def majority_label(df: DataFrame, key: str, label: str, order: str) -> DataFrame
 
 
 def word_rows(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    return df.select(*keep, F.explode(tokenize(F.col(text))).alias("word"))
+    return exploded(df, list(keep), tokenize(F.col(text)), "word")
 
 
 def vocabulary_overlap(train: DataFrame, test: DataFrame, text: str) -> DataFrame:

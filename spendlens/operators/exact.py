@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions.rows import exploded
 from spendlens.functions.tokens import phrase_hits, phrase_positions, tokenize
 from spendlens.operators.ranking import top_n
 from spendlens.options import DEFAULTS, Options
@@ -59,7 +60,7 @@ def brand_windows(texts: DataFrame, text: str) -> DataFrame:
             ),
         )
 
-    return prepared.select(text, F.explode(F.concat(windows(3), windows(2))).alias("w")).select(text, "w.*")
+    return exploded(prepared, [text], F.concat(windows(3), windows(2)), "w").select(text, "w.*")
 
 
 def brand_positions(texts: DataFrame, aliases: DataFrame, text: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions.rows import posexploded
 from spendlens.functions.terms import index_words
 from spendlens.operators.ranking import top_n
 from spendlens.options import DEFAULTS, Options
@@ -25,7 +26,7 @@ class PairScorer(Protocol):
 
 def seed_list(exact: DataFrame, ids: str = "seed_ids") -> DataFrame:
     """(query_id, entry_id, score, rank) of exact-alias candidates in list order."""
-    return exact.select("query_id", F.posexplode(ids).alias("pos", "entry_id")).select(
+    return posexploded(exact, ["query_id"], ids, "pos", "entry_id").select(
         "query_id", "entry_id", F.lit(1.0).alias("score"), (F.col("pos") + 1).alias("rank")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.functions.cleaning import blank_to_null, clean_text
+from spendlens.functions.cleaning import blank_to_null, clean_text, with_clean
 from spendlens.functions.labels import map_labels
 from spendlens.functions.names import (
     alias_variants,
@@ -18,7 +18,8 @@ from spendlens.functions.names import (
     stable_id,
     strings,
 )
-from spendlens.operators.ranking import first_per_key, most_frequent
+from spendlens.functions.rows import exploded, posexploded
+from spendlens.operators.ranking import most_frequent
 from spendlens.seeds import SEED_SOURCE, SEEDS
 
 PLACE_SOURCE = "foursquare"
@@ -51,17 +52,16 @@ def place_entries(places: DataFrame, order: str = "position") -> DataFrame:
 
     Input: name, locality, region, labels (array), and a unique `order` column.
     """
-    named = places.select(
+    named = with_clean(places, "name", "canonical_name").select(
         F.col(order).alias("position"),
-        clean_text(F.col("name")).alias("canonical_name"),
+        "canonical_name",
         blank_to_null(F.col("name")).alias("display_name"),
         F.col("locality"),
         F.col("region"),
         F.coalesce(F.col("labels"), F.array().cast("array<string>")).alias("labels"),
     ).where(F.length("canonical_name") >= 3)
-    mapped = named.select(
+    mapped = map_labels(named, "labels", "m").select(
         "*",
-        map_labels(F.col("labels")).alias("m"),
         place_aliases(F.col("canonical_name"), F.col("display_name")).alias("ranked"),
         metadata_text(F.col("labels"), F.col("locality"), F.col("region"), F.lit(COUNTRY)).alias("metadata_text"),
         F.slice("labels", 1, KEPT_LABELS).alias("raw_category_labels"),
@@ -174,7 +174,7 @@ def duplicate_count(entries: DataFrame) -> DataFrame:
 def alias_table(entries: DataFrame) -> DataFrame:
     """Unique (alias, entry_id) with the highest priority."""
     return (
-        entries.select("entry_id", F.explode("aliases").alias("a"))
+        exploded(entries, ["entry_id"], "aliases", "a")
         .groupBy(F.col("a.alias").alias("alias"), "entry_id")
         .agg(F.max("a.priority").alias("priority"))
     )
@@ -182,15 +182,15 @@ def alias_table(entries: DataFrame) -> DataFrame:
 
 def restrict_to_candidates(places: DataFrame, candidates: DataFrame) -> DataFrame:
     """Places whose cleaned name is a candidate name (`name` column)."""
-    keyed = places.withColumn("canonical_name", clean_text(F.col("name")))
+    keyed = with_clean(places, "name", "canonical_name")
     wanted = candidates.select(F.col("name").alias("_wanted")).distinct()
     return keyed.join(wanted, F.col("canonical_name") == F.col("_wanted"), "left_semi")
 
 
 def named_places(places: DataFrame, order: str = "position") -> DataFrame:
     """Place rows keyed by cleaned name with trimmed optional fields."""
-    return places.select(
-        clean_text(F.col("name")).alias("canonical_name"),
+    return with_clean(places, "name", "canonical_name").select(
+        "canonical_name",
         F.col(order).alias("position"),
         blank_to_null(F.col("name")).alias("display_name"),
         blank_to_null(F.col("locality")).alias("locality"),
@@ -203,14 +203,13 @@ def named_places(places: DataFrame, order: str = "position") -> DataFrame:
 
 def label_rows(named: DataFrame) -> DataFrame:
     """One row per (place, label) with a running order for first-seen ties."""
-    return named.select(
-        "canonical_name", "position", F.posexplode("labels").alias("label_pos", "label")
-    ).withColumn("seen", F.struct("position", "label_pos"))
+    rows = posexploded(named, ["canonical_name", "position"], "labels", "label_pos", "label")
+    return rows.withColumn("seen", F.struct("position", "label_pos"))
 
 
 def category_shares(named: DataFrame) -> DataFrame:
     """Summed mapper confidence by (canonical_name, category)."""
-    mapped = named.select("canonical_name", "position", map_labels(F.col("labels")).alias("m"))
+    mapped = map_labels(named.select("canonical_name", "position", "labels"), "labels", "m")
     return (
         mapped.where(F.col("m.category").isNotNull() & (F.col("m.confidence") > 0))
         .groupBy("canonical_name", F.col("m.category").alias("category"))
@@ -353,7 +352,7 @@ def merge_entries(rows: DataFrame) -> DataFrame:
 
 def merged_set(keyed: DataFrame, name: str) -> DataFrame:
     """Union of a list column, sorted once two rows or more were merged."""
-    items = keyed.select("canonical_name", "position", F.posexplode(name).alias("i", "v"))
+    items = posexploded(keyed, ["canonical_name", "position"], name, "i", "v")
     distinct = items.groupBy("canonical_name", "v").agg(F.min(F.struct("position", "i")).alias("at"))
     counts = keyed.groupBy("canonical_name").agg(F.count("*").alias("rows"))
     collected = distinct.groupBy("canonical_name").agg(
@@ -368,7 +367,7 @@ def merged_set(keyed: DataFrame, name: str) -> DataFrame:
 
 def ordered_set(keyed: DataFrame, name: str) -> DataFrame:
     """Union of a list column in order of first appearance."""
-    items = keyed.select("canonical_name", "position", F.posexplode(name).alias("i", "v"))
+    items = posexploded(keyed, ["canonical_name", "position"], name, "i", "v")
     distinct = items.groupBy("canonical_name", "v").agg(F.min(F.struct("position", "i")).alias("at"))
     return distinct.groupBy("canonical_name").agg(
         F.transform(
@@ -396,9 +395,7 @@ def joined_texts(keyed: DataFrame, name: str) -> DataFrame:
 def remap_categories(entries: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """Entries with labels mapped again; `change` tells what happened to each."""
     has_labels = F.size(strings(F.col("raw_category_labels"))) > 0
-    mapped = entries.withColumn(
-        "_new", F.when(has_labels, map_labels(F.col("raw_category_labels")))
-    )
+    mapped = map_labels(entries, "raw_category_labels", "_new")
     old, new = F.col("mapped_category"), F.col("_new.category")
     old_confidence = F.coalesce("mapping_confidence", F.lit(0.0))
     moved = F.abs(F.col("_new.confidence") - old_confidence) > tolerance

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spendlens.functions.routing import is_category
+from spendlens.functions.rows import exploded
 from spendlens.operators.ranking import hashed_rank
 from spendlens.options import DEFAULTS, Options
 
 NOISE_LINES = "DeprecationWarning|node --trace|Loaded cached"
-PAIRS = T.ArrayType(T.StructType.fromDDL("description string, category string"))
+PAIRS = "array<struct<description:string,category:string>>"
 
 
 def label_batches(df: DataFrame, text: str, size: int = 30, template: str = "{transactions}") -> DataFrame:
@@ -74,7 +74,7 @@ def label_pairs(response: Column) -> Column:
 def parse_responses(df: DataFrame, response: str) -> DataFrame:
     """One row per labelled description."""
     keep = [c for c in df.columns if c != response]
-    return df.select(*keep, F.explode(label_pairs(F.col(response))).alias("p")).select(*keep, "p.*")
+    return exploded(df, keep, label_pairs(F.col(response)), "p").select(*keep, "p.*")
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, key: str, out: str) -> DataFrame:

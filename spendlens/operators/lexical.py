@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlens.functions.rows import exploded
 from spendlens.functions.terms import index_words, words_and_pairs
 from spendlens.operators.ranking import top_n
 
@@ -32,7 +33,7 @@ BUCKET_ROWS = 50_000
 def term_counts(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
     """(doc, term, tf) over the whole text of each document."""
     return (
-        docs.select(doc, F.explode(terms).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+        exploded(docs, [doc], terms, "term").groupBy(doc, "term").agg(F.count("*").alias("tf"))
     )
 
 
@@ -72,7 +73,7 @@ def bm25_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
     cut = docs.select(doc, index_words(F.col(text)).alias("tokens"))
     sized = cut.select(doc, F.size("tokens").alias("length"), "tokens")
     counts = (
-        sized.select(doc, "length", F.explode("tokens").alias("term"))
+        exploded(sized, [doc, "length"], "tokens", "term")
         .groupBy(doc, "length", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -91,7 +92,7 @@ def bm25_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
 def bm25_query_terms(queries: DataFrame, query: str, terms: Column) -> DataFrame:
     """(query, term, qweight): a repeated word counts once per repeat."""
     return (
-        queries.select(query, F.explode(terms).alias("term"))
+        exploded(queries, [query], terms, "term")
         .groupBy(query, "term")
         .agg(F.count("*").cast("double").alias("qweight"))
     )

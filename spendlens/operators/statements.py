@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens import fixed
+from spendlens.functions.rows import posexploded
 
 
 def page_lines(text: Column) -> Column:
@@ -134,7 +135,7 @@ def descriptions(pages: DataFrame, text: str, account_type: str, extra_boilerpla
         account_descriptions(F.col(text), extra_boilerplate)
     )
     keep = [c for c in pages.columns if c != text]
-    return pages.select(*keep, F.posexplode(card).alias("pos", "description"))
+    return posexploded(pages, keep, card, "pos", "description")
 
 
 def has_activity(text: Column) -> Column:

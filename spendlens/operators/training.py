@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.functions.cleaning import clean_text
+from spendlens.functions.cleaning import with_clean
 from spendlens.functions.labels import map_labels
 from spendlens.functions.names import strings
+from spendlens.functions.rows import exploded, posexploded
 from spendlens.operators.ranking import hashed_rank
 
 SEED = 42
@@ -29,7 +30,7 @@ def digest_part(hexes: Column, part: int) -> Column:
 
 def clean_rows(df: DataFrame, text: str) -> DataFrame:
     """Rows with a cleaned text; empty ones dropped."""
-    return df.withColumn("cleaned", clean_text(F.col(text))).where(F.col("cleaned") != "")
+    return with_clean(df, text).where(F.col("cleaned") != "")
 
 
 def stratified_split(df: DataFrame, ids: list[str], label: str, seed: int = SEED) -> DataFrame:
@@ -95,7 +96,7 @@ def augment(df: DataFrame, ids: list[str], text: str, per_row: int = 3, seed: in
     useful = F.array_distinct(F.filter(picked, lambda v: (v != F.col(text)) & (v != "")))
     every = F.concat(F.array(F.col(text)), useful)
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(every).alias("variant", text))
+    return posexploded(df, rest, every, "variant", text)
 
 
 def label_pool(entries: DataFrame) -> DataFrame:
@@ -103,10 +104,12 @@ def label_pool(entries: DataFrame) -> DataFrame:
 
     Columns: category, label, idx (from 0 within the category), size.
     """
-    pairs = entries.where(F.col("mapped_category").isNotNull()).select(
-        F.col("mapped_category").alias("category"), F.explode(strings(F.col("raw_category_labels"))).alias("label")
+    mapped = entries.where(F.col("mapped_category").isNotNull())
+    pairs = exploded(
+        mapped, [F.col("mapped_category").alias("category")], strings(F.col("raw_category_labels")), "label"
     )
-    own = pairs.distinct().where(map_labels(F.array("label"))["category"].eqNullSafe(F.col("category")))
+    alone = map_labels(pairs.distinct().withColumn("one", F.array("label")), "one", "m")
+    own = alone.where(F.col("m.category").eqNullSafe(F.col("category"))).select("category", "label")
     ranked = hashed_rank(own.withColumn("_digest", F.md5("label")), ["category"], "_digest", "_rank", "size")
     return ranked.select("category", "label", (F.col("_rank") - 1).alias("idx"), "size")
 
@@ -193,13 +196,13 @@ def distant_pairs(entries: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     names = F.array_distinct(
         F.concat(F.array("canonical_name"), F.transform("aliases", lambda a: a["alias"]))
     )
-    return kept.select(F.explode(names).alias("text"), F.col("mapped_category").alias("category")).distinct()
+    return exploded(kept, [F.col("mapped_category").alias("category")], names, "text").distinct()
 
 
 def positive_pairs(entries: DataFrame) -> DataFrame:
     """Distinct (anchor, positive): a name and each other alias of the same entry."""
     return (
-        entries.select(F.col("canonical_name").alias("anchor"), F.explode("aliases").alias("a"))
+        exploded(entries, [F.col("canonical_name").alias("anchor")], "aliases", "a")
         .select("anchor", F.col("a.alias").alias("positive"))
         .where(F.col("positive") != F.col("anchor"))
         .distinct()

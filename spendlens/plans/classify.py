@@ -7,7 +7,7 @@ from typing import NamedTuple, Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.cleaning import clean_text
+from spendlens.functions.cleaning import with_clean
 from spendlens.functions.names import enriched_text
 from spendlens.functions.routing import (
     descriptor_override,
@@ -17,6 +17,7 @@ from spendlens.functions.routing import (
     needs_review,
     second_opinion,
 )
+from spendlens.functions.rows import settled
 from spendlens.functions.rules import Rule, detect_direction, match_rules
 from spendlens.functions.tokens import analyze
 from spendlens.operators.embedding import Encoder
@@ -38,18 +39,16 @@ class Stage(NamedTuple):
 
 def quick_stages(df: DataFrame, text: str, rules: list[Rule] | None = None, options: Options = DEFAULTS) -> DataFrame:
     """Cleaned text and the answer of direction and rules, without a shuffle."""
-    cleaned = df.withColumn("cleaned", clean_text(F.col(text)))
+    cleaned = with_clean(df, text)
     judged = cleaned.withColumn("_d", detect_direction(F.col(text), options)).withColumn(
         "_r", match_rules(F.col("cleaned"), rules, options)
     )
-    return (
-        judged.withColumn("category", F.coalesce("_d.category", "_r.category"))
-        .withColumn("confidence", F.coalesce("_d.confidence", "_r.confidence"))
-        .withColumn(
-            "source",
-            F.when(F.col("_d").isNotNull(), "direction").when(F.col("_r").isNotNull(), "rules"),
-        )
-        .drop("_d", "_r")
+    return settled(
+        judged,
+        [c for c in cleaned.columns if c not in ("category", "confidence", "source")],
+        category=F.coalesce("_d.category", "_r.category"),
+        confidence=F.coalesce("_d.confidence", "_r.confidence"),
+        source=F.when(F.col("_d").isNotNull(), "direction").when(F.col("_r").isNotNull(), "rules"),
     )
 
 
@@ -70,9 +69,9 @@ def knowledge_answers(
     Columns: cleaned, category, confidence, source, model_text, enriched.
     """
     if kb is None:
-        context = analyze(F.col("cleaned"))["descriptor_context"] if options.use_tokens else F.lit("")
+        context = F.col("decomposed.descriptor_context") if options.use_tokens else F.lit("")
         none = F.lit(None).cast("string")
-        return texts.select("cleaned").distinct().select(
+        return analyze(texts.select("cleaned").distinct(), "cleaned").select(
             "cleaned",
             none.alias("category"),
             F.lit(None).cast("double").alias("confidence"),

@@ -7,7 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.cleaning import clean_text
+from spendlens.functions.cleaning import clean_text, with_clean
+from spendlens.functions.rows import settled
 from spendlens.functions.terms import query_words, role_words
 from spendlens.functions.tokens import analyze
 from spendlens.operators.dense import nearest
@@ -63,11 +64,9 @@ def index_knowledge(
 def decompose(texts: DataFrame, aliases: DataFrame | None, text: str = "text") -> DataFrame:
     """Texts with the struct of their token roles, brands joined from the aliases."""
     if aliases is None:
-        return texts.withColumn("decomposed", analyze(F.col(text)))
+        return analyze(texts, text)
     brands = brand_positions(texts, aliases, text)
-    joined = texts.join(brands, text, "left")
-    taken = F.coalesce("brand_positions", F.array().cast("array<int>"))
-    return joined.withColumn("decomposed", analyze(F.col(text), taken)).drop("brand_positions")
+    return analyze(texts.join(brands, text, "left"), text, brands="brand_positions").drop("brand_positions")
 
 
 def lexical_candidates(
@@ -129,15 +128,8 @@ def search(
     Only texts without a decisive alias reach the similarity joins.
     """
     asked = texts.select("text").distinct()
-    asked = decompose(asked, kb.aliases, "text") if use_tokens else asked.withColumn(
-        "decomposed", analyze(F.col("text"))
-    )
-    keyed = asked.select(
-        "text",
-        "decomposed",
-        F.md5("text").alias("query_id"),
-        clean_text(F.col("text")).alias("query"),
-    )
+    asked = decompose(asked, kb.aliases if use_tokens else None, "text")
+    keyed = with_clean(asked.select("text", "decomposed", F.md5("text").alias("query_id")), "text", "query")
     if use_tokens:
         keyed = keyed.withColumn("brand_query", F.col("decomposed.brand_query"))
     else:
@@ -149,8 +141,11 @@ def search(
 
     brand = clean_text(F.col("brand_query"))
     differs = (F.col("brand_query") != "") & (F.col("brand_query") != F.col("query"))
-    residue = first.where(~decisive).withColumn(
-        "brand", F.when(differs & (F.length(brand) >= options.min_query_chars), brand)
+    open_rows = first.where(~decisive)
+    residue = settled(
+        open_rows,
+        open_rows.columns,
+        brand=F.when(differs & (F.length(brand) >= options.min_query_chars), brand),
     )
     with_brand = lookup(residue.where(F.col("brand").isNotNull()), index, "brand", "brand_ids")
     without = residue.where(F.col("brand").isNull()).withColumn(

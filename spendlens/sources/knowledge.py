@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spendlens.functions.cleaning import blank_to_null, clean_text
 from spendlens.functions.names import clean_aliases, search_document, strings
@@ -13,11 +12,11 @@ from spendlens.operators.ranking import top_n
 from spendlens.options import DEFAULTS, Options
 from spendlens.sources.tables import current_version, publish, read_version
 
-RECORD_TYPE = T.StructType.fromDDL(
-    "entry_id string, id string, canonical_name string, display_name string, aliases array<string>,"
-    " stripped_aliases array<string>, raw_aliases array<string>, mapped_category string,"
-    " mapping_confidence double, metadata_text string, source string, raw_category_labels array<string>,"
-    " locality string, region string, country string"
+RECORDS = (
+    "array<struct<entry_id:string,id:string,canonical_name:string,display_name:string,aliases:array<string>,"
+    "stripped_aliases:array<string>,raw_aliases:array<string>,mapped_category:string,"
+    "mapping_confidence:double,metadata_text:string,source:string,raw_category_labels:array<string>,"
+    "locality:string,region:string,country:string>>"
 )
 
 ENTRY_FIELDS = [
@@ -34,7 +33,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     (`write_store`) or in JSON lines with a `position`, given to `load_records`.
     """
     whole = spark.read.text(path, wholetext=True)
-    parsed = F.from_json(F.col("value"), T.ArrayType(RECORD_TYPE))
+    parsed = F.from_json(F.col("value"), RECORDS)
     return whole.select(F.posexplode(parsed).alias("position", "r")).select("position", "r.*")
 
 

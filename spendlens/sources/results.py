@@ -6,11 +6,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RUN_TYPE = T.StructType.fromDDL(
-    "version string, model_type string, metrics string, parameters string, train_rows long, notes string"
-)
+RUN_TYPE = "version string, model_type string, metrics string, parameters string, train_rows long, notes string"
 
 
 def write_rows(df: DataFrame, path: str, form: str = "parquet") -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.functions.cleaning import clean_text
+from spendlens.functions.cleaning import with_clean
 
 TRANSACTION_SCHEMA = (
     "date string, description string, amount double, type string, source_file string, account_type string"
@@ -23,7 +23,7 @@ def candidate_names(rows: DataFrame, column: str | None = None) -> DataFrame:
     column = column or next((c for c in NAME_COLUMNS if c in rows.columns), None)
     if column is None or column not in rows.columns:
         raise ValueError("no usable text column")
-    return rows.select(clean_text(F.col(column)).alias("name")).where(F.length("name") >= 3).distinct()
+    return with_clean(rows.select(column), column, "name").select("name").where(F.length("name") >= 3).distinct()
 
 
 def training_rows(rows: DataFrame) -> DataFrame:

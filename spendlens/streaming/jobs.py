@@ -41,7 +41,7 @@ def classify_stream(
     `names` (see decisive_names) is static: stream-static left joins keep no
     state. Similarity search needs whole tables; use classify_batches for it.
     """
-    rows = quick_stages(stream, text, rules, options).withColumn("_a", analyze(F.col("cleaned")))
+    rows = analyze(quick_stages(stream, text, rules, options), "cleaned", "_a")
     context = F.col("_a.descriptor_context")
     if names is not None:
         for n, key in enumerate((F.col("cleaned"), F.col("_a.brand_query"))):
