@@ -30,6 +30,12 @@ def vector_key(vector: Column) -> Column:
     return F.md5(F.concat_ws(",", vector.cast("array<string>")))
 
 
+def plain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Strings as Python objects: one Arrow chunk per column on the way out."""
+    texts = [c for c in pdf.columns if pd.api.types.is_string_dtype(pdf[c].dtype)]
+    return pdf.astype({c: object for c in texts})
+
+
 def unit_rows(vectors) -> np.ndarray:
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -59,7 +65,7 @@ def with_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
             if len(pdf):
                 apart = distances(unit_rows(pdf["vector"]), pivots)
                 cell = apart.argmin(1)
-                yield pdf.assign(cell=cell.astype(np.int32), radius=apart[np.arange(len(pdf)), cell])
+                yield plain(pdf.assign(cell=cell.astype(np.int32), radius=apart[np.arange(len(pdf)), cell]))
 
     return df.mapInPandas(assign, schema)
 
@@ -89,7 +95,7 @@ def join_blocks(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     kind = corpus.schema["entry_id"].dataType.simpleString()
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return best_in_block(k, left, right)
+        return plain(best_in_block(k, left, right))
 
     keys = ["cell", "qpart", "part"]
     return (
@@ -140,12 +146,14 @@ def visits(
                 where=gap > 0,
             )
             row, cell = np.nonzero(np.maximum(bound, plane) <= reach + SLACK)
-            yield pd.DataFrame(
-                {
-                    "vkey": pdf["vkey"].to_numpy()[row],
-                    "vector": pdf["vector"].to_numpy()[row],
-                    "cell": cell.astype(np.int32),
-                }
+            yield plain(
+                pd.DataFrame(
+                    {
+                        "vkey": pdf["vkey"].to_numpy()[row],
+                        "vector": pdf["vector"].to_numpy()[row],
+                        "cell": cell.astype(np.int32),
+                    }
+                )
             )
 
     return run
