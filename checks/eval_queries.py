@@ -228,12 +228,11 @@ def e18_by_cleaned(spark, sf):
 , c AS (SELECT cleaned, category, count(*) AS n, min(txn_key) AS seen FROM judged GROUP BY ALL)
 SELECT cleaned, category, n FROM (SELECT *, row_number() OVER (PARTITION BY cleaned ORDER BY n DESC, seen) AS r FROM c) WHERE r = 1""")
 def e19_majority_label(spark, sf):
-    # Equal counts of categories first seen in the same key are told apart by neither side; keys differ per category here.
     return ev.majority_label(judged(spark, sf), "cleaned", "category", "txn_key")
 
 
 WORDS = """
-words AS (SELECT doc_id % 4 = 0 AS test, lang, unnest(string_split_regex(upper(trim(text)), '\\s+')) AS word FROM documents),
+words AS (SELECT doc_id % 4 = 0 AS test, lang, unnest(string_split_regex(upper(replace(trim(text), 'ß', 'ss')), '\\s+')) AS word FROM documents),
 kept AS (SELECT * FROM words WHERE word <> '')"""
 
 
