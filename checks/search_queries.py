@@ -29,6 +29,7 @@ from spendlens.operators.lexical import (
 from spendlens.operators.models import cosine
 from spendlens.plans.classify import classify
 from spendlens.plans.search import index_knowledge, search
+from spendlens.session import cut_lineage
 
 LOOKUP = """
 ids AS (SELECT alias, string_agg(entry_id, '|' ORDER BY priority DESC, entry_id) AS entry_ids, count(*) AS n FROM (
@@ -119,7 +120,7 @@ post_{out} AS MATERIALIZED (SELECT t.id, t.term,
 
 
 BENCH_WORDS = """
-bq AS (SELECT item_id, unnest(list_transform(list_filter(regexp_extract_all(upper(text), '[A-Z0-9]+'), lambda x: length(x) >= 2)[1:8], lambda x: lower(x))) AS term FROM benchmark),
+bq AS (SELECT item_id, unnest(list_transform(list_filter(regexp_extract_all(upper(replace(text, 'ß', 'ss')), '[A-Z0-9]+'), lambda x: length(x) >= 2)[1:8], lambda x: lower(x))) AS term FROM benchmark),
 scores AS (SELECT item_id, id AS doc_id, round(sum(weight), 6) AS score FROM bq JOIN post_d USING (term) GROUP BY ALL)"""
 
 
@@ -303,13 +304,13 @@ def r9_r12_gates(spark, sf):
 
 
 def stored_entries(spark, sf):
-    """Entries held as a table, the way a store holds them."""
-    return kb_entries(spark, sf).persist()
+    """Entries written out, the way a store holds them."""
+    return cut_lineage(kb_entries(spark, sf))
 
 
 def knowledge(spark, sf, lexical="bm25", dense=False):
     entries = stored_entries(spark, sf)
-    return index_knowledge(entries, alias_table(entries).persist(), lexical, dense)
+    return index_knowledge(entries, alias_table(entries), lexical, dense)
 
 
 @query("j14_search_tokens")

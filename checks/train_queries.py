@@ -9,6 +9,7 @@ from checks.views import judged, kb_entries, table, txn
 from spendlens.operators import models as m
 from spendlens.operators import training as tr
 from spendlens.operators.dense import nearest
+from spendlens.session import cut_lineage
 
 IDS = ["raw"]
 UNIQUE = """, u AS MATERIALIZED (SELECT raw, any_value(cleaned) AS cleaned, min(label) AS category FROM judged WHERE label IS NOT NULL AND cleaned <> '' GROUP BY raw),
@@ -109,7 +110,7 @@ SELECT raw, category, CASE WHEN lbl IS NULL THEN cleaned WHEN h1 % 100 < 30 THEN
 
 @query("t6_enriched_training", q.with_(*KB_CTES, q.TXN, q.CLEANED, q.JUDGED) + POOL + DRAWS)
 def t6_enriched_training(spark, sf):
-    entries = kb_entries(spark, sf).persist()
+    entries = cut_lineage(kb_entries(spark, sf))
     rows = tr.enrich(
         unique(spark, sf), IDS, "cleaned", "category", tr.label_pool(entries).persist(), tr.location_pool(entries).persist()
     )
@@ -140,7 +141,7 @@ a AS (SELECT k.*, ({hexnum("dg", 0)} % greatest((SELECT count(*) FROM cls) - 1,
 SELECT a.canonical_name AS anchor, a.category, n.canonical_name AS negative, n.category AS negative_category
 FROM a JOIN cls c ON c.pos = a.p JOIN k n ON n.category = c.category AND n.rn = 1 + {hexnum("a.dg", 1)} % c.size""")
 def t8_negative_pairs(spark, sf):
-    return tr.negative_pairs(kb_entries(spark, sf).persist())
+    return tr.negative_pairs(cut_lineage(kb_entries(spark, sf)))
 
 
 @query("t9_pseudo_labels", q.with_(q.TXN, q.CLEANED, q.JUDGED) + """

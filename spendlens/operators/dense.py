@@ -73,7 +73,7 @@ def with_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 def best_in_block(k: int, queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
     """k best corpus rows per query row of one block pair."""
     if not len(queries) or not len(corpus):
-        return pd.DataFrame({"qkey": [], "entry_id": [], "similarity": []})
+        return pd.DataFrame({"qkey": [], "entry_id": [], "similarity": []}, dtype=object)
     scores = np.round(np.clip(unit_rows(queries["vector"]) @ unit_rows(corpus["vector"]).T, 0.0, 1.0), DIGITS)
     ids = corpus["entry_id"].to_numpy()
     order = np.argsort(ids, kind="stable")

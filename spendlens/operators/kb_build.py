@@ -108,7 +108,7 @@ def seed_entries(seeds: DataFrame) -> DataFrame:
         F.trim(F.coalesce(F.col("metadata_text"), F.lit(""))).alias("metadata_text"),
         source.alias("source"),
         F.filter(
-            F.transform(strings(optional(seeds, "raw_category_labels", strings_type)), F.trim),
+            F.transform(strings(optional(seeds, "raw_category_labels", strings_type)), lambda v: F.trim(v)),
             lambda v: v != "",
         ).alias("raw_category_labels"),
         *[
@@ -196,7 +196,7 @@ def named_places(places: DataFrame, order: str = "position") -> DataFrame:
         blank_to_null(F.col("locality")).alias("locality"),
         blank_to_null(F.col("region")).alias("region"),
         F.transform(
-            F.filter(strings(F.col("labels")), lambda v: v != ""), F.trim
+            F.filter(strings(F.col("labels")), lambda v: v != ""), lambda v: F.trim(v)
         ).alias("labels"),
     )
 
@@ -312,7 +312,7 @@ def merge_entries(rows: DataFrame) -> DataFrame:
         ).otherwise(aliases).alias("aliases"),
         clean_aliases(optional(rows, "stripped_aliases", strings_type)).alias("stripped_aliases"),
         F.filter(
-            F.transform(strings(optional(rows, "raw_aliases", strings_type)), F.trim), lambda v: v != ""
+            F.transform(strings(optional(rows, "raw_aliases", strings_type)), lambda v: F.trim(v)), lambda v: v != ""
         ).alias("raw_aliases"),
         strings(optional(rows, "raw_category_labels", strings_type)).alias("raw_category_labels"),
         "mapped_category",

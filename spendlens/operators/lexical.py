@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.rows import exploded
 from spendlens.functions.terms import index_words, words_and_pairs
 from spendlens.operators.ranking import top_n
+from spendlens.session import cut_lineage
 
 # BM25 parameters and the floor of its term weight.
 K1 = 1.2
@@ -140,7 +141,7 @@ def sparse_top_k(
     Scores are rounded to six digits before ranking; ties go to the smaller
     document id. Only scores above zero are returned.
     """
-    postings = postings.select(doc, "term", "weight").persist()
+    postings = cut_lineage(postings.select(doc, "term", "weight"))
     rows, sizes = bucketed(postings, doc)
     tops = sizes.groupBy("term").agg(F.max("top").alias("term_top"))
     wanted = query_terms.join(tops, "term").withColumn("most", F.col("qweight") * F.col("term_top"))
@@ -152,8 +153,8 @@ def sparse_top_k(
         .withColumn("upto", F.sum("most").over(small_first.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("all_most", F.sum("most").over(Window.partitionBy(query)))
         .withColumn("idle", F.col("upto") < F.col("floor"))
-        .persist()
     )
+    plan = cut_lineage(plan)
     readable = (
         plan.where(~F.col("idle"))
         .join(sizes, "term")
@@ -171,7 +172,7 @@ def sparse_top_k(
         F.first("floor").alias("floor"),
         F.sum(F.when(F.col("idle"), F.col("most")).otherwise(0.0)).alias("idle_most"),
     )
-    alive = (
+    alive = cut_lineage(
         partial.join(limits, query)
         .where(F.col("partial") + F.col("idle_most") >= F.col("floor"))
         .select(query, doc, "partial")

@@ -11,7 +11,7 @@ from spendlens.functions.rows import posexploded
 
 def page_lines(text: Column) -> Column:
     """Trimmed lines of a page."""
-    return F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), "\n"), F.trim)
+    return F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), "\n"), lambda v: F.trim(v))
 
 
 def pages_from_lines(lines: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:

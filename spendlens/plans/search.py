@@ -23,6 +23,7 @@ from spendlens.operators.lexical import (
     tfidf_query_terms,
 )
 from spendlens.options import DEFAULTS, Options
+from spendlens.session import cut_lineage
 
 
 class Knowledge(NamedTuple):
@@ -83,7 +84,8 @@ def lexical_candidates(
         if use_tokens:
             by_role = role_words(F.col("decomposed.brand_tokens"), F.col("decomposed.descriptor_tokens"))
             words = F.when(F.size(by_role) > 0, by_role).otherwise(words)
-        wanted = bm25_query_terms(queries, "query_id", words)
+        asked = queries.select("query_id", words.alias("words"))
+        wanted = bm25_query_terms(asked, "query_id", F.col("words"))
         score = 1.0 / F.col("rank")
     ranked = sparse_top_k(wanted, kb.postings, options.lexical_candidates, "query_id", "entry_id")
     return ranked.withColumn("score", score)
@@ -135,8 +137,10 @@ def search(
     else:
         keyed = keyed.withColumn("brand_query", F.col("query"))
     long_enough = F.length("query") >= options.min_query_chars
-    index = alias_index(kb.aliases, options).persist()
-    first = lookup(keyed.where(long_enough), index, "query", "exact_ids").persist()
+    index = alias_index(kb.aliases, options)
+    # Both residues feed several joins: written out once, they also keep the plans short.
+    keyed = cut_lineage(keyed)
+    first = cut_lineage(lookup(keyed.where(long_enough), index, "query", "exact_ids"))
     decisive = F.size("exact_ids") == 1
 
     brand = clean_text(F.col("brand_query"))
@@ -151,7 +155,7 @@ def search(
     without = residue.where(F.col("brand").isNull()).withColumn(
         "brand_ids", F.array().cast("array<string>")
     )
-    second = with_brand.unionByName(without).persist()
+    second = cut_lineage(with_brand.unionByName(without))
     brand_decisive = F.size("brand_ids") == 1
 
     open_queries = second.where(~brand_decisive).withColumn(

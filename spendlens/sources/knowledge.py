@@ -44,7 +44,7 @@ def load_records(records: DataFrame) -> DataFrame:
     """
     aliases = clean_aliases(F.col("aliases"))
     name = clean_text(F.col("canonical_name"))
-    trimmed = lambda c: F.filter(F.transform(strings(F.col(c)), F.trim), lambda v: v != "")
+    trimmed = lambda c: F.filter(F.transform(strings(F.col(c)), lambda v: F.trim(v)), lambda v: v != "")
     shaped = records.select(
         F.coalesce(
             blank_to_null(F.col("entry_id")), blank_to_null(F.col("id")), F.concat(F.lit("merchant:"), F.col("position"))
