@@ -180,7 +180,7 @@ def j8_hashed_vectors(spark, sf):
 LISTS = """
 li AS (SELECT l_orderkey, l_partkey, max(l_extendedprice) AS price, max(l_quantity) AS quantity, max(l_discount) AS discount
   FROM lineitem GROUP BY ALL),
-lex AS (SELECT l_orderkey, l_partkey, round(price / 200000.0, 6) AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY price DESC, l_partkey) AS rank FROM li),
+lex AS (SELECT l_orderkey, l_partkey, price / 262144.0 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY price DESC, l_partkey) AS rank FROM li),
 den AS (SELECT l_orderkey, l_partkey, quantity / 50.0 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY quantity DESC, l_partkey) AS rank FROM li),
 see AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rank FROM li WHERE discount >= 0.09),
 lists AS (SELECT l_orderkey, l_partkey, 'lexical' AS list, score, 0.8 / (20 + rank) AS share, 1 AS o, rank FROM lex WHERE rank <= 3
@@ -201,7 +201,7 @@ def fused_lists(spark, sf):
     ).agg(F.max("l_extendedprice").alias("price"), F.max("l_quantity").alias("quantity"), F.max("l_discount").alias("discount"))
     entry = F.col("part").cast("string").alias("entry_id")
     lexical = top_n(li, ["query_id"], [F.desc("price"), F.asc("part")], 3).select(
-        "query_id", entry, F.round(F.col("price") / 200000.0, 6).alias("score"), "rank")
+        "query_id", entry, (F.col("price") / 262144.0).alias("score"), "rank")
     dense = top_n(li, ["query_id"], [F.desc("quantity"), F.asc("part")], 3).select(
         "query_id", entry, (F.col("quantity") / 50.0).alias("score"), "rank")
     seeds = top_n(li.where("discount >= 0.09"), ["query_id"], [F.asc("part")], 1000).select(
@@ -210,10 +210,10 @@ def fused_lists(spark, sf):
 
 
 @query("j9_fusion", q.with_(LISTS) + """
-SELECT query_id, entry_id, lexical_score, dense_score, is_seed, round(fused_score, 9) AS fused_score FROM fused""")
+SELECT query_id, entry_id, round(lexical_score, 9) AS lexical_score, dense_score, is_seed, round(fused_score, 9) AS fused_score FROM fused""")
 def j9_fusion(spark, sf):
     return fused_lists(spark, sf).select(
-        "query_id", "entry_id", "lexical_score", "dense_score", "is_seed", F.round("fused_score", 9).alias("fused_score")
+        "query_id", "entry_id", F.round("lexical_score", 9).alias("lexical_score"), "dense_score", "is_seed", F.round("fused_score", 9).alias("fused_score")
     )
 
 

@@ -1,6 +1,6 @@
 """Statement lines, label collection, corrections, streaming."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from checks.views import judged, lines, statement_lines, table, txn
 from spendlens import fixed
 from spendlens.operators import labelling as lb
 from spendlens.operators import statements as st
+from spendlens.session import shared_folder
 from spendlens.streaming.jobs import classify_stream, drop_repeats, monitor, upsert_corrections
 
 
@@ -200,7 +201,7 @@ def run_stream(df, name, mode):
     """The result of a stream over the files there are, as a table of its own."""
     spark = df.sparkSession
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    running = writer.option("checkpointLocation", tempfile.mkdtemp(prefix="spendlens-stream-")).start()
+    running = writer.option("checkpointLocation", f"{shared_folder(spark)}/spendlens-stream-{uuid.uuid4().hex}").start()
     running.awaitTermination()
     return spark.table(name)
 
@@ -253,7 +254,7 @@ def x2_monitor(spark, sf):
 @query("x3_correction_table", q.with_(LOG) + " SELECT description, predicted_category, correct_category FROM latest")
 def x3_correction_table(spark, sf):
     """Two micro-batches and a repeat of the second, upserted."""
-    root = tempfile.mkdtemp(prefix="spendlens-corrections-")
+    root = f"{shared_folder(spark)}/spendlens-corrections-{uuid.uuid4().hex}"
     log = correction_log(spark, sf)
     half = log.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
     for number, part in ((0, log.where(F.col("event_id") > half)), (1, log.where(F.col("event_id") <= half)), (1, log)):
