@@ -333,6 +333,7 @@ def merge_entries(rows: DataFrame) -> DataFrame:
         earliest("region"),
         earliest("country"),
         F.min_by("source", "position").alias("source"),
+        F.min_by("raw_category_labels", "position").alias("_own_labels"),
         F.max_by(
             F.struct("mapped_category"), F.struct("mapping_confidence", -F.col("position"))
         )["mapped_category"].alias("mapped_category"),
@@ -343,9 +344,11 @@ def merge_entries(rows: DataFrame) -> DataFrame:
         out = out.join(merged_set(keyed, name), "canonical_name", "left").withColumn(
             name, strings(F.col(name))
         )
+    # A row that met no other keeps its labels as they are, repeats included.
     out = out.join(ordered_set(keyed, "raw_category_labels"), "canonical_name", "left").withColumn(
-        "raw_category_labels", strings(F.col("raw_category_labels"))
-    )
+        "raw_category_labels",
+        F.when(F.col("merged") == 1, F.col("_own_labels")).otherwise(strings(F.col("raw_category_labels"))),
+    ).drop("_own_labels")
     out = out.join(joined_texts(keyed, "metadata_text"), "canonical_name", "left")
     return out.withColumn("metadata_text", F.coalesce("metadata_text", F.lit("")))
 
