@@ -28,7 +28,7 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if hasattr(value, "tolist"):
         value = value.tolist()
