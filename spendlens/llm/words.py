@@ -91,7 +91,7 @@ def _split(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return LOWER[data], np.flatnonzero(inside & ~left), np.flatnonzero(inside & ~right) + 1
 
 
-def _hashed(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hashed(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = _power_tables()
     if len(low) > BLOCK:  # only with a single word longer than a block
         out = np.empty(len(start), dtype=np.uint64)
@@ -110,7 +110,7 @@ def _hashed(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _of(first: int, last: int, data: np.ndarray, at: np.ndarray, **part) -> Words:
     low, start, end = _split(data, at[:-1])
     row = np.repeat(np.arange(last - first), np.diff(np.searchsorted(start, at)))
-    return Words(first, last, low, start, end, row, _hashed(low, start, end), **part)
+    return Words(first, last, low, start, end, row, hashed(low, start, end), **part)
 
 
 def word_blocks(column: pa.Array, overlap: int) -> Iterator[Words]:
