@@ -79,12 +79,15 @@ def _bytes_of_signs() -> dict[str, int]:
 
 
 class Ids:
-    def __init__(self, path: str):
+    """`plain`: the strings of special tokens are ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = [s.encode() for s in added]
+        self.special = [] if plain else [s.encode() for s in added]
         self.keys = np.zeros(SLOTS, dtype=np.uint64)
         self.sizes = np.full(SLOTS, -1, dtype=np.int32)
         self.counts = np.zeros(SLOTS, dtype=np.uint8)
@@ -177,23 +180,25 @@ class Ids:
         return np.concatenate(out_ids), np.array(out_counts, dtype=np.int64)
 
 
-_loaded: dict[str, Ids] = {}
+_loaded: dict[tuple[str, bool], Ids] = {}
 
 
-def ids_of(path: str) -> Ids:
+def ids_of(path: str, plain: bool = False) -> Ids:
     """The tokenizer of a file, loaded once per worker."""
-    if path not in _loaded:
-        _loaded[path] = Ids(path)
-    return _loaded[path]
+    if (path, plain) not in _loaded:
+        _loaded[path, plain] = Ids(path, plain)
+    return _loaded[path, plain]
 
 
-def token_blocks(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def token_blocks(
+    column: pa.Array, path: str, plain: bool = False
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, ids in a row, count per text) for a column in blocks of bounded size; null is empty.
 
     A text longer than a block is encoded in parts, cut before a space between two ASCII letters, where a
     pre-token always starts.
     """
-    coder = ids_of(path)
+    coder = ids_of(path, plain)
     at, data = utf8(column)
     n, row, size = len(at) - 1, 0, BLOCK // 4
     while row < n:
