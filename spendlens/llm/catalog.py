@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from spendlens.llm import decontaminate, packing, shards, token_files  # noqa: F401
+from spendlens.llm import decontaminate, jaccard, packing, shards, token_files  # noqa: F401
 from spendlens.llm.registry import ORACLES, QUERIES  # noqa: F401
