@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from spendlens.llm import decontaminate, fingerprint, jaccard, packing, shards, token_files, warc  # noqa: F401
+from spendlens.llm import decontaminate, fingerprint, jaccard, language, packing, shards, token_files, warc  # noqa: F401
 from spendlens.llm.registry import ORACLES, QUERIES  # noqa: F401
