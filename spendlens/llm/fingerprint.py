@@ -156,7 +156,7 @@ def _range_of(value: Column, tie: Column, splits: list[tuple[int, int]]) -> Colu
         return (p["i"] < value) | ((p["i"] == value) & (p["t"] <= tie))
 
     group = F.size(F.filter(points, lambda g: passed(g[0])))
-    inner = F.size(F.filter(F.element_at(points, group), passed))
+    inner = F.size(F.filter(F.element_at(points, F.greatest(group, F.lit(1))), passed))
     return F.when(group == 0, 0).otherwise((group - 1) * size + inner)
 
 

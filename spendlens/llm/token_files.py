@@ -118,7 +118,7 @@ def count_tokens(
         "block",
         F.expr(f"block div {RUN}").alias("run"),
         F.size("ends").cast("long").alias("n"),
-        F.element_at("ends", -1).alias("last"),
+        F.try_element_at("ends", F.lit(-1)).alias("last"),
     )
     # Prefix scan in two steps: over runs of blocks, then over the blocks of each run.
     runs = summary.groupBy("file", "run").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
@@ -141,7 +141,7 @@ def count_tokens(
     joined = found.join(carried, ["file", "block"]).join(tails, "file")
     # Each document's start is the separator before it; ids after a file's last separator make an open document.
     open_end = (F.col("block") == F.col("last_block")) & (
-        F.coalesce(F.element_at("ends", -1) + 1, F.col("start")) < F.col("stop")
+        F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, F.col("start")) < F.col("stop")
     )
     stops = F.when(open_end, F.concat("ends", F.array("stop"))).otherwise(F.col("ends"))
     rows = joined.select("file", "number", "start", "ends", F.posexplode(stops).alias("i", "at"))
