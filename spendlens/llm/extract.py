@@ -207,6 +207,12 @@ BOXES = [
     ("inside", '<aside class="related"><h3>{0}</h3><ul><li><a href="/r">{1}</a></li></ul></aside>'),
     ("inside", '<form action="/s"><label>{0}</label><input name="q"><button>{1}</button></form>'),
     ("inside", '<div class="share social"><a href="/f">{0}</a></div>'),
+    ("inside", '<section class="comments"><p>{0}</p><p>{1}</p></section>'),
+    ("inside", '<div class="comment-list"><div class="comment"><p>{0}</p></div><div class="comment"><p>{1} {2}</p></div></div>'),
+    ("inside", '<div class="notice"><p>{0} {1}</p></div>'),
+    ("inside", '<div class="sidebar"><p>{0}</p><p>{1}</p></div>'),
+    ("inside", '<nav class="toc"><ul><li><a href="#a">{0}</a></li><li><a href="#b">{1}</a></li></ul></nav>'),
+    ("inside", '<footer class="meta"><p>{0}</p></footer>'),
     ("after", '<aside class="sidebar"><h2>{0}</h2><p>{1}</p><p>{2}</p></aside>'),
     ("after", '<div class="sidebar"><div class="widget"><h4>{0}</h4><p>{1}</p></div></div>'),
     ("after", '<section class="comments"><h2>{0}</h2><div class="comment"><p>{1}</p></div><div class="comment"><p>{2}</p></div></section>'),
@@ -238,7 +244,7 @@ def layouts(page: Page, main: list[bool], seed: int, times: int) -> list[str]:
             for i, b in enumerate(blocks[: 1 + int(rng.integers(1, 40))])
         ]
         sides: dict[str, list[str]] = {"before": [], "after": []}
-        for k in rng.permutation(len(BOXES))[: int(rng.integers(2, 8))]:
+        for k in rng.permutation(len(BOXES))[: int(rng.integers(2, 10))]:
             where, box = BOXES[k]
             filled = box.format(*[_escape(pool[rng.integers(len(pool))]) for _ in range(3)])
             filled = f'<div {_LABEL}="0">{filled}</div>' if rng.random() < 0.3 else filled.replace(">", f' {_LABEL}="0">', 1)
