@@ -1,22 +1,65 @@
-"""Corpus pipeline: language ID, near-duplicate removal, decontamination, PII redaction, packing."""
+"""Corpus pipeline: language ID, near-duplicate removal, decontamination, PII redaction, packing.
+
+Each stage takes the documents its predecessor kept and returns documents, but for the last, which returns the
+pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
-from spendlens.llm.decontaminate import without_contamination
+from pyspark.sql import functions as F
+
+from spendlens.llm import decontaminate as benchmark
+from spendlens.llm import jaccard, language, packing, pii
 from spendlens.llm.registry import table
+from spendlens.session import cut_lineage
+
+#: A cosine that unrelated random vectors of the profiles' size reach by chance; texts at or below it have no language.
+CHANCE = language.DIMENSIONS**-0.5
+
+
+def identify_language(spark, docs, sf_dir):
+    """Documents with a language: some letter, and a likeness to its profile above chance."""
+    prototypes = language.learn_prototypes(docs.where(~language.held_out()).select("text", "lang"))
+    found = language.identify(docs.withColumnsRenamed({"score": "_score", "lang_pred": "_lang_pred"}), prototypes)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > CHANCE))
+    return kept.drop("lang_pred", "score").withColumnsRenamed({"_score": "score", "_lang_pred": "lang_pred"})
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """One document of each group that links of five-word shingles, 0.8 alike or more, form."""
+    return jaccard.without_near_duplicates(docs)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Documents that share no window of ten words with the benchmark."""
+    return benchmark.without_contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark, docs, sf_dir):
+    """All documents, personal data replaced by its kind in brackets; n_chars follows the text."""
+    found = pii.redacted(pii.find_spans(docs, pii.learn(docs)))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
+def pack(spark, docs, sf_dir):
+    """Pieces of all documents in sequences of 1024 ids."""
+    import public_tokenizers
 
-def decontaminate(spark, docs, sf_dir):
-    """Documents that share no window of 10 words with the benchmark."""
-    return without_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("benchmark decontamination", decontaminate)]
+STAGES = [
+    ("language id", identify_language),
+    ("n-gram jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("personal data", redact_personal_data),
+    ("best-fit packing", pack),
+]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

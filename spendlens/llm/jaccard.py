@@ -205,7 +205,8 @@ def near_duplicates(
     text: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, copy, class_id (least doc_id over all that links lead to), copy_id (least
-    doc_id of the same words), n_links (other rows whose shingle sets are at least `similarity` alike).
+    doc_id of the same words), n_links (other rows whose shingle sets are at least `similarity` alike), first
+    (whether the row is the one its class is named after).
 
     Words are those of `words.py`. Texts without words are linked only to rows of exactly the same text; null
     texts to none. Repeated rows are copies of each other. Null ids take part, but never name a class unless
@@ -228,7 +229,6 @@ def near_duplicates(
         signed.where(~F.col("alone"))
         .groupBy("class")
         .agg(
-            F.min("doc_id").alias("copy_id"),
             F.count("*").alias("copies"),
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("from"),
             F.first("bands", ignorenulls=True).alias("bands"),
@@ -276,34 +276,40 @@ def near_duplicates(
     )
     links = verified.where("class is not null").groupBy("class").agg(F.sum("links").alias("links"))
     joined = components(verified.where("a is not null").select("a", "b")).withColumnRenamed("id", "class")
-    members = classes.select("class", "copy_id", "copies").join(joined, "class", "left").join(links, "class", "left")
+    members = classes.select("class", "from", "copies").join(joined, "class", "left").join(links, "class", "left")
     members = members.withColumn("component", F.coalesce("component", "class"))
-    named = members.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    members = cut_lineage(members.join(named, "component").select("class", "class_id", "copy_id", "copies", "links"))
+    named = members.groupBy("component").agg(F.min("from").alias("first"))
+    members = cut_lineage(members.join(named, "component").drop("component"))
     together = signed.where(~F.col("alone")).join(members, "class")
     out = together.select(
         "doc_id",
         "copy",
-        "class_id",
-        "copy_id",
+        F.col("first.doc_id").alias("class_id"),
+        F.col("from.doc_id").alias("copy_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))).alias("first"),
     )
-    none = F.lit(0).cast("long").alias("n_links")
-    return out.union(
-        signed.where("alone").select("doc_id", "copy", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), none)
-    )
+    own = [F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links")]
+    return out.union(signed.where("alone").select("doc_id", "copy", *own, F.lit(True).alias("first")))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of least id of each class, with all its columns; of repeated rows of that id and text, one."""
-    found = near_duplicates(docs, id_col=id_col, text=text)
-    gone = found.where(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("copy").alias("_gone_copy")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col(text)) == F.col("_gone_copy"))
-    kept = docs.join(gone, same, "left_anti")
-    return kept.dropDuplicates([id_col, text])
+    """The first row of each class (least id, then text digest), with all its columns.
+
+    Of rows of one id and one text a single one stays. The keys are plain columns, so that the join and the
+    removal of repeats share one shuffle of the texts.
+    """
+    ids = F.col(id_col).cast("long")
+    key = [F.coalesce(ids, F.lit(0)).alias("_id"), ids.isNull().alias("_null")]
+    found = near_duplicates(docs, id_col=id_col, text=text).where("first")
+    kept = found.select(
+        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_null"), F.col("copy").alias("_copy")
+    )
+    names = ["_id", "_null", "_copy"]
+    rows = docs.select("*", *key, F.xxhash64(F.col(text)).alias("_copy")).join(kept, names, "left_semi")
+    return rows.dropDuplicates(names).select(*docs.columns)
 
 
 @query("op7_minhash_jaccard_join")
 def op7_minhash_jaccard_join(spark, sf):
-    return near_duplicates(table(spark, sf, "documents")).drop("copy")
+    return near_duplicates(table(spark, sf, "documents")).drop("copy", "first")
