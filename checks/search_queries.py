@@ -1,5 +1,6 @@
 """Exact, lexical, dense and fused search, and the cascade."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import sql as q
@@ -83,11 +84,11 @@ wd AS (SELECT id, term, tf * idf AS w FROM tf_documents JOIN idf USING (term)),
 nd AS (SELECT id, sqrt(sum(w * w)) AS norm FROM wd GROUP BY id),
 wq AS (SELECT id, term, tf * idf AS w FROM tf_benchmark JOIN idf USING (term)),
 nq AS (SELECT id, sqrt(sum(w * w)) AS norm FROM wq GROUP BY id),
-scores AS (SELECT wq.id AS item_id, wd.id AS doc_id, round(sum(wq.w / nq.norm * wd.w / nd.norm), 6) AS score
+scores AS (SELECT wq.id AS item_id, wd.id AS doc_id, round(sum(wq.w / nq.norm * wd.w / nd.norm), 12) AS score
   FROM wq JOIN wd USING (term) JOIN nq ON nq.id = wq.id JOIN nd ON nd.id = wd.id GROUP BY ALL)"""
 
 RANKED = """
-SELECT item_id, doc_id, score, rank FROM (
+SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 5"""
 
 
@@ -121,7 +122,7 @@ post_{out} AS MATERIALIZED (SELECT t.id, t.term,
 
 BENCH_WORDS = """
 bq AS (SELECT item_id, unnest(list_transform(list_filter(regexp_extract_all(upper(replace(text, 'ß', 'ss')), '[A-Z0-9]+'), lambda x: length(x) >= 2)[1:8], lambda x: lower(x))) AS term FROM benchmark),
-scores AS (SELECT item_id, id AS doc_id, round(sum(weight), 6) AS score FROM bq JOIN post_d USING (term) GROUP BY ALL)"""
+scores AS (SELECT item_id, id AS doc_id, round(sum(weight), 12) AS score FROM bq JOIN post_d USING (term) GROUP BY ALL)"""
 
 
 @query("j5_bm25_top5", q.with_(bm25("documents", "doc_id", "text", "d"), BENCH_WORDS) + RANKED)
@@ -132,16 +133,32 @@ def j5_bm25_top5(spark, sf):
     return top5(sparse_top_k(wanted, postings, 5, "item_id", "doc_id"))
 
 
+# Words in so many documents that their weight is at its floor.
+COMMON = """
+cq AS (SELECT item_id, unnest(CASE CAST(item_id % 3 AS INT) WHEN 0 THEN ['the'] WHEN 1 THEN ['the', 'of', 'in'] ELSE ['and', 'the', 'the'] END) AS term FROM benchmark),
+scores AS (SELECT item_id, id AS doc_id, round(sum(weight), 12) AS score FROM cq JOIN post_d USING (term) GROUP BY ALL)"""
+
+
+@query("j5_common_terms", q.with_(bm25("documents", "doc_id", "text", "d"), COMMON) + RANKED.replace("rank <= 5", "rank <= 15"))
+def j5_common_terms(spark, sf):
+    postings = bm25_index(docs(spark, sf), "doc_id", "text")
+    third = F.col("item_id") % 3
+    words = F.when(third == 0, F.array(F.lit("the"))).when(third == 1, F.array(*map(F.lit, ("the", "of", "in"))))
+    words = words.otherwise(F.array(*map(F.lit, ("and", "the", "the"))))
+    wanted = bm25_query_terms(table(spark, sf, "benchmark"), "item_id", words)
+    return top5(sparse_top_k(wanted, postings, 15, "item_id", "doc_id"))
+
+
 ROLE_WORDS = """
 rw AS (SELECT text, list_filter(list_transform(string_split(brand_tokens || ' ' || descriptor_tokens, ' '),
   lambda x: regexp_replace(upper(x), '[^A-Z0-9]', '', 'g')), lambda x: length(x) >= 2)[1:8] AS w FROM dec),
 rq AS (SELECT text, unnest(list_transform(w, lambda x: lower(x))) AS term FROM rw),
-scores AS (SELECT text, id AS entry_id, round(sum(weight), 6) AS score FROM rq JOIN post_e USING (term) GROUP BY ALL)"""
+scores AS (SELECT text, id AS entry_id, round(sum(weight), 12) AS score FROM rq JOIN post_e USING (term) GROUP BY ALL)"""
 
 
 @query("j6_bm25_roles", q.with_(*KB_CTES, q.TXN, q.CLEANED, CLEAN_TEXTS, role_ctes("texts"), DECOMPOSED,
        bm25("entries", "entry_id", "document", "e"), ROLE_WORDS) + """
-SELECT text, entry_id, score, rank FROM (
+SELECT text, entry_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, entry_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 15""")
 def j6_bm25_roles(spark, sf):
     postings = bm25_index(stored_entries(spark, sf), "entry_id", "document")
@@ -176,17 +193,17 @@ def j8_hashed_vectors(spark, sf):
     return hashed_vectors(docs(spark, sf), "text").select("doc_id", "vector")
 
 
-# Ranked lists over the line items of an order: by price, by quantity and by discount.
+# Ranked lists over the parts a customer ordered: by price, by quantity and by discount.
 LISTS = """
-li AS (SELECT l_orderkey, l_partkey, max(l_extendedprice) AS price, max(l_quantity) AS quantity, max(l_discount) AS discount
-  FROM lineitem GROUP BY ALL),
-lex AS (SELECT l_orderkey, l_partkey, price / 262144.0 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY price DESC, l_partkey) AS rank FROM li),
-den AS (SELECT l_orderkey, l_partkey, quantity / 50.0 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY quantity DESC, l_partkey) AS rank FROM li),
-see AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rank FROM li WHERE discount >= 0.09),
-lists AS (SELECT l_orderkey, l_partkey, 'lexical' AS list, score, 0.8 / (20 + rank) AS share, 1 AS o, rank FROM lex WHERE rank <= 3
-  UNION ALL SELECT l_orderkey, l_partkey, 'dense', score, 1.0 / (20 + rank), 2, rank FROM den WHERE rank <= 3
-  UNION ALL SELECT l_orderkey, l_partkey, 'seed', 1.0, 4.0 / rank, 0, rank FROM see),
-fused AS MATERIALIZED (SELECT CAST(l_orderkey AS VARCHAR) AS query_id, CAST(l_partkey AS VARCHAR) AS entry_id,
+li AS (SELECT o_custkey, l_partkey, max(l_extendedprice) AS price, max(l_quantity) AS quantity, max(l_discount) AS discount
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+lex AS (SELECT o_custkey, l_partkey, price / 262144.0 AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY price DESC, l_partkey) AS rank FROM li),
+den AS (SELECT o_custkey, l_partkey, quantity / 50.0 AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY quantity DESC, l_partkey) AS rank FROM li),
+see AS (SELECT o_custkey, l_partkey, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) AS rank FROM li WHERE discount >= 0.09),
+lists AS (SELECT o_custkey, l_partkey, 'lexical' AS list, score, 0.8 / (20 + rank) AS share, 1 AS o, rank FROM lex WHERE rank <= 15
+  UNION ALL SELECT o_custkey, l_partkey, 'dense', score, 1.0 / (20 + rank), 2, rank FROM den WHERE rank <= 15
+  UNION ALL SELECT o_custkey, l_partkey, 'seed', 1.0, 4.0 / rank, 0, rank FROM see),
+fused AS MATERIALIZED (SELECT CAST(o_custkey AS VARCHAR) AS query_id, CAST(l_partkey AS VARCHAR) AS entry_id,
   coalesce(max(score) FILTER (list = 'lexical'), max(1.0) FILTER (list = 'seed')) AS lexical_score,
   coalesce(max(score) FILTER (list = 'dense'), max(1.0) FILTER (list = 'seed')) AS dense_score,
   count_if(list = 'seed') > 0 AS is_seed, sum(CAST(share AS DOUBLE)) AS fused_score, min(o * 1000 + rank) AS place FROM lists GROUP BY ALL),
@@ -196,16 +213,17 @@ cut AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qu
 def fused_lists(spark, sf):
     from spendlens.operators.ranking import top_n
 
-    li = table(spark, sf, "lineitem").groupBy(
-        F.col("l_orderkey").cast("string").alias("query_id"), F.col("l_partkey").alias("part")
+    sold = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    li = sold.groupBy(
+        F.col("o_custkey").cast("string").alias("query_id"), F.col("l_partkey").alias("part")
     ).agg(F.max("l_extendedprice").alias("price"), F.max("l_quantity").alias("quantity"), F.max("l_discount").alias("discount"))
     entry = F.col("part").cast("string").alias("entry_id")
-    lexical = top_n(li, ["query_id"], [F.desc("price"), F.asc("part")], 3).select(
+    lexical = top_n(li, ["query_id"], [F.desc("price"), F.asc("part")], 15).select(
         "query_id", entry, (F.col("price") / 262144.0).alias("score"), "rank")
-    dense = top_n(li, ["query_id"], [F.desc("quantity"), F.asc("part")], 3).select(
+    dense = top_n(li, ["query_id"], [F.desc("quantity"), F.asc("part")], 15).select(
         "query_id", entry, (F.col("quantity") / 50.0).alias("score"), "rank")
-    seeds = top_n(li.where("discount >= 0.09"), ["query_id"], [F.asc("part")], 1000).select(
-        "query_id", entry, F.lit(1.0).alias("score"), "rank")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("part"))
+    seeds = li.where("discount >= 0.09").select("query_id", entry, F.lit(1.0).alias("score"), place.alias("rank"))
     return fuse(lexical, dense, seeds)
 
 
@@ -223,19 +241,19 @@ def j10_candidate_cut(spark, sf):
 
 
 NAMED_CUT = """
-named_cut AS (SELECT c.*, p.p_name AS canonical_name, 'red bolt ' || o.o_orderpriority AS query,
-  (SELECT count(*) FROM (SELECT DISTINCT unnest(regexp_extract_all(lower('red bolt ' || o.o_orderpriority), '[a-z0-9]+')) AS w)
+named_cut AS (SELECT c.*, p.p_name AS canonical_name, 'red bolt ' || lower(o.c_mktsegment) AS query,
+  (SELECT count(*) FROM (SELECT DISTINCT unnest(regexp_extract_all(lower('red bolt ' || lower(o.c_mktsegment)), '[a-z0-9]+')) AS w)
     WHERE list_contains(string_split(p.p_name, ' '), w)) * 1.0 /
-  len(list_distinct(regexp_extract_all(lower('red bolt ' || o.o_orderpriority), '[a-z0-9]+'))) AS overlap
-  FROM cut c JOIN part p ON CAST(p.p_partkey AS VARCHAR) = c.entry_id JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = c.query_id)"""
+  len(list_distinct(regexp_extract_all(lower('red bolt ' || lower(o.c_mktsegment)), '[a-z0-9]+'))) AS overlap
+  FROM cut c JOIN part p ON CAST(p.p_partkey AS VARCHAR) = c.entry_id JOIN customer o ON CAST(o.c_custkey AS VARCHAR) = c.query_id)"""
 
 
 def named_cut(spark, sf):
     parts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("entry_id"), F.col("p_name").alias("canonical_name"))
-    orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").cast("string").alias("query_id"), F.concat(F.lit("red bolt "), "o_orderpriority").alias("query")
+    asked = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("query_id"), F.concat(F.lit("red bolt "), F.lower("c_mktsegment")).alias("query")
     )
-    return cut(fused_lists(spark, sf)).join(parts, "entry_id").join(orders, "query_id")
+    return cut(fused_lists(spark, sf)).join(parts, "entry_id").join(asked, "query_id")
 
 
 @query("j11_rerank", q.with_(LISTS, NAMED_CUT) + """

@@ -253,12 +253,15 @@ def x2_monitor(spark, sf):
 
 @query("x3_correction_table", q.with_(LOG) + " SELECT description, predicted_category, correct_category FROM latest")
 def x3_correction_table(spark, sf):
-    """Two micro-batches and a repeat of the second, upserted."""
+    """Two micro-batches, a repeat of the second, and a stream of its own whose numbers start again, upserted."""
     root = f"{shared_folder(spark)}/spendlens-corrections-{uuid.uuid4().hex}"
     log = correction_log(spark, sf)
     half = log.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
-    for number, part in ((0, log.where(F.col("event_id") > half)), (1, log.where(F.col("event_id") <= half)), (1, log)):
-        upsert_corrections(spark, root, part, number, order="event_id")
+    late, early = log.where(F.col("event_id") > half), log.where(F.col("event_id") <= half)
+    odd = F.col("event_id") % 2 == 1
+    steps = (("a", 0, early.where(odd)), ("a", 1, late.where(odd)), ("a", 1, log.limit(0)), ("b", 0, log.where(~odd)))
+    for stream, number, part in steps:
+        upsert_corrections(spark, root, part, number, order="event_id", stream_id=stream)
     from spendlens.sources.tables import read_version
 
     return read_version(spark, root, "corrections").select("description", "predicted_category", "correct_category")

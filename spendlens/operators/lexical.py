@@ -26,8 +26,8 @@ K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
 
-SCORE_DIGITS = 6
-MARGIN = 1e-5
+RANK_DIGITS = 12  # sums that agree in these are ties, so ranks do not depend on the order of summing
+SCORE_DIGITS = 6  # of the score that is returned
 BUCKET_ROWS = 50_000
 
 
@@ -117,6 +117,11 @@ def bucketed(postings: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
     return salted.drop("salts"), sizes
 
 
+def below(score: Column) -> Column:
+    """A bound that rounding to RANK_DIGITS and the order of summing cannot lift a lower score over."""
+    return score * (1 - 1e-9) - F.lit(2 * 10.0**-RANK_DIGITS)
+
+
 def sure_scores(query_terms: DataFrame, postings: DataFrame, query: str, doc: str, k: int) -> DataFrame:
     """(query, floor): a score the k-th best document reaches, by the k heaviest postings per term."""
     heavy = top_n(postings, ["term"], [F.desc("weight"), F.asc(doc)], k).drop("rank")
@@ -126,7 +131,7 @@ def sure_scores(query_terms: DataFrame, postings: DataFrame, query: str, doc: st
         .agg(F.sum(F.col("qweight") * F.col("weight")).alias("score"))
     )
     ranked = top_n(partial, [query], [F.desc("score"), F.asc(doc)], k)
-    return ranked.where(F.col("rank") == k).select(query, (F.col("score") - MARGIN).alias("floor"))
+    return ranked.where(F.col("rank") == k).select(query, below(F.col("score")).alias("floor"))
 
 
 def sparse_top_k(
@@ -138,8 +143,9 @@ def sparse_top_k(
 ) -> DataFrame:
     """(query, doc, score, rank): k best documents by summed qweight x weight.
 
-    Scores are rounded to six digits before ranking; ties go to the smaller
-    document id. Only scores above zero are returned.
+    Documents are ranked by the score to RANK_DIGITS digits; ties go to the
+    smaller document id. All hits with a score above zero count. The returned
+    score is rounded to SCORE_DIGITS.
     """
     postings = cut_lineage(postings.select(doc, "term", "weight"))
     rows, sizes = bucketed(postings, doc)
@@ -188,7 +194,8 @@ def sparse_top_k(
         alive.select(query, doc, F.col("partial").alias("share"))
         .unionByName(rest)
         .groupBy(query, doc)
-        .agg(F.round(F.sum("share"), SCORE_DIGITS).alias("score"))
+        .agg(F.round(F.sum("share"), RANK_DIGITS).alias("score"))
         .where(F.col("score") > 0)
     )
-    return top_n(scored, [query], [F.desc("score"), F.asc(doc)], k)
+    best = top_n(scored, [query], [F.desc("score"), F.asc(doc)], k)
+    return best.withColumn("score", F.round("score", SCORE_DIGITS))

@@ -48,17 +48,20 @@ def damped(grams: Column) -> Column:
     Weights are in steps of 1/STEPS; unit-length scaling later removes the
     factor. Texts without a repeated gram, the usual case, stay as they are.
     """
-    distinct = F.array_distinct(grams)
-    repeated = F.flatten(
-        F.transform(
-            distinct,
-            lambda g: F.array_repeat(
-                g,
-                F.round(STEPS * (1.0 + F.log(F.size(F.filter(grams, lambda x: x == g)).cast("double")))).cast("int"),
-            ),
+
+    def weighted(sorted_grams: Column) -> Column:
+        n = F.size(sorted_grams)
+        starts = F.filter(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: (i == 0) | (F.get(sorted_grams, i) != F.get(sorted_grams, F.greatest(i - 1, F.lit(0)))),
         )
-    )
-    return F.when(F.size(distinct) == F.size(grams), grams).otherwise(repeated)
+        return F.flatten(F.transform(F.array(starts), lambda at: F.flatten(F.transform(at, lambda i, j: F.array_repeat(
+            F.get(sorted_grams, i),
+            F.round(STEPS * (1.0 + F.log((F.coalesce(F.get(at, j + 1), n) - i).cast("double")))).cast("int"),
+        )))))
+
+    repeated = F.flatten(F.transform(F.array(F.array_sort(grams)), weighted))
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), grams).otherwise(repeated)
 
 
 class LinearTextModel:

@@ -66,7 +66,7 @@ def shrink_words(text: Column, keep: int) -> Column:
         F.transform(
             F.split(text, " "),
             lambda w: F.concat(
-                F.substring(w, 1, keep), F.regexp_replace(F.substring(w, keep + 1, 1000), "[AEIOU]", "")
+                F.substring(w, 1, keep), F.regexp_replace(F.substr(w, F.lit(keep + 1)), "[AEIOU]", "")
             ),
         ),
     )

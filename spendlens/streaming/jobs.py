@@ -121,29 +121,42 @@ def drop_repeats(stream: DataFrame, keys: list[str], ts: str = "ts", watermark:
 
 
 def upsert_corrections(
-    spark: SparkSession, root: str, batch: DataFrame, batch_id: int, key: str = "description", order: str = "ts"
+    spark: SparkSession,
+    root: str,
+    batch: DataFrame,
+    batch_id: int,
+    key: str = "description",
+    order: str = "ts",
+    stream_id: str = "batch",
 ) -> None:
-    """Latest correction per description after this batch. A repeated batch changes nothing."""
-    new = batch.groupBy(key).agg(
-        F.max_by(F.struct("predicted_category", "correct_category"), order).alias("m"), F.max(order).alias(order)
-    ).select(key, "m.*", order)
+    """Latest correction per description after this batch; equal times go to the larger labels.
+
+    A batch that its stream has already delivered changes nothing. Batch numbers
+    are those of one stream: another stream, or one that starts anew without its
+    checkpoint, has an id of its own and loses nothing.
+    """
+    done = read_version(spark, root, "progress")
+    seen = None if done is None else done.where(F.col("stream_id") == stream_id).agg(F.max("batch_id")).first()[0]
+    if seen is not None and seen >= batch_id:
+        return
+    labels = ["predicted_category", "correct_category"]
+    new = batch.select(key, *labels, order)
     old = read_version(spark, root, "corrections")
     if old is not None:
-        done = old.agg(F.max("batch_id")).first()[0]
-        if done is not None and done >= batch_id:
-            return
-        both = old.drop("batch_id").unionByName(new)
-        new = both.groupBy(key).agg(
-            F.max_by(F.struct("predicted_category", "correct_category"), order).alias("m"), F.max(order).alias(order)
-        ).select(key, "m.*", order)
-    publish(spark, root, {"corrections": new.withColumn("batch_id", F.lit(batch_id).cast("long"))})
+        new = old.unionByName(new)
+    new = new.groupBy(key).agg(F.max(F.struct(order, *labels)).alias("m")).select(key, "m.*").select(key, *labels, order)
+    progress = spark.createDataFrame([(stream_id, batch_id)], "stream_id string, batch_id long")
+    if done is not None:
+        progress = done.where(F.col("stream_id") != stream_id).unionByName(progress)
+    publish(spark, root, {"corrections": new, "progress": progress})
 
 
 def correction_sink(stream: DataFrame, root: str, **settings) -> DataStreamWriter:
-    """foreachBatch writer of the correction table at `root`."""
+    """foreachBatch writer of the correction table at `root`, under the id that the stream's checkpoint keeps."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        upsert_corrections(batch.sparkSession, root, batch, batch_id, **settings)
+        spark = batch.sparkSession
+        stream_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        upsert_corrections(spark, root, batch, batch_id, stream_id=stream_id, **settings)
 
     return stream.writeStream.foreachBatch(run)
-
