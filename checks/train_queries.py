@@ -155,7 +155,7 @@ def t9_pseudo_labels(spark, sf):
 
 def scored(spark, sf, kind):
     parts = tr.stratified_split(unique(spark, sf), IDS, "category").persist()
-    model = m.train_text_model(parts.where("split = 'train'"), kind=kind, features=1 << 14, iterations=10)
+    model = m.train_text_model(parts.where("split = 'train'"), kind=kind)
     kept = parts.where("split <> 'train'").withColumnRenamed("category", "label")
     return model.score(kept, "cleaned").select("raw", "label", "category", F.round("confidence", 4).alias("confidence"))
 
@@ -219,7 +219,7 @@ def r13_cascade_with_model(spark, sf):
     from checks.search_queries import knowledge
     from spendlens.plans.classify import Stage, classify
 
-    model = m.train_text_model(unique(spark, sf), features=1 << 14, iterations=10)
+    model = m.train_text_model(unique(spark, sf))
     rows = classify(
         txn(spark, sf), "raw", kb=knowledge(spark, sf, lexical=None), stages=[None, Stage("sgd", model)]
     )
