@@ -6,14 +6,19 @@ from checks.views import LABELS, TRUE_LABELS
 from spendlens import fixed
 from spendlens.functions.rules import default_rules, in_order
 from spendlens.functions.terms import accent_table
+from spendlens.functions.white import WHITE
 
 
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def strip(col: str) -> str:
+    return f"trim({col}, {lit(WHITE)})"
+
+
 def folded(col: str) -> str:
-    return f"upper(regexp_replace(trim(coalesce({col}, '')), 'ß', 'ss', 'g'))"
+    return f"upper(regexp_replace({strip(f"coalesce({col}, '')")}, 'ß', 'ss', 'g'))"
 
 
 def clean(col: str) -> str:
@@ -24,7 +29,7 @@ def clean(col: str) -> str:
     whens = " ".join(
         f"WHEN regexp_matches({text}, {lit(p)}) THEN {lit(m)}" for p, m in fixed.CLEAN_MARKERS
     )
-    return f"(CASE {whens} ELSE trim({chain}) END)"
+    return f"(CASE {whens} ELSE {strip(chain)} END)"
 
 
 def direction(col: str) -> str:

@@ -11,6 +11,7 @@ from spendlens import fixed
 from spendlens.operators import labelling as lb
 from spendlens.operators import statements as st
 from spendlens.session import shared_folder
+from spendlens.functions.white import strip
 from spendlens.streaming.jobs import classify_stream, drop_repeats, monitor, upsert_corrections
 
 
@@ -35,24 +36,24 @@ KIND = f"""CASE WHEN line IN ('', '.') THEN 'blank'
 
 STATEMENT = """
 li AS (SELECT txn_key // 10 AS page, '2|' || lpad(CAST(txn_key AS VARCHAR), 12, '0') || '|' || raw || '|' || printf('%015.2f', amount) AS item,
-  unnest([CAST(day(posted_at) AS VARCHAR) || ' Jan', substr(raw, 1, 12), substr(raw, 13), '$' || CAST(CAST(round(amount) AS BIGINT) AS VARCHAR) || '.00', 'Royal Bank of Canada']) AS line,
+  unnest([CAST(day(posted_at) AS VARCHAR) || ' Jan', substr(raw, 1, 12), substr(raw, 13), '$' || CAST(CAST(round(amount) AS BIGINT) AS VARCHAR) || '.00', chr(9) || 'Royal Bank of Canada' || chr(160) || chr(13)]) AS line,
   unnest([0, 1, 2, 3, 4]) AS part FROM txn),
 pg AS (SELECT DISTINCT page FROM li),
 sl AS (SELECT * FROM li UNION ALL
-  SELECT page, '1', unnest(['Your account number', 'Before the start', 'Details of your account activity', 'Date']), unnest([0, 1, 2, 3]) FROM pg UNION ALL
+  SELECT page, '1', unnest(['Your account number', 'Before the start', 'Details of your account activity', 'Date' || chr(13)]), unnest([0, 1, 2, 3]) FROM pg UNION ALL
   SELECT page, '3', unnest(['last open line', 'Closing Balance', 'Behind the end']), unnest([0, 1, 2]) FROM pg)"""
 
 
 @query("l1_line_kinds", q.with_(q.TXN, STATEMENT) + f"""
-, k AS (SELECT trim(line) AS line FROM sl UNION ALL SELECT trim(unnest(string_split(text, chr(10)))) FROM documents)
+, k AS (SELECT {q.strip('line')} AS line FROM sl UNION ALL SELECT {q.strip('unnest(string_split(text, chr(10)))')} FROM documents)
 SELECT {KIND} AS kind, count(*) AS n FROM k GROUP BY 1""")
 def l1_line_kinds(spark, sf):
-    rows = statement_lines(spark, sf).select(F.trim("line").alias("line")).unionByName(lines(spark, sf).select(F.trim("line").alias("line")))
+    rows = statement_lines(spark, sf).select(strip(F.col("line")).alias("line")).unionByName(lines(spark, sf).select(strip(F.col("line")).alias("line")))
     return rows.groupBy(st.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 ISLANDS = f"""
-, ordered AS (SELECT page, trim(line) AS line, row_number() OVER (PARTITION BY page ORDER BY item, part) AS no FROM sl),
+, ordered AS (SELECT page, {q.strip('line')} AS line, row_number() OVER (PARTITION BY page ORDER BY item, part) AS no FROM sl),
 section AS (SELECT page, line, no FROM (SELECT *, min(no) FILTER (contains(line, 'Details of your account activity') OR contains(line, 'Opening Balance')) OVER (PARTITION BY page) AS s FROM ordered) WHERE no > s),
 body AS (SELECT page, line, no FROM (SELECT *, min(no) FILTER (contains(line, 'Closing Balance') OR starts_with(line, 'Please check')) OVER (PARTITION BY page) AS e FROM section) WHERE e IS NULL OR no < e),
 useful AS (SELECT *, {any_match("line", [fixed.ACCOUNT_DATE, fixed.AMOUNT_LINE])} AS boundary FROM body
@@ -79,11 +80,11 @@ CARD_PAGE = """concat_ws(chr(10), 'Head', 'ACTIVITY DESCRIPTION', 'DATE', 'AMOUN
 
 @query("l3_card_lines", f"""
 WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS no FROM (SELECT doc_id, {CARD_PAGE} AS text FROM documents)),
-t AS (SELECT doc_id, no, trim(line) AS line FROM p),
+t AS (SELECT doc_id, no, {q.strip('line')} AS line FROM p),
 a AS (SELECT * FROM (SELECT *, min(no) FILTER (contains(line, 'ACTIVITY DESCRIPTION')) OVER (PARTITION BY doc_id) AS s FROM t) WHERE no > s),
 b AS (SELECT * FROM (SELECT doc_id, no, line, min(no) FILTER ({starts("line", fixed.CARD_STOPS)}) OVER (PARTITION BY doc_id) AS e FROM a) WHERE e IS NULL OR no < e),
 c AS (SELECT * FROM (SELECT doc_id, no, line, min(no) FILTER (line NOT IN ('AMOUNT ($)', 'DATE', '')) OVER (PARTITION BY doc_id) AS f FROM b) WHERE no >= f),
-k AS (SELECT doc_id, no, trim(regexp_replace(line, {q.lit(fixed.CARD_LEADING_DATE)}, '')) AS line FROM c WHERE line NOT IN ('', '.')
+k AS (SELECT doc_id, no, {q.strip('regexp_replace(line, ' + q.lit(fixed.CARD_LEADING_DATE) + ", '')")} AS line FROM c WHERE line NOT IN ('', '.')
   AND NOT {any_match("line", [fixed.CARD_DATE, fixed.REFERENCE_NUMBER, fixed.AMOUNT_LINE, fixed.FOREX_LINE, fixed.CARD_REWARD_LINE])})
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS INT) AS pos, md5(line) AS description FROM k WHERE line <> ''""")
 def l3_card_lines(spark, sf):

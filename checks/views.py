@@ -161,7 +161,7 @@ def statement_lines(spark: SparkSession, sf: str) -> DataFrame:
     money = F.concat(F.lit("$"), F.round("amount").cast("long").cast("string"), F.lit(".00"))
     half = F.expr("substring(raw, 1, 12)")
     rest = F.expr("substring(raw, 13)")
-    parts = F.array(day, half, rest, money, F.lit("Royal Bank of Canada"))
+    parts = F.array(day, half, rest, money, F.lit("\tRoyal Bank of Canada\u00a0\r"))
     body = rows.select(
         "page",
         F.concat_ws("|", F.lit("2"), F.lpad(text_of("txn_key"), 12, "0"), "raw", F.format_string("%015.2f", "amount")).alias("item"),
@@ -170,7 +170,7 @@ def statement_lines(spark: SparkSession, sf: str) -> DataFrame:
     pages = rows.select("page").distinct()
     head = pages.select(
         "page", F.lit("1").alias("item"), F.posexplode(
-            F.array(F.lit("Your account number"), F.lit("Before the start"), F.lit("Details of your account activity"), F.lit("Date"))
+            F.array(F.lit("Your account number"), F.lit("Before the start"), F.lit("Details of your account activity"), F.lit("Date\r"))
         ).alias("part", "line")
     )
     tail = pages.select(

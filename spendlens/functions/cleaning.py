@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from spendlens.fixed import CLEAN_MARKERS, CLEAN_STEPS, PROVINCES
 from spendlens.functions.rows import settled
+from spendlens.functions.white import strip
 
 
 def fold_case(text: Column) -> Column:
     """Null to blank, trimmed, sharp s spelled out, upper case."""
-    return F.upper(F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")))
+    return F.upper(F.replace(strip(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")))
 
 
 def needed_word(pattern: str) -> str | None:
@@ -60,7 +61,7 @@ def clean_text(text: Column) -> Column:
     gives the same and skips the steps a text does not need.
     """
     folded = fold_case(text)
-    return F.coalesce(marker(folded), F.trim(replace_steps(folded, CLEAN_STEPS)))
+    return F.coalesce(marker(folded), strip(replace_steps(folded, CLEAN_STEPS)))
 
 
 PREFIX_STEPS = [step for step in CLEAN_STEPS if step[0].startswith("^")]
@@ -103,9 +104,9 @@ def with_clean(df: DataFrame, text: str, out: str = "cleaned") -> DataFrame:
             ).otherwise(F.col(spaced)),
         )
     )
-    return settled(steps, kept, **{out: F.coalesce(marker(F.col(folded)), F.trim(F.col(placed)))})
+    return settled(steps, kept, **{out: F.coalesce(marker(F.col(folded)), strip(F.col(placed)))})
 
 
 def blank_to_null(text: Column) -> Column:
-    trimmed = F.trim(text)
+    trimmed = strip(text)
     return F.when(trimmed != "", trimmed)

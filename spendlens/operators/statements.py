@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from spendlens import fixed
 from spendlens.functions.rows import posexploded
+from spendlens.functions.white import strip
 
 
 def page_lines(text: Column) -> Column:
     """Trimmed lines of a page."""
-    return F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), "\n"), lambda v: F.trim(v))
+    return F.transform(F.split(strip(F.coalesce(text, F.lit(""))), "\n"), strip)
 
 
 def pages_from_lines(lines: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
@@ -125,7 +126,7 @@ def card_descriptions(text: Column) -> Column:
         first_real > 0, F.slice(section, first_real.cast("int"), F.size(section))
     ).otherwise(F.array().cast("array<string>"))
     kept = F.filter(body, lambda x: ~noise(x))
-    stripped = F.transform(kept, lambda x: F.trim(F.regexp_replace(x, fixed.CARD_LEADING_DATE, "")))
+    stripped = F.transform(kept, lambda x: strip(F.regexp_replace(x, fixed.CARD_LEADING_DATE, "")))
     return F.filter(stripped, lambda x: x != "")
 
 
