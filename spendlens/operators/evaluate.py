@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -230,12 +230,21 @@ def discordant(df: DataFrame, first: str, second: str, true: str = "label") -> D
 
 
 def exact_p(only_first: int, only_second: int) -> float:
-    """Two-sided exact binomial p of the paired test, from the two counts."""
-    n = only_first + only_second
+    """Two-sided exact binomial p of the paired test, from the two counts.
+
+    Terms are added from the largest down as shares of it, until they no longer
+    count: about the square root of the counts, at any size.
+    """
+    n, i = only_first + only_second, min(only_first, only_second)
     if n == 0:
         return 1.0
-    tail = sum(comb(n, i) for i in range(min(only_first, only_second) + 1))
-    return min(1.0, 2 * tail / 2**n)
+    largest = lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * log(2)
+    share = tail = 1.0
+    while i and share > tail * 1e-18:
+        share *= i / (n - i + 1)
+        tail += share
+        i -= 1
+    return min(1.0, 2 * exp(largest + log(tail)))
 
 
 def agreement(left: DataFrame, right: DataFrame, key: str, first: str, second: str) -> DataFrame:

@@ -169,9 +169,12 @@ def enrich(
     )
     pool = labels.select(F.col("category").alias("_pc"), F.col("idx").alias("_pi"), F.col("label").alias("_label"))
     spots = places.select(F.col("idx").alias("_si"), F.col("place").alias("_place"))
-    joined = indexed.join(pool, (F.col("_cat") == F.col("_pc")) & (F.col("_idx") == F.col("_pi")), "left").join(
-        spots, F.col("_place_idx") == F.col("_si"), "left"
+    # Rows that draw nothing get keys of their own, which no label or place has, so they do not meet in one task.
+    keyed = indexed.withColumn("_idx", F.coalesce("_idx", -1 - F.col("_h0"))).withColumn(
+        "_place_idx", F.coalesce("_place_idx", -1 - F.col("_h0"))
     )
+    drawn_label = (F.coalesce("_cat", F.lit("")) == F.col("_pc")) & (F.col("_idx") == F.col("_pi"))
+    joined = keyed.join(pool, drawn_label, "left").join(spots, F.col("_place_idx") == F.col("_si"), "left")
     types = F.concat(F.lit("place types: "), F.col("_label"))
     metadata = F.concat(
         F.lit("external metadata: "),
