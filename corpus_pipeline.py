@@ -13,15 +13,12 @@ from spendlens.llm import jaccard, language, packing, pii
 from spendlens.llm.registry import table
 from spendlens.session import cut_lineage
 
-#: A cosine that unrelated random vectors of the profiles' size reach by chance; texts at or below it have no language.
-CHANCE = language.DIMENSIONS**-0.5
-
 
 def identify_language(spark, docs, sf_dir):
-    """Documents with a language: some letter, and a likeness to its profile above chance."""
+    """Documents with a language: some letter, and any likeness to a profile."""
     prototypes = language.learn_prototypes(docs.where(~language.held_out()).select("text", "lang"))
     found = language.identify(docs.withColumnsRenamed({"score": "_score", "lang_pred": "_lang_pred"}), prototypes)
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > CHANCE))
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0))
     return kept.drop("lang_pred", "score").withColumnsRenamed({"_score": "score", "_lang_pred": "lang_pred"})
 
 
