@@ -239,7 +239,8 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
     """Records of the listed archives: page_id, url, record_type, payload_bytes, payload_digest, refers_to, html
     (null for revisits). A record that does not hold fails the job."""
-    files = archives.select("file").repartition("file")
+    # A stated number of partitions: by size alone adaptive execution would give all files to one task.
+    files = archives.select("file").repartition(max(1, archives.count()), "file")
     return files.mapInArrow(
         _read,
         "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long,"
