@@ -20,6 +20,7 @@ from spendlens.llm.tokens import token_blocks
 from spendlens.session import cut_lineage
 
 BLOCK_IDS = 1 << 20
+TASK_BLOCKS = 4  # blocks a scan task reads on average
 RUN = 1024  # blocks of one file whose summaries one scan task takes
 
 _WRITTEN = "doc_id long, file string, number long, file_ids long"
@@ -111,7 +112,9 @@ def count_tokens(
         (F.col("block") * block_ids).alias("first"),
         F.least(F.lit(block_ids).cast("long"), F.col("ids") - F.col("block") * block_ids).alias("n"),
     )
-    spread = blocks.repartition(F.col("file"), F.col("block"))
+    # A stated number of partitions: by size alone adaptive execution would give all blocks to one task.
+    n = blocks.count()
+    spread = blocks.repartition(n // TASK_BLOCKS + 1, "file", "block")
     found = cut_lineage(spread.mapInArrow(_scan(separator, kind), "file string, block long, stop long, ends array<long>"))
     summary = found.select(
         "file",
