@@ -308,6 +308,25 @@ def test_main_text_of_pages(spark, page_trees):
     assert [r.text for r in extract.main_text(pages.limit(1), None).collect()] == [""]
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<head><title>T</title><meta charset=x><body><header>Top</header><article>A<p>B</article>", "Top A B"),
+        ("<head><title>T</title><p>A</p><section><header>Top</header>B</section>", "A Top B"),
+        ("<html><head><title>T</title><script>'</head>'</script> <base href=x></head><body>A</body>", "A"),
+        *[(f"A<{n} class=x>B<p>C</p>", "A B C") for n in ("svg", "object", "iframe", "noscript", "canvas", "math", "select", "template")],
+        ("A<svg>B<p>C</p><svg>no</svg>D", "A B C D"),
+        ("A<svg><svg>no</svg>no</svg>B", "A B"),
+        ("A<object><!-- </object> <script>'<object>'</script> -->no</OBJECT >B", "A B"),
+        ("A<title>no</titles>no</TITLE\n>B<style>no", "A B"),
+        ("\u0130" * 40 + "<script>no</script>A<b>B</b>C" + "<style>no</style>" + "D", "\u0130" * 40 + " A B C D"),
+    ],
+)
+def test_raw_elements_take_no_page_text(source, want):
+    page = Page(source)
+    assert " ".join(" ".join(page.text[i] for i in page.order if i >= 0).split()) == want
+
+
 def test_other_layouts(page_trees):
     said = ["It was a long day, and it rained. Nobody came.", "The road went on &amp; on.\n Over\thills.", "They slept. Then it was morning."]
     body = "".join(f"<p>{s}</p>" for s in said * 3)
