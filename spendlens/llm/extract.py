@@ -19,7 +19,7 @@ from spendlens.llm.registry import query, table
 from spendlens.llm.trees import Boosted, fit
 from spendlens.session import cut_lineage
 
-SAMPLE = 160  # pages, on average, from which the trees are fitted
+SAMPLE = 160  # different pages that name their article, from which the trees are fitted
 
 GOOD = frozenset("article articlebody main content body text post entry story page blog prose paragraph lead headline".split())
 BAD = {
@@ -283,24 +283,49 @@ def _training(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             x = np.concatenate([a for a, _ in made])
             y = np.concatenate([b for _, b in made])
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x[:, j]) for j in range(x.shape[1])), pa.array(y.astype(np.int32))], names=[*NAMES, "label"]
+                [*(pa.array(x[:, j]) for j in range(x.shape[1])), pa.array(y.astype(np.int32)), pa.array(np.full(len(y), seed))],
+                names=[*NAMES, "label", "seed"],
             )
 
 
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """The first row of each seed in a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = [seed not in seen and not seen.add(seed) for seed in batch.column(1).to_pylist()]
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
+def _first(rows: DataFrame, n: int) -> tuple[int, int | None]:
+    """How many of the n least different seeds there are, and the largest of them."""
+    return tuple(rows.select("seed").distinct().orderBy("seed").limit(n).agg(F.count("seed"), F.max("seed")).first())
+
+
 def learn(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Boosted | None:
-    """Fit on about `sample` pages, chosen by a hash of their source, that name their article.
+    """Fit on `sample` different pages that name their article, first by a hash of their source, or all if fewer.
 
-    Each is used as it is and with its texts laid out in other ways, so that tags alone do not decide. Without
-    such pages nothing is learned and every text is empty.
+    Each is used as it is and with its texts laid out in other ways, so that tags alone do not decide. Pages that
+    mention an article but give no label are made up for by further ones. Without pages that name their article
+    nothing is learned and every text is empty.
     """
-    rows = pages.where(F.col(html).isNotNull()).select(F.col(html).cast("string").alias("html"))
-    n = rows.count()
-    if not n:
-        return None
+    rows = pages.where(F.col(html).cast("string").rlike(r"(?i)<article[\s/>]")).select(F.col(html).cast("string").alias("html"))
     rows = rows.select("html", F.xxhash64("html").alias("seed"))
-    rows = rows.where(F.pmod("seed", F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
-    schema = ", ".join([*(f"{name} double" for name in NAMES), "label int"])
-    made = cut_lineage(rows.mapInArrow(_training, schema).coalesce(4))
+    schema = ", ".join([*(f"{name} double" for name in NAMES), "label int", "seed long"])
+    tried = sample
+    while True:
+        tries, last = _first(rows, tried)
+        if not tries:
+            return None
+        picked = rows.where(F.col("seed") <= last).mapInArrow(_once, "html string, seed long")
+        picked = picked.repartition(8, "seed").dropDuplicates(["seed"])
+        made = cut_lineage(picked.mapInArrow(_training, schema))
+        found, last = _first(made, sample)
+        if found == sample or tries < tried:
+            break
+        tried *= 8
+    if not found:
+        return None
+    made = made.where(F.col("seed") <= last).drop("seed")
     labels = {r[0] for r in made.select("label").distinct().toLocalIterator()}
     if labels != {0, 1}:
         return None

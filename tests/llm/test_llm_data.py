@@ -327,6 +327,20 @@ def test_raw_elements_take_no_page_text(source, want):
     assert " ".join(" ".join(page.text[i] for i in page.order if i >= 0).split()) == want
 
 
+def test_sample_of_pages_that_name_their_article(spark):
+    """Few named articles among many pages and many copies of one: all of them are learned from, each once."""
+    named = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html like '%<article>%'").limit(12).collect()]
+    other = [f"<html><body><!-- <article> --><div><p>Page {i}</p></div></body></html>" for i in range(600)]
+    pages = pages_table(spark, [(i, "u", h) for i, h in enumerate([*named, *[named[0]] * 300, *other])])
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(extract, "fit", lambda made, *_, **__: seen.append(made.count()))
+        extract.learn(pages, sample=12)
+        extract.learn(pages_table(spark, [(1, "u", h) for h in named]), sample=12)
+        assert extract.learn(pages_table(spark, [(1, "u", h) for h in other]), sample=12) is None
+    assert seen[0] == seen[1] > 0
+
+
 def test_other_layouts(page_trees):
     said = ["It was a long day, and it rained. Nobody came.", "The road went on &amp; on.\n Over\thills.", "They slept. Then it was morning."]
     body = "".join(f"<p>{s}</p>" for s in said * 3)
