@@ -283,6 +283,26 @@ def test_boosted_spans(spark):
     assert pii.find_spans(table(spark, []), judge).count() == 0
 
 
+def test_boosted_spans_where_the_sample_hides_them(spark):
+    """A sample that itself holds many hidden addresses does not teach that they are none."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("text like '%@%'")
+    hidden = [(10**6 + i, f"Please write to jane.roe{i} (at) mail (dot) example (dot) com today") for i in range(400)]
+    judge = pii.learn(docs.union(spark.createDataFrame(hidden, "doc_id long, text string")))
+    assert "email" in judge.thresholds
+    dates = [(2 * 10**6 + i, f"Printed on 2021-03-{10 + i} in town") for i in range(20)]
+    got = {r.doc_id: r.added for r in pii.find_spans(table(spark, hidden + dates), judge).collect()}
+    assert sum([s.value for s in got[i]] == [t[16:-6] for j, t in hidden if j == i] for i, _ in hidden) >= 380
+    assert not any(got[i] for i, _ in dates)
+
+
+def test_disproved_candidates(spark):
+    rows = [("email", "a at 3.14", True), ("email", "a (at) b (dot) com", False), ("ip", "1[.]2[.]3[.]400", True), ("ip", "1[dot]2[dot]3[dot]40", False)]
+    rows += [("card", "4111.1111.1111.1112", True), ("card", "4111.1111.1111.1111", False)]
+    rows += [("phone", "2023-04-17", True), ("phone", "17.04.2023", True), ("phone", "408-555-7800", False), ("phone", "2023-44-17", False)]
+    made = spark.createDataFrame(rows, "kind string, value string, wrong boolean")
+    assert [r for r in made.select("*", pii._disproved(pii.F.col("kind"), pii.F.col("value")).alias("got")).collect() if r.wrong != r.got] == []
+
+
 def article_text(source):
     inner = re.search(r"<article>(.*?)</article>", source, re.S)[1]
     import html
