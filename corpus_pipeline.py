@@ -15,10 +15,10 @@ from spendlens.session import cut_lineage
 
 
 def identify_language(spark, docs, sf_dir):
-    """Documents with a language: some letter, and any likeness to a profile."""
+    """Documents with a language: all with a letter, as the cosine of a language without labels is noise."""
     prototypes = language.learn_prototypes(docs.where(~language.held_out()).select("text", "lang"))
     found = language.identify(docs.withColumnsRenamed({"score": "_score", "lang_pred": "_lang_pred"}), prototypes)
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0))
+    kept = found.where(F.col("lang_pred") != language.UNKNOWN)
     return kept.drop("lang_pred", "score").withColumnsRenamed({"_score": "score", "_lang_pred": "lang_pred"})
 
 

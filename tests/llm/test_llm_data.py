@@ -383,6 +383,18 @@ def test_choices_never_contradict(page_trees):
         assert all(kept[i] or not kept[page.parent[i]] for i in range(1, len(page.tag)))
 
 
+def test_texts_of_unlabelled_scripts_stay(spark):
+    """Likeness to a profile is noise in a script without labels; no lettered text goes by it."""
+    from corpus_pipeline import identify_language
+
+    rows = [(i, "the cat and the dog went over the hill to the town", "en") for i in range(30)]
+    rows += [(100 + i, "".join(chr(0x3B1 + (i * 7 + k * k) % 24) for k in range(9)), None) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (200, "12 ?!", "en"), (201, None, None)], "doc_id long, text string, lang string")
+    kept = identify_language(spark, docs, None)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, _ in rows]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from spendlens.session import cut_lineage
