@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.llm.files import fresh
 from spendlens.llm.registry import query, table
 from spendlens.llm.words import grams, mixed, word_blocks
 from spendlens.session import cut_lineage
@@ -195,7 +196,11 @@ def window_hits(
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated, copy."""
+    """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated, copy.
+
+    Null and empty texts have no words and no hit; rows of one id and different texts are told apart by `copy`,
+    repeated rows give equal rows; null item ids are not listed; without items nothing is hit.
+    """
     texts, hits, windows = window_hits(docs, items, id_col, text)
     key = ["doc_id", "copy"]
     covered = F.aggregate(
@@ -236,10 +241,14 @@ def _same(a: str, b: str):
 
 
 def without_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without a hit, with all their columns."""
+    """Documents without a hit, with all their columns.
+
+    Null texts and texts without words have no hit and stay; repeated rows stay or go together.
+    """
     _, hits, _ = window_hits(docs, items, id_col, text)
-    bad = hits.select(F.col("doc_id").alias("_bad_id"), F.col("copy").alias("_bad_copy")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text)) == F.col("_bad_copy"))
+    bad_id, bad_copy = fresh(docs, "bad_id", "bad_copy")
+    bad = hits.select(F.col("doc_id").alias(bad_id), F.col("copy").alias(bad_copy)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.col(text)) == F.col(bad_copy))
     return docs.join(bad, same, "left_anti")
 
 

@@ -10,7 +10,7 @@ import uuid
 
 import pyarrow.fs as fs
 from pyspark import TaskContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.session import shared_folder
 
@@ -42,3 +42,14 @@ def stream(uri: str):
 def at_random(uri: str):
     store, path = fs.FileSystem.from_uri(uri)
     return store.open_input_file(path)
+
+
+def fresh(df: DataFrame, *names: str) -> str | list[str]:
+    """Column names that the rows do not have yet (names are compared without case, as Spark does)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out if len(out) > 1 else out[0]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.components import components
+from spendlens.llm.files import fresh
 from spendlens.llm.registry import query, table
 from spendlens.llm.words import grams, mixed, word_blocks
 from spendlens.session import cut_lineage
@@ -26,7 +27,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 HASHES = 128  # most min-hashes a signature may take
-GROUP_BYTES = 8 << 20  # text that one side of a block of comparisons holds on average
+GROUP_BYTES = 4 << 20  # text that one side of a block of comparisons holds on average
+GROUP_TEXTS = 1024  # and texts
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -110,9 +112,10 @@ def _signatures(bands: int, rows: int, k: int):
                     batch.column(1),
                     pa.array(counts),
                     pa.array(digest.view(np.int64)),
+                    pa.array([len(values) for values in sets], type=pa.int64()),
                     pa.array(found, type=pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "copy", "n_words", "digest", "bands"],
+                names=["doc_id", "copy", "n_words", "digest", "size", "bands"],
             )
 
     return run
@@ -146,9 +149,9 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None,
     rows = np.arange(len(left))
     others = rows if right is None else np.arange(len(left), len(both))
     common = np.zeros((len(rows), len(others)), dtype=np.float32)
-    for at in range(0, width, 4096):
-        some = (column >= at) & (column < at + 4096)
-        block = np.zeros((len(both), min(4096, width - at)), dtype=np.float32)
+    for at in range(0, width, 1024):
+        some = (column >= at) & (column < at + 1024)
+        block = np.zeros((len(both), min(1024, width - at)), dtype=np.float32)
         block[owner[some], column[some] - at] = 1
         common += block[rows] @ block[others].T
     union = sizes[rows][:, None] + sizes[others][None, :] - common
@@ -171,12 +174,12 @@ def _compare(k: int, least: float):
         _, _, sets = _row_sets(frame.column("text"), k)
         ids = np.array(frame.column("class").to_numpy())
         copies = np.array(frame.column("copies").to_numpy())
-        block = np.array(frame.column("block").to_numpy())
+        right = np.array(frame.column("right").to_numpy(zero_copy_only=False))
         order = np.argsort(ids, kind="stable")
-        one, two = order[block[order] == block.min()], order[block[order] != block.min()]
-        diagonal = frame.column("one")[0].as_py() == frame.column("two")[0].as_py()
+        one, two = order[~right[order]], order[right[order]]
+        diagonal = frame.column("diagonal")[0].as_py()
         out_ids, out_links, out_a, out_b = [], [], [], []
-        if diagonal or len(two):
+        if diagonal or (len(one) and len(two)):
             weight = copies[one] if diagonal else np.concatenate([copies[one], copies[two]])
             both, links, forest = _linked(sets, one, None if diagonal else two, weight, least)
             hit = links > 0
@@ -196,6 +199,49 @@ def _compare(k: int, least: float):
     return run
 
 
+def _met(texts: DataFrame, similarity: float) -> DataFrame:
+    """Every text once per block pair it takes part in: component, level, above, one, two (the pair), diagonal, right.
+
+    Sets that are `similarity` alike differ in size by that ratio at most. With levels one ratio wide only texts of
+    one level and of neighbouring levels need to meet. A level is cut into blocks by a hash; each pair of blocks is
+    a task of its own.
+    """
+    step = -math.log(similarity) if similarity < 1 else math.inf
+    level = F.floor(F.log(F.col("size").cast("double")) / step) if 0 < step < math.inf else F.col("size")
+    texts = texts.withColumn("level", level.cast("long"))
+    sizes = texts.groupBy("component", "level").agg(
+        F.greatest(
+            F.ceil(F.sum(F.octet_length("text") + 64) / GROUP_BYTES), F.ceil(F.count("*") / GROUP_TEXTS)
+        ).alias("blocks")
+    )
+    below = sizes.select("component", (F.col("level") + 1).alias("level"), F.col("blocks").alias("below"))
+    above = sizes.select("component", (F.col("level") - 1).alias("level"), F.col("blocks").alias("above"))
+    sizes = sizes.join(below, ["component", "level"], "left").join(above, ["component", "level"], "left")
+    blocked = texts.join(cut_lineage(sizes), ["component", "level"])
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
+
+    def others(n: str, pair):
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), pair)).otherwise(F.array())
+
+    def met(level, above: bool, one, two, diagonal, right):
+        return F.struct(
+            level.alias("level"),
+            F.lit(above).alias("above"),
+            one.alias("one"),
+            two.alias("two"),
+            diagonal.alias("diagonal"),
+            right.alias("right"),
+        )
+
+    here, level, no = F.col("block"), F.col("level"), F.lit(False)
+    same = others("blocks", lambda o: met(level, False, F.least(here, o), F.greatest(here, o), here == o, here > o))
+    up = others("above", lambda o: met(level, True, here, o, no, no))
+    down = others("below", lambda o: met(level - 1, True, o, here, no, F.lit(True)))
+    pairs = blocked.select("component", "class", "copies", "text", F.explode(F.concat(same, up, down)).alias("met"))
+    pairs = pairs.select("component", "class", "copies", "text", "met.*")
+    return pairs.repartition("component", "level", "above", "one", "two")
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -218,7 +264,7 @@ def near_duplicates(
         F.xxhash64(F.col(text)).alias("copy"),
         F.col(text).cast("string").alias("text"),
     )
-    schema = "doc_id long, copy long, n_words long, digest long, bands array<long>"
+    schema = "doc_id long, copy long, n_words long, digest long, size long, bands array<long>"
     signed = cut_lineage(given.mapInArrow(_signatures(bands, rows, k), schema))
     # Wordless texts are told apart by their digest of all characters, null texts stay alone.
     has_words = F.col("n_words") > 0
@@ -231,6 +277,7 @@ def near_duplicates(
         .agg(
             F.count("*").alias("copies"),
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("from"),
+            F.first("size").alias("size"),
             F.first("bands", ignorenulls=True).alias("bands"),
         )
     )
@@ -244,35 +291,19 @@ def near_duplicates(
     )
     near = cut_lineage(components(stars).withColumnRenamed("id", "class"))
     # One text per class joins its component; the text stands for its shingle set.
-    chosen = near.join(classes.select("class", "copies", "from"), "class").select(
-        "class", "component", "copies", F.col("from.doc_id").alias("doc_id"), F.col("from.copy").alias("copy")
+    chosen = near.join(classes.select("class", "copies", "size", "from"), "class").select(
+        "class", "component", "copies", "size", F.col("from.doc_id").alias("doc_id"), F.col("from.copy").alias("copy")
     )
     texts = given.where("text is not null").alias("g").join(
         chosen.alias("c"),
         F.col("g.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("g.copy") == F.col("c.copy")),
     )
-    texts = texts.select("class", "component", "copies", "g.text").dropDuplicates(["class"])
+    texts = texts.select("class", "component", "copies", "size", "g.text").dropDuplicates(["class"])
     texts = cut_lineage(texts)
-    sizes = texts.groupBy("component").agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.count("*").alias("n"))
-    sizes = sizes.select(
-        "component",
-        F.greatest(F.ceil(F.col("bytes") / GROUP_BYTES), F.ceil(F.col("n") / 1024)).cast("int").alias("blocks"),
-    )
-    blocked = texts.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    # Block i meets every block j once; with one block it meets itself.
-    pairs = blocked.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "component",
-        "class",
-        "copies",
-        "block",
-        "text",
-        F.least("block", "other").alias("one"),
-        F.greatest("block", "other").alias("two"),
-    )
     verified = cut_lineage(
-        pairs.groupBy("component", "one", "two").applyInArrow(
-            _compare(k, similarity), "class long, links long, a long, b long"
-        )
+        _met(texts, similarity)
+        .groupBy("component", "level", "above", "one", "two")
+        .applyInArrow(_compare(k, similarity), "class long, links long, a long, b long")
     )
     links = verified.where("class is not null").groupBy("class").agg(F.sum("links").alias("links"))
     joined = components(verified.where("a is not null").select("a", "b")).withColumnRenamed("id", "class")
@@ -299,15 +330,15 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str =
     Of rows of one id and one text a single one stays. The keys are plain columns, so that the join and the
     removal of repeats share one shuffle of the texts.
     """
+    names = fresh(docs, "near_id", "near_null", "near_copy")
     ids = F.col(id_col).cast("long")
-    key = [F.coalesce(ids, F.lit(0)).alias("_id"), ids.isNull().alias("_null")]
     found = near_duplicates(docs, id_col=id_col, text=text).where("first")
     kept = found.select(
-        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_null"), F.col("copy").alias("_copy")
+        *[c.alias(n) for c, n in zip([F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), F.col("copy")], names)]
     )
-    names = ["_id", "_null", "_copy"]
-    rows = docs.select("*", *key, F.xxhash64(F.col(text)).alias("_copy")).join(kept, names, "left_semi")
-    return rows.dropDuplicates(names).select(*docs.columns)
+    key = [F.coalesce(ids, F.lit(0)), ids.isNull(), F.xxhash64(F.col(text))]
+    rows = docs.select("*", *[c.alias(n) for c, n in zip(key, names)]).join(kept, names, "left_semi")
+    return rows.dropDuplicates(names).drop(*names)
 
 
 @query("op7_minhash_jaccard_join")

@@ -11,16 +11,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.llm.files import fresh
 from spendlens.llm.registry import query, table
 
 DIMENSIONS = 1024
 GRAM = 3
 BLOCK = 1 << 18  # letters worked on at once
+GRAMS = 4096  # n-gram vectors at once
 TEXTS = 256
-KEPT_GRAMS = 60_000  # n-gram vectors a worker remembers
+KEPT_LETTERS = 4096  # letter vectors a worker remembers
 SCALE = 1 << 20  # unit vectors are summed as whole numbers, so sums do not depend on their order
 SPACE = 32
 UNKNOWN = "und"
@@ -36,47 +38,42 @@ def _letters() -> np.ndarray:
 
 
 class Space:
-    """Vectors of letters and n-grams; each letter's vector follows from its code point alone."""
+    """Vectors of letters; each follows from its code point alone. N-grams are bound when they are needed, so a
+    worker remembers KEPT_LETTERS vectors at most."""
 
-    def __init__(self, dimensions: int, n: int):
-        self.dimensions, self.n = dimensions, n
+    def __init__(self, dimensions: int):
+        self.dimensions = dimensions
         self.letter: dict[int, np.ndarray] = {}
-        self.row: dict[tuple[int, ...], int] = {}
-        self.grams = np.zeros((1024, dimensions), dtype=np.int8)
 
-    def vector(self, code: int) -> np.ndarray:
-        if code not in self.letter:
-            rng = np.random.Generator(np.random.PCG64([7919, code]))
-            self.letter[code] = (rng.integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1).astype(np.int8)
-        return self.letter[code]
+    def vectors(self, codes: np.ndarray) -> np.ndarray:
+        if len(self.letter) > KEPT_LETTERS:
+            self.letter.clear()
+        out = np.empty((len(codes), self.dimensions), dtype=np.int8)
+        for i, code in enumerate(codes.tolist()):
+            if code not in self.letter:
+                rng = np.random.Generator(np.random.PCG64([7919, code]))
+                self.letter[code] = (rng.integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1).astype(np.int8)
+            out[i] = self.letter[code]
+        return out
 
     def bound(self, grams: np.ndarray) -> np.ndarray:
         """Vectors of the n-grams, one per row of code points."""
-        if len(self.row) + len(grams) > KEPT_GRAMS:
-            self.row.clear()
-            self.letter.clear()
-        rows = np.empty(len(grams), dtype=np.int64)
-        for i, gram in enumerate(map(tuple, grams.tolist())):
-            at = self.row.get(gram)
-            if at is None:
-                at = self.row[gram] = len(self.row)
-                if at >= len(self.grams):
-                    self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
-                value = self.vector(gram[-1]).copy()
-                for turn, code in enumerate(reversed(gram[:-1]), 1):
-                    value *= np.roll(self.vector(code), turn)
-                self.grams[at] = value
-            rows[i] = at
-        return self.grams[rows].astype(np.float32)
+        n = grams.shape[1]
+        codes, at = np.unique(grams, return_inverse=True)
+        at, letters = at.reshape(grams.shape), self.vectors(codes)
+        out = letters[at[:, -1]]
+        for turn in range(1, n):
+            out *= np.roll(letters, turn, axis=1)[at[:, n - 1 - turn]]
+        return out.astype(np.float32)
 
 
-_spaces: dict[tuple[int, int], Space] = {}
+_spaces: dict[int, Space] = {}
 
 
-def _space(dimensions: int, n: int) -> Space:
-    if (dimensions, n) not in _spaces:
-        _spaces[dimensions, n] = Space(dimensions, n)
-    return _spaces[dimensions, n]
+def _space(dimensions: int) -> Space:
+    if dimensions not in _spaces:
+        _spaces[dimensions] = Space(dimensions)
+    return _spaces[dimensions]
 
 
 def _symbols(text: str) -> Iterator[np.ndarray]:
@@ -114,7 +111,7 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def text_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """Bundle of every text's n-grams, and whether it has a letter."""
-    space = _space(dimensions, GRAM)
+    space = _space(dimensions)
     out = np.zeros((len(texts), dimensions), dtype=np.float32)
     lettered = np.zeros(len(texts), dtype=bool)
     for row, symbols in _blocks(texts):
@@ -140,9 +137,9 @@ def text_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> tuple
         else:
             present, column = np.unique(gram, return_inverse=True)
         letters = np.stack([codes[present // wide**j % wide] for j in reversed(range(GRAM))], axis=1)
-        for at in range(0, len(present), 16_384):
-            inside = (column >= at) & (column < at + 16_384)
-            some = min(16_384, len(present) - at)
+        for at in range(0, len(present), GRAMS):
+            inside = (column >= at) & (column < at + GRAMS)
+            some = min(GRAMS, len(present) - at)
             counts = np.bincount(owner[inside] * some + column[inside] - at, minlength=len(owners) * some)
             counts = counts.reshape(len(owners), some).astype(np.float32)
             out[owners] += counts @ space.bound(letters[at : at + some])
@@ -194,46 +191,45 @@ def learn_prototypes(
     return dict(zip(names, _unit(np.stack([found[n] for n in names]))))
 
 
-def _predicted(shared, dimensions: int, keep: list[str]):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        names, prototypes = shared.value
-        for batch in batches:
-            lang, score = [], []
-            for at in range(0, batch.num_rows, 1024):
-                vectors, lettered = text_vectors(batch.column(0).slice(at, 1024).to_pylist(), dimensions)
-                if not len(names):
-                    lettered[:] = False
-                    cosine = np.zeros((len(vectors), 1))
-                else:
-                    cosine = _unit(vectors) @ prototypes.T
-                best = cosine.argmax(axis=1)
-                lang += [names[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
-                score += np.where(lettered, np.clip(cosine.max(axis=1), 0, 1), 0).tolist()
-            arrays = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                names=[*keep, "lang_pred", "score"],
-            )
+def predicted(text: Column, prototypes: dict[str, np.ndarray], spark: SparkSession) -> Column:
+    """Struct of lang_pred and score (the cosine cut to 0..1) of a text column.
 
-    return run
+    Only the text goes to Python; the row's other columns stay where they are. Null texts, texts without a
+    letter, and all texts if nothing was learned, are `und` with score 0. Equal cosines go to the label that sorts
+    first.
+    """
+    names = sorted(prototypes)
+    matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, 1), np.float32)
+    shared = spark.sparkContext.broadcast((names, matrix))
+    size = len(next(iter(prototypes.values()))) if names else DIMENSIONS
+
+    def run(texts: pa.Array) -> pa.Array:
+        names, matrix = shared.value
+        lang, score = [], []
+        for at in range(0, len(texts), 1024):
+            vectors, lettered = text_vectors(texts.slice(at, 1024).to_pylist(), size)
+            if not names:
+                lettered[:] = False
+            cosine = _unit(vectors) @ matrix.T if names else np.zeros((len(vectors), 1))
+            best = cosine.argmax(axis=1)
+            lang += [names[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
+            score += np.where(lettered, np.clip(cosine.max(axis=1), 0, 1), 0).tolist()
+        return pa.StructArray.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"]
+        )
+
+    return F.arrow_udf(run, "lang_pred string, score double")(text.cast("string"))
 
 
 def identify(
     docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
-    """The columns `keep` (all by default) with lang_pred and score, the cosine cut to 0..1.
-
-    Null texts, texts without a letter, and all texts if nothing was learned, are `und` with score 0. Equal
-    cosines go to the label that sorts first. Columns named lang_pred or score are replaced.
-    """
+    """The columns `keep` (all by default) with lang_pred and score, as `predicted` gives them. Columns named
+    lang_pred or score are replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    names = sorted(prototypes)
-    matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, 1), np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
-    size = len(next(iter(prototypes.values()))) if names else DIMENSIONS
-    rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
-    return rows.mapInArrow(_predicted(shared, size, keep), ", ".join([*fields, "lang_pred string", "score double"]))
+    found = fresh(docs, "found")
+    rows = docs.select(*keep, predicted(F.col(text), prototypes, docs.sparkSession).alias(found))
+    return rows.select(*keep, f"{found}.lang_pred", f"{found}.score")
 
 
 def held_out(id_col: str = "doc_id"):

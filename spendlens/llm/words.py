@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20  # bytes worked on at once
+BLOCK = 1 << 18  # bytes worked on at once
 _BYTES = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 IN_WORD = (
@@ -96,10 +96,10 @@ def hashed(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     if len(low) > BLOCK:  # only with a single word longer than a block
         out = np.empty(len(start), dtype=np.uint64)
         for i, (a, b) in enumerate(zip(start, end)):
-            total, word = np.uint64(0), low[a:b].astype(np.uint64) + np.uint64(1)
+            total, word = 0, low[a:b].astype(np.uint64) + np.uint64(1)
             for j in range(0, len(word), BLOCK):
                 part = (word[j : j + BLOCK] * up[: len(word[j : j + BLOCK])]).sum(dtype=np.uint64)
-                total = total + part * np.uint64(pow(_BASE, j, 1 << 64))
+                total = (total + int(part) * pow(_BASE, j, 1 << 64)) & 0xFFFFFFFFFFFFFFFF
             out[i] = total
         return mixed(out)
     sums = np.zeros(len(low) + 1, dtype=np.uint64)

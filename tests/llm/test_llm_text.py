@@ -221,12 +221,12 @@ def test_bucket_counts_in_blocks(monkeypatch):
 
 
 def test_text_vectors_are_bound_letters(monkeypatch):
-    space = language._space(64, 3)
+    space = language._space(64)
     text = "Ab, cé"
     symbols = " ab cé "
     want = np.zeros(64)
     for i in range(len(symbols) - 2):
-        a, b, c = (space.vector(ord(s)).astype(float) for s in symbols[i : i + 3])
+        a, b, c = space.vectors(np.array([ord(s) for s in symbols[i : i + 3]])).astype(float)
         want += np.roll(a, 2) * np.roll(b, 1) * c
     got, lettered = language.text_vectors([text, None, "12 .", ""], 64)
     assert (got[0] == want).all() and lettered.tolist() == [True, False, False, False]
