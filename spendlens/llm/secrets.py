@@ -118,7 +118,8 @@ def _value(text: str, at: int, bare: bool) -> tuple[list[tuple[int, int, bool]],
             names.append(next(x for x in found.groups() if x))
             at = found.end() if not literals or literals[-1][1] < found.end() else literals[-1][1]
         elif bare and not literals and (found := _BARE.match(text, at)):
-            literals.append((found.start(), found.end(), False))
+            if not text.startswith("(", found.end()):  # a call has no literal of its own
+                literals.append((found.start(), found.end(), False))
             at = found.end()
         else:
             return literals, names, at
