@@ -1,5 +1,7 @@
 """Exact, lexical, dense and fused search, and the cascade."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,10 @@ from spendlens.operators.lexical import (
     tfidf_query_terms,
 )
 from spendlens.operators.models import cosine
+from spendlens.operators.stored_index import append_index, build_index, open_index, search_terms, search_texts
 from spendlens.plans.classify import classify
 from spendlens.plans.search import index_knowledge, search
-from spendlens.session import cut_lineage
+from spendlens.session import cut_lineage, shared_folder
 
 LOOKUP = """
 ids AS (SELECT alias, string_agg(entry_id, '|' ORDER BY priority DESC, entry_id) AS entry_ids, count(*) AS n FROM (
@@ -149,6 +152,26 @@ def j5_common_terms(spark, sf):
     return top5(sparse_top_k(wanted, postings, 15, "item_id", "doc_id"))
 
 
+def in_two_batches(spark, sf, kind):
+    """A stored index of all documents: half of them first, all of them (half are known by then) appended."""
+    rows, root = docs(spark, sf), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    first = build_index(rows.where("doc_id % 2 = 0"), "doc_id", "text", root, kind, bins=16)
+    append_index(first, rows, "text")
+    return open_index(spark, root)
+
+
+@query("j4_stored_tfidf_top5", q.with_(TFIDF) + RANKED)
+def j4_stored_tfidf_top5(spark, sf):
+    index = in_two_batches(spark, sf, "tfidf")
+    return top5(search_texts(index, table(spark, sf, "benchmark"), 5, "item_id", "text"))
+
+
+@query("j5_stored_bm25_top5", q.with_(bm25("documents", "doc_id", "text", "d"), BENCH_WORDS) + RANKED)
+def j5_stored_bm25_top5(spark, sf):
+    wanted = bm25_query_terms(table(spark, sf, "benchmark"), "item_id", query_words(F.upper("text")))
+    return top5(search_terms(in_two_batches(spark, sf, "bm25"), wanted, 5, "item_id"))
+
+
 ROLE_WORDS = """
 rw AS (SELECT text, list_filter(list_transform(string_split(brand_tokens || ' ' || descriptor_tokens, ' '),
   lambda x: regexp_replace(upper(x), '[^A-Z0-9]', '', 'g')), lambda x: length(x) >= 2)[1:8] AS w FROM dec),

@@ -13,6 +13,9 @@ Buckets of a very common term are salted, so no task holds a whole term.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +72,16 @@ def tfidf_query_terms(queries: DataFrame, terms: DataFrame, query: str, text: st
     return unit_weights(counts, terms, query).withColumnRenamed("weight", "qweight")
 
 
+def bm25_idf(documents: Column, hits: Column) -> Column:
+    return F.greatest(F.log((documents - hits + 0.5) / (hits + 0.5)), F.lit(IDF_FLOOR))
+
+
+def bm25_share(tf: Column, length: Column, average: Column) -> Column:
+    """What a posting gives per unit of its term's weight."""
+    tf = tf.cast("double")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
 def bm25_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Postings (doc, term, weight) holding each term's whole BM25 share."""
     cut = docs.select(doc, index_words(F.col(text)).alias("tokens"))
@@ -81,12 +94,8 @@ def bm25_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
     total = document_count(docs)
     average = sized.agg(F.avg("length")).scalar()
     hits = counts.groupBy("term").agg(F.count("*").alias("hits"))
-    idf = hits.select(
-        "term",
-        F.greatest(F.log((total - F.col("hits") + 0.5) / (F.col("hits") + 0.5)), F.lit(IDF_FLOOR)).alias("idf"),
-    )
-    tf = F.col("tf").cast("double")
-    share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / average))
+    idf = hits.select("term", bm25_idf(total, F.col("hits")).alias("idf"))
+    share = bm25_share(F.col("tf"), F.col("length"), average)
     return counts.join(idf, "term").select(doc, "term", (F.col("idf") * share).alias("weight"))
 
 
@@ -122,9 +131,26 @@ def below(score: Column) -> Column:
     return score * (1 - 1e-9) - F.lit(2 * 10.0**-RANK_DIGITS)
 
 
-def sure_scores(query_terms: DataFrame, postings: DataFrame, query: str, doc: str, k: int) -> DataFrame:
-    """(query, floor): a score the k-th best document reaches, by the k heaviest postings per term."""
-    heavy = top_n(postings, ["term"], [F.desc("weight"), F.asc(doc)], k).drop("rank")
+class Postings(NamedTuple):
+    """What a search reads: rows (doc, term, weight, bucket, salt), sizes (term, bucket, top, salts) and the heaviest
+    rows of each term."""
+
+    rows: DataFrame
+    sizes: DataFrame
+    heavy: Callable[[int], DataFrame]
+
+
+def in_buckets(postings: DataFrame, doc: str) -> Postings:
+    """Postings (doc, term, weight) written out and cut into buckets for one search."""
+    postings = cut_lineage(postings.select(doc, "term", "weight"))
+    rows, sizes = bucketed(postings, doc)
+    return Postings(
+        rows, sizes, lambda k: top_n(postings, ["term"], [F.desc("weight"), F.asc(doc)], k).drop("rank")
+    )
+
+
+def sure_scores(query_terms: DataFrame, heavy: DataFrame, query: str, doc: str, k: int) -> DataFrame:
+    """(query, floor): a score the k-th best document reaches, by the heaviest postings per term."""
     partial = (
         query_terms.join(heavy, "term")
         .groupBy(query, doc)
@@ -136,22 +162,23 @@ def sure_scores(query_terms: DataFrame, postings: DataFrame, query: str, doc: st
 
 def sparse_top_k(
     query_terms: DataFrame,
-    postings: DataFrame,
+    postings: DataFrame | Postings,
     k: int,
     query: str = "query_id",
     doc: str = "doc_id",
 ) -> DataFrame:
     """(query, doc, score, rank): k best documents by summed qweight x weight.
 
+    Postings are (doc, term, weight), or come in buckets from a stored index.
+
     Documents are ranked by the score to RANK_DIGITS digits; ties go to the
     smaller document id. All hits with a score above zero count. The returned
     score is rounded to SCORE_DIGITS.
     """
-    postings = cut_lineage(postings.select(doc, "term", "weight"))
-    rows, sizes = bucketed(postings, doc)
+    rows, sizes, heavy = postings if isinstance(postings, Postings) else in_buckets(postings, doc)
     tops = sizes.groupBy("term").agg(F.max("top").alias("term_top"))
     wanted = query_terms.join(tops, "term").withColumn("most", F.col("qweight") * F.col("term_top"))
-    floors = sure_scores(query_terms, postings, query, doc, k)
+    floors = sure_scores(query_terms, heavy(k), query, doc, k)
     small_first = Window.partitionBy(query).orderBy("most", "term")
     plan = (
         wanted.join(floors, query, "left")
@@ -187,7 +214,7 @@ def sparse_top_k(
     rest = (
         alive.select(query, doc)
         .join(idle, query)
-        .join(postings, [doc, "term"])
+        .join(rows.select(doc, "term", "weight"), [doc, "term"])
         .select(query, doc, (F.col("qweight") * F.col("weight")).alias("share"))
     )
     scored = (

@@ -22,16 +22,17 @@ from spendlens.operators.lexical import (
     tfidf_index,
     tfidf_query_terms,
 )
+from spendlens.operators.stored_index import StoredIndex, search_terms, search_texts
 from spendlens.options import DEFAULTS, Options
 from spendlens.session import cut_lineage
 
 
 class Knowledge(NamedTuple):
-    """Tables of a knowledge base. Search lists whose table is None stay empty."""
+    """Tables of a knowledge base. Search lists whose table is None stay empty. `postings` may be a stored index."""
 
     entries: DataFrame
     aliases: DataFrame
-    postings: DataFrame | None = None
+    postings: DataFrame | StoredIndex | None = None
     terms: DataFrame | None = None
     vectors: DataFrame | None = None
 
@@ -76,6 +77,9 @@ def lexical_candidates(
     """Ranked lexical list. Token roles only steer the BM25 index."""
     if kb.postings is None:
         return None
+    stored = isinstance(kb.postings, StoredIndex)
+    if stored and kb.postings.kind == "tfidf":
+        return search_texts(kb.postings, queries, options.lexical_candidates, "query_id", "query")
     if kb.terms is not None:
         wanted = tfidf_query_terms(queries, kb.terms, "query_id", "query")
         score = F.col("score")
@@ -87,7 +91,10 @@ def lexical_candidates(
         asked = queries.select("query_id", words.alias("words"))
         wanted = bm25_query_terms(asked, "query_id", F.col("words"))
         score = 1.0 / F.col("rank")
-    ranked = sparse_top_k(wanted, kb.postings, options.lexical_candidates, "query_id", "entry_id")
+    if stored:
+        ranked = search_terms(kb.postings, wanted, options.lexical_candidates)
+    else:
+        ranked = sparse_top_k(wanted, kb.postings, options.lexical_candidates, "query_id", "entry_id")
     return ranked.withColumn("score", score)
 
 
@@ -98,7 +105,9 @@ def dense_candidates(
         return None
     text = F.when(F.length("brand_query") >= options.min_query_chars, F.col("brand_query")).otherwise(F.col("query"))
     vectors = text_vectors(queries.select("query_id", text.alias("asked")), "asked", encoder)
-    found = nearest(vectors.select("query_id", "vector"), kb.vectors, options.dense_candidates)
+    # Written out once: the join reads the queries twice, and an encoder need not give the same bits again.
+    vectors = cut_lineage(vectors.select("query_id", "vector"))
+    found = nearest(vectors, kb.vectors, options.dense_candidates)
     return found.withColumnRenamed("similarity", "score")
 
 
