@@ -2,6 +2,7 @@
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,11 +11,12 @@ from checks.kb_queries import KB_CTES, PLACE_ALIAS
 from checks.registry import query
 from checks.text_queries import CLEAN_TEXTS, DECOMPOSED, distinct_texts, role_ctes
 from checks.views import kb_entries, table, txn
+from spendlens.fixed import OVERRIDE_HINTS
 from spendlens.functions.routing import descriptor_override, direct_gate, enrich_gate
 from spendlens.functions.terms import index_words, query_words, role_words
 from spendlens.functions.tokens import analyze
 from spendlens.operators.dense import nearest
-from spendlens.operators.embedding import hashed_vectors
+from spendlens.operators.embedding import hashed_vectors, text_vectors
 from spendlens.operators.exact import alias_index, lookup
 from spendlens.operators.fusion import choose, cut, fuse, rerank
 from spendlens.operators.kb_build import alias_table
@@ -32,7 +34,7 @@ from spendlens.operators.lexical import (
 from spendlens.operators.models import cosine
 from spendlens.operators.stored_index import append_index, build_index, open_index, search_terms, search_texts
 from spendlens.plans.classify import classify
-from spendlens.plans.search import index_knowledge, search
+from spendlens.plans.search import Knowledge, index_knowledge, search
 from spendlens.session import cut_lineage, shared_folder
 
 LOOKUP = """
@@ -354,38 +356,185 @@ def knowledge(spark, sf, lexical="bm25", dense=False):
     return index_knowledge(entries, alias_table(entries), lexical, dense)
 
 
-@query("j14_search_tokens")
+class Letters:
+    """A plain encoder: counts of letters and digits in a text, and one for every text."""
+
+    def encode(self, texts):
+        return np.array([[1.0, *(t.lower().count(c) for c in SIGNS)] for t in texts], dtype=np.float32)
+
+
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+# Windows of words that are an alias, taken greedily: three words before two, left to right, never overlapping.
+BRANDED = """
+windows AS (SELECT text, size, start, array_to_string(ts[start : start + size - 1], ' ') AS words
+  FROM (SELECT text, ts, size, unnest(generate_series(1, len(ts) - size + 1)) AS start FROM toks, (VALUES (3), (2)) s(size)) w
+  WHERE NOT EXISTS (SELECT 1 FROM taken k WHERE k.text = w.text AND k.i BETWEEN start AND start + size - 1)),
+found_windows AS (SELECT text, size, start, row_number() OVER (PARTITION BY text ORDER BY size DESC, start) AS n
+  FROM windows WHERE words IN (SELECT alias FROM {names})),
+picked AS (SELECT DISTINCT text, 0 AS n, CAST([] AS BIGINT[]) AS pos FROM found_windows
+  UNION ALL SELECT p.text, h.n, CASE WHEN list_has_any(pos, generate_series(start, start + size - 1)) THEN pos
+    ELSE list_concat(pos, generate_series(start, start + size - 1)) END
+  FROM picked p JOIN found_windows h ON h.text = p.text AND h.n = p.n + 1),
+branded AS (SELECT text, unnest(arg_max(pos, n)) AS i FROM picked GROUP BY text),
+judge AS"""
+
+
+def branded_roles(names: str) -> str:
+    return role_ctes("texts", "branded").replace("judge AS", BRANDED.format(names=names).strip(), 1)
+
+
+def recursive(*ctes: str) -> str:
+    return q.with_(*ctes).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def opened(brand: str) -> str:
+    """Texts by their exact aliases, then by those of their brand, and what stays open."""
+    return f"""
+asked AS (SELECT text, {q.clean("text")} AS query, {brand} AS brand_query, brand_tokens, descriptor_tokens FROM dec),
+first_look AS (SELECT a.*, i.entry_ids, coalesce(i.n, 0) AS n, {q.clean("brand_query")} AS cleaned_brand
+  FROM asked a LEFT JOIN ids i ON i.alias = a.query WHERE length(query) >= 3),
+second_look AS (SELECT f.* EXCLUDE (cleaned_brand), b.entry_ids AS brand_ids, coalesce(b.n, 0) AS brand_n, brand FROM (
+    SELECT *, CASE WHEN brand_query <> '' AND brand_query <> query AND length(cleaned_brand) >= 3 THEN cleaned_brand END AS brand
+    FROM first_look WHERE n <> 1) f LEFT JOIN ids b ON b.alias = f.brand),
+open AS MATERIALIZED (SELECT * FROM second_look WHERE brand_n <> 1),
+exact_found AS (SELECT text, entry_ids AS entry_id, query AS matched_alias FROM first_look WHERE n = 1
+  UNION ALL SELECT text, brand_ids, brand FROM second_look WHERE brand_n = 1),
+seed_ids AS (SELECT text, unnest(string_split(entry_ids, '|')) AS entry_id, generate_subscripts(string_split(entry_ids, '|'), 1) AS o FROM open WHERE n > 0
+  UNION ALL SELECT text, unnest(string_split(brand_ids, '|')), 100 + generate_subscripts(string_split(brand_ids, '|'), 1) FROM open WHERE brand_n > 0),
+seed AS (SELECT text, entry_id, row_number() OVER (PARTITION BY text ORDER BY min(o)) AS rank FROM seed_ids GROUP BY text, entry_id)"""
+
+
+LEX_BM25 = """
+role_list AS (SELECT text, query, list_filter(list_transform(string_split(brand_tokens || ' ' || descriptor_tokens, ' '),
+  lambda x: regexp_replace(upper(x), '[^A-Z0-9]', '', 'g')), lambda x: length(x) >= 2)[1:8] AS w FROM open),
+asked_terms AS (SELECT text, unnest(list_transform(CASE WHEN len(w) > 0 THEN w ELSE
+  list_filter(regexp_extract_all(query, '[A-Z0-9]+'), lambda x: length(x) >= 2)[1:8] END, lambda x: lower(x))) AS term FROM role_list),
+lex_scores AS (SELECT text, id AS entry_id, round(sum(weight), 12) AS score FROM asked_terms JOIN post_e USING (term) GROUP BY ALL),
+lex AS (SELECT text, entry_id, 1.0 / rank AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, entry_id) AS rank FROM lex_scores WHERE score > 0) WHERE rank <= 15)"""
+
+LEX_TFIDF = f"""
+corpus AS (SELECT entry_id, document AS text FROM entries),
+wanted AS (SELECT text AS asked_text, query AS text FROM open),
+{grams("corpus", "entry_id")},
+{grams("wanted", "asked_text")},
+idf AS MATERIALIZED (SELECT term, ln((1.0 + (SELECT count(*) FROM entries)) / (1.0 + count(*))) + 1.0 AS idf FROM tf_corpus GROUP BY term),
+wd AS (SELECT id, term, tf * idf AS w FROM tf_corpus JOIN idf USING (term)),
+nd AS (SELECT id, sqrt(sum(w * w)) AS norm FROM wd GROUP BY id),
+wq AS (SELECT id, term, tf * idf AS w FROM tf_wanted JOIN idf USING (term)),
+nq AS (SELECT id, sqrt(sum(w * w)) AS norm FROM wq GROUP BY id),
+lex_scores AS (SELECT wq.id AS text, wd.id AS entry_id, round(sum(wq.w / nq.norm * wd.w / nd.norm), 12) AS score
+  FROM wq JOIN wd USING (term) JOIN nq ON nq.id = wq.id JOIN nd ON nd.id = wd.id GROUP BY ALL),
+lex AS (SELECT text, entry_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, entry_id) AS rank FROM lex_scores WHERE score > 0) WHERE rank <= 15)"""
+
+
+def letters(text: str) -> str:
+    """The vector of `Letters`, scaled to unit length in single precision as an encoder's vectors are."""
+    counts = f"list_transform(string_split('{SIGNS}', ''), lambda c: CAST(length(lower({text})) - length(replace(lower({text}), c, '')) AS DOUBLE))"
+    return f"list_concat([CAST(1 AS DOUBLE)], {counts})"
+
+
+DENSE = f"""
+raw_vectors AS (SELECT 'q' AS side, text AS id, {letters("CASE WHEN length(brand_query) >= 3 THEN brand_query ELSE query END")} AS v FROM open
+  UNION ALL SELECT 'e', entry_id, {letters("document")} FROM entries),
+vectors AS MATERIALIZED (SELECT side, id, list_transform(v, lambda x: CAST(CAST(CAST(x AS FLOAT) /
+  CAST(sqrt(list_sum(list_transform(v, lambda y: y * y))) AS FLOAT) AS FLOAT) AS DOUBLE)) AS v FROM raw_vectors),
+den AS (SELECT text, entry_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, entry_id) AS rank FROM (
+    SELECT a.id AS text, b.id AS entry_id, round(greatest(0.0, least(1.0, list_cosine_similarity(a.v, b.v))), 6) AS score
+    FROM vectors a, vectors b WHERE a.side = 'q' AND b.side = 'e')) WHERE rank <= 15)"""
+ONE = "CAST(1 AS DOUBLE)"
+NO_DENSE = "den AS (SELECT text, entry_id, score, rank FROM lex WHERE false)"
+
+
+def fused_and_chosen(scored: bool) -> str:
+    words = rf"regexp_extract_all({{}}, '[\p{{{{L}}}}\p{{{{N}}}}]+')".replace("{{", "{").replace("}}", "}")
+    asked, held = (words.replace("{}", q.fold_accents(c)) for c in ("o.query", "e.document"))
+    overlap = f"""CASE WHEN len(list_distinct({asked})) > 0 THEN
+      len(list_intersect(list_distinct({asked}), {held})) * {ONE} / len(list_distinct({asked})) ELSE 0 * {ONE} END"""
+    return f"""
+candidate_lists AS (SELECT text, entry_id, 'lexical' AS list, CAST(score AS DOUBLE) AS score, 0.8 / (20 + rank) AS share, 1000 + rank AS place FROM lex
+  UNION ALL SELECT text, entry_id, 'dense', score, 1.0 / (20 + rank), 2000 + rank FROM den
+  UNION ALL SELECT text, entry_id, 'seed', {ONE}, 4.0 / rank, rank FROM seed),
+fused AS (SELECT text, entry_id,
+  coalesce(max(score) FILTER (list = 'lexical'), max({ONE}) FILTER (list = 'seed')) AS lexical_score,
+  coalesce(max(score) FILTER (list = 'dense'), max({ONE}) FILTER (list = 'seed')) AS dense_score,
+  count_if(list = 'seed') > 0 AS is_seed, sum(CAST(share AS DOUBLE)) AS fused_score, min(place) AS place FROM candidate_lists GROUP BY ALL),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY round(fused_score, 12) DESC, place, entry_id) AS rank
+  FROM fused) WHERE rank <= 20),
+judged AS (SELECT r.*, o.query, e.canonical_name, greatest(coalesce(dense_score, 0), coalesce(lexical_score, 0)) AS own,
+    {overlap if scored else "CAST(NULL AS DOUBLE)"} AS overlap
+  FROM ranked r JOIN open o ON o.text = r.text JOIN entries e ON e.entry_id = r.entry_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY overlap DESC NULLS LAST, rank) AS by_overlap FROM judged),
+chosen AS (SELECT text, max(CASE WHEN by_overlap = 1 AND overlap >= 0.58 THEN 1 ELSE 0 END) AS reranked FROM best GROUP BY text),
+fused_found AS (SELECT b.text, entry_id, CASE WHEN is_seed THEN query ELSE canonical_name END AS matched_alias,
+    CASE reranked WHEN 1 THEN overlap ELSE own END AS similarity, CASE reranked WHEN 1 THEN 'rerank' ELSE 'dense_lexical' END AS strategy,
+    dense_score, lexical_score, fused_score, CASE reranked WHEN 1 THEN overlap END AS rerank_score
+  FROM best b JOIN chosen c ON c.text = b.text
+  WHERE CASE reranked WHEN 1 THEN by_overlap = 1 ELSE rank = 1 AND own >= 0.58 END),
+matches AS (SELECT text, entry_id, matched_alias, {ONE} AS similarity, 'exact' AS strategy, {ONE} AS dense_score, {ONE} AS lexical_score,
+    {ONE} AS fused_score, {ONE} AS rerank_score FROM exact_found
+  UNION ALL SELECT * FROM fused_found)"""
+
+
+FOUND = """
+SELECT a.text, a.query, entry_id, matched_alias, round(similarity, 6) AS similarity, strategy, round(dense_score, 6) AS dense_score,
+  round(lexical_score, 6) AS lexical_score, round(fused_score, 6) AS fused_score, round(rerank_score, 6) AS rerank_score
+FROM asked a LEFT JOIN matches m ON m.text = a.text"""
+FULL_SEARCH = [
+    *KB_CTES, PLACE_ALIAS, q.TXN, q.CLEANED, CLEAN_TEXTS, branded_roles("aliases"), DECOMPOSED, LOOKUP, opened("brand_query"),
+    bm25("entries", "entry_id", "document", "e"), LEX_BM25, DENSE, fused_and_chosen(True),
+]
+
+
+def as_found(found):
+    scores = ["similarity", "dense_score", "lexical_score", "fused_score", "rerank_score"]
+    return found.select(
+        "text", "query", "entry_id", "matched_alias", "strategy", *[F.round(c, 6).alias(c) for c in scores]
+    )
+
+
+def full_knowledge(spark, sf):
+    """Stored entries with a stored BM25 index and vectors of an external encoder."""
+    entries = stored_entries(spark, sf)
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = build_index(entries, "entry_id", "document", root, bins=8)
+    vectors = text_vectors(entries.select("entry_id", "document"), "document", Letters()).select("entry_id", "vector")
+    return Knowledge(entries, alias_table(entries), index, None, cut_lineage(vectors))
+
+
+@query("j14_search_tokens", recursive(*FULL_SEARCH) + FOUND)
 def j14_search_tokens(spark, sf):
-    found = search(distinct_texts(spark, sf), knowledge(spark, sf, dense=True), scorer="overlap")
-    return found.drop("decomposed")
+    return as_found(search(distinct_texts(spark, sf), full_knowledge(spark, sf), scorer="overlap", encoder=Letters()))
 
 
-@query("j14_search_plain")
+@query("j14_search_plain", recursive(*KB_CTES, PLACE_ALIAS, q.TXN, q.CLEANED, CLEAN_TEXTS, role_ctes("texts"), DECOMPOSED, LOOKUP,
+       opened("text"), LEX_TFIDF, NO_DENSE, fused_and_chosen(False)) + FOUND)
 def j14_search_plain(spark, sf):
-    return search(distinct_texts(spark, sf), knowledge(spark, sf, "tfidf"), use_tokens=False).drop("decomposed")
-
-
-# No word list is known as a multi-word brand here beyond the aliases of the entries themselves, and a
-# direct answer needs one decisive alias; both are settled by the exact lookups.
-CASCADE = """
-answers AS (SELECT d.text, a.entry_ids AS full_id, a.n AS full_n, b.entry_ids AS brand_id, b.n AS brand_n, c.descriptor_context
-  FROM dec d LEFT JOIN ids a ON a.alias = d.text LEFT JOIN ids b ON b.alias = d.brand_query AND d.brand_query <> d.text
-  LEFT JOIN context c ON c.text = d.text),
-kb_hits AS (SELECT text, descriptor_context, CASE WHEN full_n = 1 THEN full_id WHEN brand_n = 1 THEN brand_id END AS entry_id FROM answers),
-kb AS (SELECT h.text, CASE
-    WHEN contains(descriptor_context, 'gas station, fuel') THEN 'Transportation'
-    WHEN contains(descriptor_context, 'cloud computing') THEN 'Utilities & Services'
-    ELSE e.mapped_category END AS category
-  FROM kb_hits h JOIN entries e ON e.entry_id = h.entry_id WHERE e.mapped_category IS NOT NULL AND e.mapping_confidence >= 0.82)
+    return as_found(search(distinct_texts(spark, sf), knowledge(spark, sf, "tfidf"), use_tokens=False))
+
+
+OVERRIDES = "MAP {" + ", ".join(f"{q.lit(h)}: {q.lit(c)}" for h, c in OVERRIDE_HINTS.items()) + "}"
+CASCADE = f"""
+ruled_open AS (SELECT DISTINCT cleaned FROM ruled WHERE direction IS NULL AND rule IS NULL AND cleaned <> ''),
+answered AS (SELECT m.text, m.strategy, m.similarity, e.mapped_category, e.mapping_confidence, e.metadata_text, e.display_name,
+    e.canonical_name, e.labels, coalesce(c.descriptor_context, '') AS descriptor_context, coalesce(m.strategy <> 'rerank' AND
+      m.similarity >= 0.9 AND e.mapping_confidence >= 0.82 AND e.mapped_category IS NOT NULL, false) AS direct
+  FROM ruled_open o JOIN asked a ON a.text = o.cleaned LEFT JOIN matches m ON m.text = a.text
+  LEFT JOIN entries e ON e.entry_id = m.entry_id LEFT JOIN context c ON c.text = a.text),
+kb AS (SELECT text, coalesce(list_filter(list_transform(string_split(descriptor_context, '; '), lambda h: {OVERRIDES}[h]),
+    lambda x: x IS NOT NULL)[1], mapped_category) AS category FROM answered WHERE direct)
 SELECT coalesce(direction, rule, kb.category) AS category,
   CASE WHEN direction IS NOT NULL THEN 'direction' WHEN rule IS NOT NULL THEN 'rules' WHEN kb.category IS NOT NULL THEN 'knowledge_base' END AS source,
   coalesce(direction, rule, kb.category) IS NULL AS flagged_for_review, count(*) AS n
 FROM txn t JOIN ruled r ON t.raw = r.raw LEFT JOIN kb ON kb.text = r.cleaned AND direction IS NULL AND rule IS NULL GROUP BY ALL"""
 
 
-@query("r8_cascade", q.with_(*KB_CTES, PLACE_ALIAS, q.TXN, q.CLEANED, CLEAN_TEXTS, role_ctes("texts"), DECOMPOSED, LOOKUP) + "," + CASCADE)
+@query("r8_cascade", recursive(*FULL_SEARCH) + "," + CASCADE)
 def r8_cascade(spark, sf):
-    rows = classify(txn(spark, sf), "raw", kb=knowledge(spark, sf, lexical=None))
+    rows = classify(txn(spark, sf), "raw", kb=full_knowledge(spark, sf), scorer="overlap", encoder=Letters())
     return rows.groupBy("category", "source", "flagged_for_review").agg(F.count("*").alias("n"))
 
 
