@@ -282,6 +282,29 @@ hints AS (
 ),
 context AS (SELECT text, string_agg(hint, '; ' ORDER BY o) AS descriptor_context FROM hints GROUP BY text)"""
 
+# Windows of words that are an alias, taken greedily: three words before two, left to right, never overlapping.
+BRANDED = """
+windows AS (SELECT text, size, start, array_to_string(ts[start : start + size - 1], ' ') AS words
+  FROM (SELECT text, ts, size, unnest(generate_series(1, len(ts) - size + 1)) AS start FROM toks, (VALUES (3), (2)) s(size)) w
+  WHERE NOT EXISTS (SELECT 1 FROM taken k WHERE k.text = w.text AND k.i BETWEEN start AND start + size - 1)),
+found_windows AS (SELECT text, size, start, row_number() OVER (PARTITION BY text ORDER BY size DESC, start) AS n
+  FROM windows WHERE words IN (SELECT alias FROM {names})),
+picked AS (SELECT DISTINCT text, 0 AS n, CAST([] AS BIGINT[]) AS pos FROM found_windows
+  UNION ALL SELECT p.text, h.n, CASE WHEN list_has_any(pos, generate_series(start, start + size - 1)) THEN pos
+    ELSE list_concat(pos, generate_series(start, start + size - 1)) END
+  FROM picked p JOIN found_windows h ON h.text = p.text AND h.n = p.n + 1),
+branded AS (SELECT text, unnest(arg_max(pos, n)) AS i FROM picked GROUP BY text),
+judge AS"""
+
+
+def branded_roles(names: str) -> str:
+    return role_ctes("texts", "branded").replace("judge AS", BRANDED.format(names=names).strip(), 1)
+
+
+def recursive(*ctes: str) -> str:
+    return q.with_(*ctes).replace("WITH", "WITH RECURSIVE", 1)
+
+
 CLEAN_TEXTS = "texts AS (SELECT DISTINCT cleaned AS text FROM raw_clean)"
 LINE_TEXTS = f"""texts AS (SELECT DISTINCT {q.clean("line")} || CASE WHEN length(line) % 3 = 0 THEN ' GAS BAR CONV.' ELSE ' 12 OTTAWA' END AS text
   FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))"""
@@ -334,7 +357,10 @@ def k10_role_stats(spark, sf):
     return roles.groupBy("r.role", "r.token").agg(F.count("*").alias("n"))
 
 
-@query("k3_brand_windows")
+@query("k3_brand_windows", recursive(q.PLACE, q.TXN, q.CLEANED, CLEAN_TEXTS,
+       f"place_names AS (SELECT DISTINCT {q.clean('name')} AS alias FROM canada)", branded_roles("place_names")) + """,
+last_pick AS (SELECT text, arg_max(pos, n) AS pos FROM picked GROUP BY text)
+SELECT t.text, coalesce(array_to_string(pos, ','), '') AS positions FROM texts t LEFT JOIN last_pick p ON p.text = t.text""")
 def k3_brand_windows(spark, sf):
     """Greedy brand windows of all transaction texts against all place names."""
     aliases = canada(spark, sf).select(clean_text(F.col("name")).alias("alias")).distinct()
