@@ -1,5 +1,7 @@
 """Sources and knowledge-base build."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sql as q
@@ -8,7 +10,16 @@ from checks.views import canada, kb_entries, lines, place, seeds, table, txn
 from spendlens.functions.labels import map_labels
 from spendlens.operators import kb_build as kb
 from spendlens.operators.embedding import hashed_vectors
-from spendlens.sources.knowledge import entry_records, merge_store, vector_rows
+from spendlens.session import shared_folder
+from spendlens.sources.knowledge import (
+    entry_records,
+    merge_store,
+    read_store,
+    read_vectors,
+    upsert_vectors,
+    vector_rows,
+    write_store,
+)
 from spendlens.sources.places import cap_rows, latest_release, scan_places
 from spendlens.sources.transactions import candidate_names, training_rows
 
@@ -333,6 +344,38 @@ def s9_store_merge(spark, sf):
     )
 
 
+@query("s9_store_batches", q.with_(*KB_CTES) + """
+SELECT entry_id, canonical_name, source, mapped_category, document FROM entries""")
+def s9_store_batches(spark, sf):
+    """Seeds, then places (names repeat in the batch and in the store), then all of them again."""
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    seed, place_rows = kb.seed_entries(seeds(spark, sf)), kb.place_entries(canada(spark, sf))
+    for batch in (seed, place_rows, seed):
+        write_store(spark, root, batch)
+    return read_store(spark, root)[0].select("entry_id", "canonical_name", "source", "mapped_category", "document")
+
+
+@query("s10_vector_upsert", """
+SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS document,
+  round(CAST((CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding) ELSE embedding END)[1] AS DOUBLE), 6) AS first_value
+FROM embeddings
+UNION ALL SELECT 'extra', 'new', 0.5""")
+def s10_vector_upsert(spark, sf):
+    """All vectors, then new ones for a third of the ids and for one that is not known, each twice."""
+    root = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"), F.lit("old").alias("document"), "embedding",
+        F.lit("n").alias("canonical_name"), F.lit("").alias("mapped_category"), F.lit("s").alias("source"), "vec_id",
+    )
+    upsert_vectors(spark, root, rows)
+    new = rows.where("vec_id % 3 = 0").withColumn("embedding", F.reverse("embedding"))
+    extra = rows.where("vec_id = 0").withColumn("id", F.lit("extra")).withColumn("embedding", F.array(F.lit(0.5).cast("float")))
+    new = new.unionByName(extra).withColumn("document", F.lit("new"))
+    upsert_vectors(spark, root, new.unionByName(new))
+    first = F.round(F.col("embedding")[0].cast("double"), 6)
+    return read_vectors(spark, root).select("id", "document", first.alias("first_value"))
+
+
 @query("s10_vector_rows")
 def s10_vector_rows(spark, sf):
     entries = kb_entries(spark, sf)

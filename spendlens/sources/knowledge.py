@@ -10,7 +10,8 @@ from spendlens.functions.names import clean_aliases, search_document, strings
 from spendlens.operators.kb_build import alias_table
 from spendlens.operators.ranking import top_n
 from spendlens.options import DEFAULTS, Options
-from spendlens.sources.tables import current_version, publish, read_version
+from spendlens.session import cut_lineage
+from spendlens.sources.deltas import newest, publish_delta, read_deltas, touched
 
 RECORDS = (
     "array<struct<entry_id:string,id:string,canonical_name:string,display_name:string,aliases:array<string>,"
@@ -99,18 +100,75 @@ def merge_store(
     return {"entries": new, "aliases": aliases, "documents": new.select("entry_id", "document")}
 
 
+_ENTRIES = (
+    "entry_id string, canonical_name string, display_name string, mapped_category string, mapping_confidence double,"
+    " metadata_text string, source string, raw_category_labels array<string>, locality string, region string,"
+    " country string, document string"
+)
+_ALIASES = "alias string, entry_id string, priority int"
+_VECTORS = (
+    "id string, document string, embedding array<float>, canonical_name string, mapped_category string, source string"
+)
+
+
+def first_of_batch(entries: DataFrame) -> DataFrame:
+    """One entry per id, then one per name: the first by `position` where there is one, then by all fields."""
+    place = [F.col("position")] if "position" in entries.columns else []
+    order = F.struct(*place, *[F.col(c) for c in ENTRY_FIELDS])
+    rows = entries.select(*ENTRY_FIELDS, order.alias("_order"))
+    for key in ("entry_id", "canonical_name"):
+        rows = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), "_order").alias("_r")).select("_r.*")
+    return rows.select(*ENTRY_FIELDS)
+
+
 def write_store(spark: SparkSession, root: str, entries: DataFrame, reset: bool = False) -> int:
-    """Append to the store, or rebuild it with `reset`. Returns the new version."""
-    version = None if reset else current_version(spark, root)
-    old = [None if version is None else read_version(spark, root, n, version) for n in ("entries", "aliases")]
-    return publish(spark, root, merge_store(entries, *old))
+    """Append to the store, or rebuild it with `reset`. Returns the new version.
+
+    An entry is kept on first write, by id and by name, inside a batch too. What the store has is looked up in the
+    buckets of the batch's keys alone, and only new rows are written: entries, their names, and aliases that are new
+    or have a higher priority than before.
+    """
+    at = None if reset else newest(spark, root)
+    rows = cut_lineage(first_of_batch(entries))
+    aliases = alias_table(entries).withColumn("priority", F.col("priority").cast("int"))
+    if at is not None:
+        ids = read_deltas(spark, root, "entries", _ENTRIES, at).select("entry_id", "bucket")
+        names = read_deltas(spark, root, "names", "canonical_name string", at)
+        rows = rows.join(touched(ids, "entry_id", rows, at.buckets).select("entry_id"), "entry_id", "left_anti")
+        known = touched(names, "canonical_name", rows, at.buckets).select("canonical_name")
+        rows = cut_lineage(rows.join(known, "canonical_name", "left_anti").select(*ENTRY_FIELDS))
+        old = touched(read_deltas(spark, root, "aliases", _ALIASES, at), "alias", aliases, at.buckets)
+        old = old.groupBy("alias", "entry_id").agg(F.max("priority").alias("before"))
+        aliases = aliases.join(old, ["alias", "entry_id"], "left").where("before is null or priority > before")
+    tables = {
+        "entries": (rows, "entry_id"),
+        "names": (rows.select("canonical_name"), "canonical_name"),
+        "aliases": (aliases.select("alias", "entry_id", "priority"), "alias"),
+    }
+    return publish_delta(spark, root, tables, reset)
 
 
 def read_store(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    entries, aliases = (read_version(spark, root, n) for n in ("entries", "aliases"))
-    if entries is None:
+    """(entries, aliases with their highest priority)."""
+    at = newest(spark, root)
+    if at is None:
         raise FileNotFoundError(root)
-    return entries, aliases
+    aliases = read_deltas(spark, root, "aliases", _ALIASES, at)
+    return (
+        read_deltas(spark, root, "entries", _ENTRIES, at).drop("delta", "bucket"),
+        aliases.groupBy("alias", "entry_id").agg(F.max("priority").alias("priority")),
+    )
+
+
+def compact_store(spark: SparkSession, root: str) -> int:
+    """All rows of a store as one delta, from which later versions start."""
+    entries, aliases = read_store(spark, root)
+    tables = {
+        "entries": (entries, "entry_id"),
+        "names": (entries.select("canonical_name"), "canonical_name"),
+        "aliases": (aliases, "alias"),
+    }
+    return publish_delta(spark, root, tables, reset=True)
 
 
 def entry_records(entries: DataFrame, aliases: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -145,7 +203,22 @@ def vector_rows(entries: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def upsert_vectors(spark: SparkSession, root: str, rows: DataFrame, reset: bool = False) -> int:
-    """New rows replace old ones of the same id."""
-    old = None if reset else read_version(spark, root, "vectors")
-    merged = rows if old is None else old.join(rows, "id", "left_anti").unionByName(rows)
-    return publish(spark, root, {"vectors": merged})
+    """New rows replace old ones of the same id. Of rows of one id in a batch the least document's stays.
+
+    Only the batch is written; readers take the newest delta of an id.
+    """
+    names = [f.name for f in spark.createDataFrame([], _VECTORS).schema]
+    typed = rows.select(*[F.col(n).cast("array<float>") if n == "embedding" else n for n in names])
+    order = F.struct("document", F.xxhash64(F.to_json(F.struct("embedding"))))
+    typed = typed.groupBy("id").agg(F.min_by(F.struct(*names), order).alias("r")).select("r.*")
+    return publish_delta(spark, root, {"vectors": (typed, "id")}, reset)
+
+
+def read_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """The newest row of each id."""
+    at = newest(spark, root)
+    if at is None:
+        raise FileNotFoundError(root)
+    rows = read_deltas(spark, root, "vectors", _VECTORS, at).drop("bucket")
+    kept = F.struct(*[c for c in rows.columns if c != "delta"])
+    return rows.groupBy("id").agg(F.max_by(kept, "delta").alias("r")).select("r.*")
