@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from checks import sql as q
 from checks.registry import query
+from checks.search_queries import CASCADE, FULL_SEARCH, Letters, full_knowledge
+from checks.text_queries import recursive
 from checks.views import judged, lines, statement_lines, table, txn
 from spendlens import fixed
 from spendlens.operators import labelling as lb
 from spendlens.operators import statements as st
 from spendlens.session import shared_folder
 from spendlens.functions.white import strip
-from spendlens.streaming.jobs import classify_stream, drop_repeats, monitor, upsert_corrections
+from spendlens.streaming.jobs import batch_folders, classify_batches, classify_stream, correction_sink, drop_repeats, monitor
 
 
 def any_match(col: str, patterns: list[str]) -> str:
@@ -138,13 +140,14 @@ def l6_parse_responses(spark, sf):
 
 LOG = f"""
 log AS (SELECT 'user ' || user_id AS description, ts, event_id, {q.CATEGORY_LIST}[CAST(user_id % 10 AS INT) + 1] AS predicted_category,
-  {q.CATEGORY_LIST}[CAST(event_id % 10 AS INT) + 1] AS correct_category FROM events WHERE event_type = 'purchase'),
+  {q.CATEGORY_LIST}[CAST(event_id % 10 AS INT) + 1] AS correct_category FROM events),
 latest AS (SELECT description, arg_max(predicted_category, event_id) AS predicted_category, arg_max(correct_category, event_id) AS correct_category, count(*) AS corrections FROM log GROUP BY description)"""
 
 
-def correction_log(spark, sf):
+def correction_log(spark, sf, events=None):
     names = F.array(*[F.lit(c) for c in fixed.CATEGORIES])
-    return table(spark, sf, "events").where("event_type = 'purchase'").select(
+    events = table(spark, sf, "events") if events is None else events
+    return events.select(
         F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("description"),
         "ts",
         "event_id",
@@ -198,13 +201,17 @@ def l8_review_queue(spark, sf):
     return queue.select("cleaned", "category", "confidence", "is_new", "disagrees", "margin")
 
 
-def run_stream(df, name, mode):
-    """The result of a stream over the files there are, as a table of its own."""
+def run_stream(df, mode):
+    """The result of a stream over the files there are, written to files by the executors."""
     spark = df.sparkSession
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    running = writer.option("checkpointLocation", f"{shared_folder(spark)}/spendlens-stream-{uuid.uuid4().hex}").start()
-    running.awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/spendlens-stream-{uuid.uuid4().hex}"
+    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/rows")
+    else:
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows"))
+    writer.start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
 def event_stream(spark, sf):
@@ -237,7 +244,7 @@ SELECT event_id, cleaned, category, source, category IS NULL AS flagged_for_revi
 def x1_stream_classify(spark, sf):
     stream = event_stream(spark, sf).withColumn("description", event_text())
     out = classify_stream(stream).select("event_id", "cleaned", "category", "source", "flagged_for_review")
-    return run_stream(out, "x1_stream_classify", "append")
+    return run_stream(out, "append")
 
 
 @query("x2_monitor", q.with_(EVENT_CTE) + """
@@ -245,7 +252,7 @@ SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, source, count(*)
   round(avg(CAST(category IS NULL AS INT)), 6) AS flag_rate FROM es GROUP BY ALL""")
 def x2_monitor(spark, sf):
     rows = classify_stream(event_stream(spark, sf).withColumn("description", event_text()))
-    out = run_stream(monitor(rows), "x2_monitor", "complete")
+    out = run_stream(monitor(rows), "complete")
     return out.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "source", "n",
         F.round("mean_confidence", 6).alias("mean_confidence"), F.round("flag_rate", 6).alias("flag_rate"),
@@ -254,24 +261,35 @@ def x2_monitor(spark, sf):
 
 @query("x3_correction_table", q.with_(LOG) + " SELECT description, predicted_category, correct_category FROM latest")
 def x3_correction_table(spark, sf):
-    """Two micro-batches, a repeat of the second, and a stream of its own whose numbers start again, upserted."""
-    root = f"{shared_folder(spark)}/spendlens-corrections-{uuid.uuid4().hex}"
-    log = correction_log(spark, sf)
-    half = log.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
-    late, early = log.where(F.col("event_id") > half), log.where(F.col("event_id") <= half)
-    odd = F.col("event_id") % 2 == 1
-    steps = (("a", 0, early.where(odd)), ("a", 1, late.where(odd)), ("a", 1, log.limit(0)), ("b", 0, log.where(~odd)))
-    for stream, number, part in steps:
-        upsert_corrections(spark, root, part, number, order="event_id", stream_id=stream)
+    """A stream of corrections, then one of its own that starts anew and delivers all of them late, once more."""
     from spendlens.sources.tables import read_version
 
+    root = f"{shared_folder(spark)}/spendlens-corrections-{uuid.uuid4().hex}"
+    for run in ("first", "again"):
+        log = correction_log(spark, sf, event_stream(spark, sf)).select("description", "predicted_category", "correct_category", "event_id")
+        writer = correction_sink(log, root, order="event_id").option("checkpointLocation", f"{root}/checkpoint-{run}")
+        writer.trigger(availableNow=True).start().awaitTermination()
     return read_version(spark, root, "corrections").select("description", "predicted_category", "correct_category")
 
 
+@query("x1_stream_cascade", recursive(*FULL_SEARCH) + "," + CASCADE)
+def x1_stream_cascade(spark, sf):
+    """The whole cascade over a stream of transactions: the rows of the batch form."""
+    root = f"{shared_folder(spark)}/spendlens-cascade-{uuid.uuid4().hex}"
+    rows = txn(spark, sf).select("txn_key", "raw")
+    rows.repartition(2).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    settings = {"text": "raw", "kb": full_knowledge(spark, sf), "scorer": "overlap", "encoder": Letters()}
+    writer = classify_batches(stream, batch_folders(f"{root}/out"), **settings)
+    writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{root}/out")
+    return found.groupBy("category", "source", "flagged_for_review").agg(F.count("*").alias("n"))
+
+
 @query("x4_drop_repeats", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id // 2 AS pair FROM events) GROUP BY ALL")
 def x4_drop_repeats(spark, sf):
     stream = event_stream(spark, sf).withColumn("pair", F.floor(F.col("event_id") / 2))
     out = drop_repeats(stream, ["user_id", "event_type", "pair"], watermark="400 days")
-    return run_stream(out.select("user_id", "event_type"), "x4_drop_repeats", "append").groupBy("user_id", "event_type").agg(
+    return run_stream(out.select("user_id", "event_type"), "append").groupBy("user_id", "event_type").agg(
         F.count("*").alias("n")
     )

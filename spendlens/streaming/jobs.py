@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from spendlens.functions.cleaning import clean_text
 from spendlens.functions.names import enriched_text
 from spendlens.functions.routing import descriptor_override, direct_confidence, needs_review
 from spendlens.functions.rules import Rule
@@ -20,12 +21,14 @@ from spendlens.sources.tables import publish, read_version
 
 
 def decisive_names(kb: Knowledge, options: Options = DEFAULTS) -> DataFrame:
-    """Aliases of exactly one entry that may name a category: (alias, kb_category, display, metadata)."""
+    """Aliases of exactly one entry: (alias, kb_category), the category null where the entry may not name one.
+
+    Such an alias still settles which entry is meant, so a brand is not looked up beside it.
+    """
     unique = kb.aliases.groupBy("alias").agg(F.count_distinct("entry_id").alias("n"), F.min("entry_id").alias("entry_id"))
-    strong = kb.entries.where(
-        F.col("mapped_category").isNotNull() & (F.col("mapping_confidence") >= options.direct_mapping_confidence)
-    )
-    return unique.where("n = 1").join(strong, "entry_id").select("alias", F.col("mapped_category").alias("kb_category"))
+    strong = F.col("mapping_confidence") >= options.direct_mapping_confidence
+    named = kb.entries.select("entry_id", F.when(strong, F.col("mapped_category")).alias("kb_category"))
+    return unique.where("n = 1").join(named, "entry_id").select("alias", "kb_category")
 
 
 def classify_stream(
@@ -39,16 +42,23 @@ def classify_stream(
     """Direction, rules, exact and brand aliases, then the model, row by row.
 
     `names` (see decisive_names) is static: stream-static left joins keep no
-    state. Similarity search needs whole tables; use classify_batches for it.
+    state. Brands of several words and similarity search need whole tables;
+    use classify_batches for them.
     """
     rows = analyze(quick_stages(stream, text, rules, options), "cleaned", "_a")
     context = F.col("_a.descriptor_context")
     if names is not None:
-        for n, key in enumerate((F.col("cleaned"), F.col("_a.brand_query"))):
+        whole, brand = clean_text(F.col("cleaned")), clean_text(F.col("_a.brand_query"))
+        differs = (F.col("_a.brand_query") != "") & (F.col("_a.brand_query") != whole)
+        rows = rows.withColumn("_q0", whole).withColumn("_q1", F.when(differs, brand))
+        for n in range(2):
             side = names.select(F.col("alias").alias(f"_k{n}"), F.col("kb_category").alias(f"_c{n}"))
+            key = F.when(F.length(f"_q{n}") >= options.min_query_chars, F.col(f"_q{n}"))
             rows = rows.join(side, key == F.col(f"_k{n}"), "left")
-        found = F.when(F.col("category").isNull(), F.coalesce("_c0", "_c1"))
-        rows = rows.withColumn("_kb", found).drop("_k0", "_k1", "_c0", "_c1")
+        long_enough = F.length("_q0") >= options.min_query_chars
+        kb = F.when(F.col("_k0").isNotNull(), F.col("_c0")).when(long_enough, F.col("_c1"))
+        found = F.when(F.col("category").isNull(), kb)
+        rows = rows.withColumn("_kb", found).drop(*[f"_{x}{n}" for x in "qkc" for n in range(2)])
         hit = F.col("_kb").isNotNull()
         rows = (
             rows.withColumn("source", F.when(hit, "knowledge_base").otherwise(F.col("source")))
@@ -91,6 +101,15 @@ def classify_batches(stream: DataFrame, write: Callable[[DataFrame, int], None],
     return stream.writeStream.foreachBatch(run)
 
 
+def batch_folders(root: str) -> Callable[[DataFrame, int], None]:
+    """A writer for classify_batches: a folder per batch, written anew when the batch is run again."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return write
+
+
 def monitor(
     stream: DataFrame, ts: str = "ts", window: str = "1 day", watermark: str = "1 day", key: str = "source"
 ) -> DataFrame:
