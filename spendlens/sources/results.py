@@ -6,14 +6,19 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUN_TYPE = "version string, model_type string, metrics string, parameters string, train_rows long, notes string"
 
 
 def write_rows(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Rows with predictions as parquet or CSV with a header."""
-    writer = df.write.mode("overwrite")
-    writer.csv(path, header=True, escape='"') if form == "csv" else writer.parquet(path)
+    """Rows with predictions as parquet or CSV with a header; CSV holds nested columns as JSON."""
+    if form == "csv":
+        nested = (T.ArrayType, T.MapType, T.StructType)
+        columns = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else f.name for f in df.schema]
+        df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def register_run(

@@ -42,8 +42,8 @@ def classify_stream(
     """Direction, rules, exact and brand aliases, then the model, row by row.
 
     `names` (see decisive_names) is static: stream-static left joins keep no
-    state. Brands of several words and similarity search need whole tables;
-    use classify_batches for them.
+    state. Brands of several words, aliases of several entries and similarity
+    search need whole tables; use classify_batches for them.
     """
     rows = analyze(quick_stages(stream, text, rules, options), "cleaned", "_a")
     context = F.col("_a.descriptor_context")
