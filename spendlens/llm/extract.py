@@ -3,6 +3,7 @@
 The trees judge whether everything below a node is main text, from its tag, the words of its attributes, the
 density of text and links in its subtree, its depth, and its siblings. Decoding takes the likeliest choice for
 the whole page in which nothing below a chosen node is left out: a choice for a node is one for all below it.
+Links, emphasis and text of one run are no choices of their own: the run is chosen or left as a whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from spendlens.llm.trees import Boosted, fit
 from spendlens.session import cut_lineage
 
 SAMPLE = 160  # different pages that name their article, from which the trees are fitted
+NATURAL = 3  # times that the rows of a page as it is count beside those of its other layouts
+LONG = 100  # characters of a text that fills the place of an article, where no page names one
 
 GOOD = frozenset("article articlebody main content body text post entry story page blog prose paragraph lead headline".split())
 BAD = {
@@ -75,6 +78,7 @@ NAMES = [
     "parent_link_share",
 ]
 _EDGE_TAGS = frozenset("nav header footer aside form button menu address".split())
+_ALL_BAD = frozenset().union(*BAD.values())
 _LABEL = "data-main"
 
 
@@ -153,21 +157,73 @@ def node_features(page: Page) -> np.ndarray:
     return out
 
 
+def runs(page: Page) -> tuple[np.ndarray, list[list[int]]]:
+    """Nodes that are no choice of their own, and the groups of siblings that are chosen together.
+
+    Below an element of text and inline elements only, nothing is a choice; neither is what lies below an inline
+    element. Beside block elements, neighbouring text and inline elements form a group. An inline element that names
+    itself something else (an advert) stays a choice.
+    """
+    n = len(page.tag)
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        children[page.parent[i]].append(i)
+    flat = [
+        page.tag[i] == "#text"
+        or page.tag[i] in INLINE
+        and (page.words[i].isdisjoint(_ALL_BAD) or not page.words[i].isdisjoint(GOOD))
+        for i in range(n)
+    ]
+    tied, groups = np.zeros(n, dtype=bool), []
+    for i in range(n - 1, -1, -1):  # flat only if all below is
+        flat[i] = flat[i] and all(flat[c] for c in children[i])
+    for i in range(n):
+        whole = i > 0 and (tied[i] or flat[i] or all(flat[c] for c in children[i]))
+        if whole:
+            tied[[c for c in children[i] if flat[c]]] = True
+            continue
+        group: list[int] = []
+        for c in [*children[i], 0]:
+            if c and flat[c]:
+                group.append(c)
+            elif group:
+                groups.append(group)
+                group = []
+    return tied, groups
+
+
 def decoded(page: Page, margins: np.ndarray) -> list[bool]:
-    """Chosen nodes of the likeliest consistent labelling: all below a chosen node is chosen."""
+    """Chosen nodes of the likeliest consistent labelling: all below a chosen node is chosen, a run is one choice."""
     n = len(page.tag)
+    tied, groups = runs(page)
+    margins = np.where(tied, 0.0, margins)
+    for group in groups:
+        size = np.array([1.0 + sum(len(page.text[j]) for j in _below(page, i)) for i in group])
+        margins[group] = (margins[group] * size).sum() / size.sum()
     yes, no = -np.logaddexp(0, -margins), -np.logaddexp(0, margins)
     all_in, best = yes.copy(), no.copy()  # of a node's subtree: everything chosen; the node itself not
     for i in range(n - 1, 0, -1):
         up = page.parent[i]
         all_in[up] += all_in[i]
-        best[up] += max(all_in[i], best[i])
+        best[up] += best[i] if tied[i] else max(all_in[i], best[i])
     kept = [False] * n
     for i in range(n):
-        kept[i] = (i > 0 and kept[page.parent[i]]) or bool(all_in[i] > best[i])
+        above = i > 0 and kept[page.parent[i]]
+        kept[i] = above or (not tied[i] and bool(all_in[i] > best[i]))
     return kept
 
 
+def _below(page: Page, top: int) -> Iterable[int]:
+    """A node and all below it; nodes are in the order of the page."""
+    yield top
+    inside = {top}
+    for j in range(top + 1, len(page.tag)):
+        if page.parent[j] not in inside:
+            return
+        inside.add(j)
+        yield j
+
+
 def page_text(page: Page, margins: np.ndarray) -> str:
     return "\n".join(page.blocks(decoded(page, margins)))
 
@@ -194,11 +250,20 @@ LAYOUTS = [
     ("<article>", "</article>"),
     ('<table><tr><td class="text">', "</td></tr></table>"),
     ('<div class="page"><article class="article-body">', "</article></div>"),
+    ("<div class='post'>", "</div>"),
+    ("<div>", "</div>"),
+    ("", ""),
 ]
+INLINES = ["a href='/x'", "a href='https://example.org/y' class='link'", "b", "em", "strong", "i", "code", "span", "sup", "q"]
 BOXES = [
     ("before", '<header class="masthead"><h1>{0}</h1><p>{1}</p></header>'),
     ("before", '<div class="header"><a href="/">{0}</a><ul class="menu"><li><a href="/a">{1}</a></li></ul></div>'),
     ("before", '<nav class="breadcrumbs"><a href="/">{0}</a> / <a href="/b">{1}</a></nav>'),
+    ("before", '<nav><a href="/">{0}</a></nav>'),
+    ("before", '<nav><a href="/">{0}</a> <a href="/a">{1}</a> <a href="/b">{2}</a></nav>'),
+    ("before", '<header>{0}</header>'),
+    ("after", "<footer>{0}</footer>"),
+    ("after", '<aside><h3>{0}</h3><ul><li><a href="/r">{1}</a></li><li><a href="/s">{2}</a></li></ul></aside>'),
     ("before", '<ul id="nav"><li><a href="/1">{0}</a></li><li><a href="/2">{1}</a></li></ul>'),
     ("before", '<div class="cookie-notice"><p>{0} {1}</p><button>{2}</button></div>'),
     ("before", '<div class="notice"><p>{0}</p></div>'),
@@ -227,6 +292,46 @@ def _escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;")
 
 
+def _dressed(text: str, rng: np.random.Generator) -> str:
+    """A text with some of its words in links, emphasis and code, and some line breaks."""
+    words = [_escape(w) for w in text.split(" ")]
+    for _ in range(int(rng.integers(0, 4))):
+        at = int(rng.integers(len(words)))
+        last = min(len(words), at + int(rng.integers(1, 6))) - 1
+        tag = INLINES[rng.integers(len(INLINES))]
+        words[at], words[last] = f"<{tag}>{words[at]}", words[last]
+        words[last] += f"</{tag.split()[0]}>"
+    if rng.random() < 0.1:
+        words.insert(int(rng.integers(len(words) + 1)), "<br>")
+    return " ".join(words)
+
+
+def _block(text: str, first: bool, rng: np.random.Generator) -> str:
+    """A labelled block: heading, paragraph, list, quote, code, table or box."""
+    mark, draw = f'{_LABEL}="1"', rng.random()
+    parts = [p for p in text.split(". ") if p]
+    if len(text) < 200 and (first or draw < 0.1):
+        tag = f"h{1 if first else int(rng.integers(2, 5))}"
+        return f"<{tag} {mark}>{_escape(text)}</{tag}>"
+    if draw < 0.22 and len(parts) > 1:
+        tag = ("ul", "ol")[rng.integers(2)]
+        linked = rng.random() < 0.2
+        items = [f"<a href='/z'>{_escape(p)}</a>" if linked and rng.random() < 0.5 else _dressed(p, rng) for p in parts]
+        return f"<{tag} {mark}>" + "".join(f"<li>{item}</li>" for item in items) + f"</{tag}>"
+    if draw < 0.3 and len(parts) > 1:
+        rows = "".join(f"<tr><td>{_dressed(p, rng)}</td><td>{_escape(p.split(' ')[0])}</td></tr>" for p in parts)
+        return f"<table {mark}>{rows}</table>"
+    if draw < 0.36:
+        return f"<blockquote {mark}><p>{_dressed(text, rng)}</p></blockquote>"
+    if draw < 0.4:
+        return f"<pre {mark}><code>{_escape(text)}</code></pre>"
+    if draw < 0.46:
+        return f"<div {mark}>{_dressed(text, rng)}</div>"
+    if draw < 0.5:
+        return f"<figure {mark}><img src=x><figcaption>{_dressed(text, rng)}</figcaption></figure>"
+    return f"<p {mark}>{_dressed(text, rng)}</p>"
+
+
 def layouts(page: Page, main: list[bool], seed: int, times: int) -> list[str]:
     """The page's own texts laid out in other ways, with the label of every part in an attribute."""
     rng = np.random.Generator(np.random.PCG64([31, seed]))
@@ -238,15 +343,16 @@ def layouts(page: Page, main: list[bool], seed: int, times: int) -> list[str]:
     out = []
     for _ in range(times):
         opening, closing = LAYOUTS[rng.integers(len(LAYOUTS))]
-        body = [
-            f"<{'h1' if i == 0 and len(b) < 200 else 'p'} {_LABEL}=\"1\">{_escape(b)}"
-            f"</{'h1' if i == 0 and len(b) < 200 else 'p'}>"
-            for i, b in enumerate(blocks[: 1 + int(rng.integers(1, 40))])
-        ]
+        begin = int(rng.integers(len(blocks))) if rng.random() < 0.3 else 0
+        some = blocks[begin : begin + 1 + int(rng.integers(0, 3 if rng.random() < 0.3 else 40))]
+        body = [_block(b, begin + i == 0, rng) for i, b in enumerate(some)]
+        bare = rng.random() < 0.2  # a page without any frame
         sides: dict[str, list[str]] = {"before": [], "after": []}
-        for k in rng.permutation(len(BOXES))[: int(rng.integers(2, 10))]:
+        for k in rng.permutation(len(BOXES))[: 0 if bare else int(rng.integers(2, 10))]:
             where, box = BOXES[k]
-            filled = box.format(*[_escape(pool[rng.integers(len(pool))]) for _ in range(3)])
+            words = [pool[rng.integers(len(pool))].split(" ") for _ in range(3)]
+            short = rng.random() < 0.5
+            filled = box.format(*[_escape(" ".join(w[: int(rng.integers(1, 4))] if short else w)) for w in words])
             filled = f'<div {_LABEL}="0">{filled}</div>' if rng.random() < 0.3 else filled.replace(">", f' {_LABEL}="0">', 1)
             if where == "inside":
                 body.insert(int(rng.integers(1, len(body) + 1)), filled)
@@ -265,7 +371,7 @@ def labelled_rows(page: Page, main_run: list[bool]) -> tuple[np.ndarray, np.ndar
     for i in range(n - 1, 0, -1):
         size[page.parent[i]] += size[i]
         good[page.parent[i]] += good[i]
-    has = size > 0
+    has = (size > 0) & ~runs(page)[0]
     return node_features(page)[has], (good >= size)[has]
 
 
@@ -274,12 +380,16 @@ def _training(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for source, seed in zip(*(c.to_pylist() for c in batch.columns)):
             page = Page(source)
             main = _guess(page)
-            if main is None:
+            made = [] if main is None else [labelled_rows(page, main)] * NATURAL
+            if main is None and "<article" in source.lower():
                 continue
-            made = [labelled_rows(page, main)]
-            for text in layouts(page, main, seed & 0xFFFFFFFF, 4):
+            if main is None:  # no label for the page, but its longer texts fill layouts that have one
+                main = [len(t) >= LONG or page.tag[up] == "h1" for t, up in zip(page.text, page.parent)]
+            for text in layouts(page, main, seed & 0xFFFFFFFF, 6):
                 other = Page(text, mark=_LABEL)
                 made.append(labelled_rows(other, [m == "1" for m in other.mark]))
+            if not made:
+                continue
             x = np.concatenate([a for a, _ in made])
             y = np.concatenate([b for _, b in made])
             yield pa.RecordBatch.from_arrays(
@@ -305,10 +415,24 @@ def learn(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Boosted
     """Fit on `sample` different pages that name their article, first by a hash of their source, or all if fewer.
 
     Each is used as it is and with its texts laid out in other ways, so that tags alone do not decide. Pages that
-    mention an article but give no label are made up for by further ones. Without pages that name their article
-    nothing is learned and every text is empty.
+    mention an article but give no label are made up for by further ones. Where no page names its article, the texts
+    of other pages fill the layouts and the pages themselves have no label. Without any long text nothing is learned.
     """
-    rows = pages.where(F.col(html).cast("string").rlike(r"(?i)<article[\s/>]")).select(F.col(html).cast("string").alias("html"))
+    given = pages.select(F.col(html).cast("string").alias("html")).where("html is not null")
+    named = given.where(F.col("html").rlike(r"(?i)<article[\s/>]"))
+    made = _made(named, sample)
+    if made is None:
+        made = _made(given.where(~F.col("html").rlike("(?i)<article")), sample)
+    if made is None:
+        return None
+    labels = {r[0] for r in made.select("label").distinct().toLocalIterator()}
+    if labels != {0, 1}:
+        return None
+    return fit(made, NAMES, rounds=24, depth=4)
+
+
+def _made(rows: DataFrame, sample: int) -> DataFrame | None:
+    """Labelled rows of `sample` different pages that give any."""
     rows = rows.select("html", F.xxhash64("html").alias("seed"))
     schema = ", ".join([*(f"{name} double" for name in NAMES), "label int", "seed long"])
     tried = sample
@@ -323,13 +447,7 @@ def learn(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Boosted
         if found == sample or tries < tried:
             break
         tried *= 8
-    if not found:
-        return None
-    made = made.where(F.col("seed") <= last).drop("seed")
-    labels = {r[0] for r in made.select("label").distinct().toLocalIterator()}
-    if labels != {0, 1}:
-        return None
-    return fit(made, NAMES, rounds=24, depth=4)
+    return made.where(F.col("seed") <= last).drop("seed") if found else None
 
 
 def _extracted(shared):

@@ -375,6 +375,72 @@ def test_other_layouts(page_trees):
         assert text.split("\n") == clean
 
 
+# Pages written by hand; none of them is like a layout of the fit.
+WRITTEN = [
+    (
+        "<nav><a href=/>Home</a></nav><div class='post'><p>First words of the text.</p><ul><li>One thing</li><li>Two <b>things</b>"
+        "</li></ul><table><tr><td>A cell</td><td>Another</td></tr></table></div><footer>c 2020</footer>",
+        "First words of the text.\nOne thing\nTwo things\nA cell\nAnother",
+    ),
+    ("<p>Just one paragraph with some words in it.</p>", "Just one paragraph with some words in it."),
+    (
+        "<html><body><div id=menu><ul><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul></div><div class=content>"
+        "<h2>Heading here</h2>Some text, <em>with</em> a <a href=q>link</a> in it.<p>A para follows. It is longer than that.</p>"
+        "<blockquote>Quoted words, all of them.</blockquote><pre>code = 1</pre></div><div class=sidebar><p>Read also this.</p></div>",
+        "Heading here\nSome text, with a link in it.\nA para follows. It is longer than that.\nQuoted words, all of them.\ncode = 1",
+    ),
+]
+
+
+def text_of(source, trees):
+    page = Page(source)
+    return extract.page_text(page, trees.margins(extract.node_features(page)))
+
+
+@pytest.mark.parametrize(("source", "want"), WRITTEN)
+def test_pages_written_by_hand(page_trees, source, want):
+    assert text_of(source, page_trees) == want
+
+
+def test_articles_without_their_name(spark, page_trees):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r.html, re.sub("(</?)article>", r"\1div>", r.html)) for r in pages.select("html").collect()]
+    assert sum(text_of(named, page_trees) == text_of(other, page_trees) for named, other in rows) >= 0.97 * len(rows)
+    trees = extract.learn(pages_table(spark, [(i, "u", other) for i, (_, other) in enumerate(rows)]), sample=40)
+    assert sum(bool(text_of(other, trees)) for _, other in rows) >= 0.9 * len(rows)
+
+
+def best_labelling(page, margins):
+    """Most likely choices by trying all, for the runs that are one choice."""
+    n = len(page.tag)
+    tied, groups = extract.runs(page)
+    margins = np.where(tied, 0.0, margins)
+    for group in groups:
+        size = [1.0 + sum(len(page.text[j]) for j in extract._below(page, i)) for i in group]
+        margins[group] = sum(m * s for m, s in zip(margins[group], size)) / sum(size)
+    best = None
+    for bits in range(1 << n):
+        kept = [bool(bits >> i & 1) for i in range(n)]
+        if any(kept[page.parent[i]] and not kept[i] for i in range(1, n)):
+            continue
+        if any(tied[i] and kept[i] != kept[page.parent[i]] for i in range(1, n)):
+            continue
+        score = sum(-np.logaddexp(0, -m) if k else -np.logaddexp(0, m) for k, m in zip(kept, margins))
+        if best is None or score > best[0] + 1e-12:
+            best = score, kept
+    return best[1]
+
+
+def test_decoding_is_the_best_of_all_labellings():
+    rng = np.random.default_rng(15)
+    for source in ("<div><p>a<b>c</b></p><p>d</p></div>e", "<ul><li>a<li><a>b</a>c</ul><p>d", "x<i>y</i><div>z<span class=ad>q</span></div>", "<p><a>a</a></p>"):
+        page = Page(source)
+        assert len(page.tag) <= 12
+        for _ in range(25):
+            margins = rng.normal(0, 2, len(page.tag))
+            assert extract.decoded(page, margins) == best_labelling(page, margins)
+
+
 def test_choices_never_contradict(page_trees):
     rng = np.random.default_rng(14)
     page = Page("<div><p>a<b>c</b></p><ul><li>d<li>e</ul></div><p>f")
