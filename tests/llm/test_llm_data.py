@@ -481,3 +481,18 @@ def test_pipeline_stages(spark):
         before = after
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(before)
+
+
+def test_pipeline_stages_with_clashing_columns(spark):
+    """Given columns named like those that the stages use inside stay as they are."""
+    import corpus_pipeline
+
+    names = "near_id near_null near_copy bad_id bad_copy base added row score lang_pred found _text _base _merged copy class".split()
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs = base.select("*", *[pii.F.concat(pii.F.lit(f"{n}-"), pii.F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "/root/testdata/sf0.001")
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() >= 60

@@ -251,3 +251,33 @@ def test_language_of_held_out_texts(spark):
     assert language.learn_prototypes(table(spark, [(1, None)])) == {}
     assert [r.lang_pred for r in language.identify(table(spark, [(1, "abc")]), {}).collect()] == ["und"]
     assert language.identify(table(spark, []), prototypes).count() == 0
+
+
+def test_block_pairs_are_tasks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_TEXTS", 8)
+    rng = random.Random(21)
+    rows = [(i, 7, 1, size, sentence(rng, 5)) for i, size in enumerate([10] * 40 + [12] * 20 + [100] * 30 + [1])]
+    texts = spark.createDataFrame(rows, "class long, component long, copies long, size long, text string")
+    met = jaccard._met(texts, 0.8)
+    keys = ["component", "level", "above", "one", "two"]
+    plan = met.groupBy(*keys).applyInArrow(lambda t: t, met.schema)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(component") >= 1 and "hashpartitioning(component#" in plan
+    assert any(all(k in line for k in keys) for line in plan.splitlines() if "hashpartitioning" in line)
+    groups = {}
+    for r in met.collect():
+        groups.setdefault(tuple(r[k] for k in keys), []).append((r["class"], r.right, r.diagonal))
+    meetings = set()
+    for group in groups.values():
+        left, right = [c for c, on, _ in group if not on], [c for c, on, _ in group if on]
+        assert len(group) <= 60
+        for a in left:
+            for b in left if group[0][2] else right:
+                pair = (min(a, b), max(a, b))
+                assert a == b or group[0][2] or pair not in meetings
+                meetings.add(pair)
+    size = {r[0]: r[3] for r in rows}
+    for a in size:
+        for b in size:
+            if a < b and min(size[a], size[b]) >= 0.8 * max(size[a], size[b]):
+                assert (a, b) in meetings
+    assert not any(size[a] == 10 and size[b] == 100 for a, b in meetings)
