@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from spendlens.fixed import CATEGORIES
 from spendlens.functions.terms import char_grams, words_and_pairs
+from spendlens.operators.dense import vector_key
 from spendlens.operators.ranking import top_n
 
 FEATURES = 100_000
@@ -161,6 +162,9 @@ class ExternalTextModel:
         return df.select(*[f.name for f in kept]).mapInPandas(run, schema)
 
 
+CLASS_BLOCK = 256  # classes whose centroids are scored together
+
+
 def class_centroids(df: DataFrame, vector: str = "vector", label: str = "label") -> DataFrame:
     """Mean vector per class by a combining aggregate."""
     return df.groupBy(label).agg(
@@ -181,24 +185,23 @@ def cosine(left: Column, right: Column) -> Column:
 def nearest_centroid(df: DataFrame, centroids: DataFrame, vector: str = "vector", label: str = "label") -> DataFrame:
     """Class of the most similar centroid and that cosine; ties to the smaller label.
 
-    The centroids are a fitted model of one row per class and are put into the
-    expression as literals.
+    Classes are cut into blocks by a hash, and each different vector meets each block once, so any number of classes
+    is scored the same way. Without classes both columns are null.
     """
-    model = centroids.orderBy(label).limit(len(CATEGORIES) * 100 + 1).collect()
-    if len(model) > len(CATEGORIES) * 100:
-        raise ValueError("too many classes for a centroid model")
-    scored = F.array(
-        *[
-            F.struct(
-                F.round(cosine(F.col(vector), F.lit(row["centroid"])), 6).alias("similarity"),
-                F.lit(-i).alias("order"),
-                F.lit(row[label]).alias("predicted"),
-            )
-            for i, row in enumerate(model)
-        ]
+    blocks = max(1, -(-centroids.count() // CLASS_BLOCK))
+    packed = centroids.groupBy(F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int").alias("_block")).agg(
+        F.collect_list(F.struct(F.col(label).alias("predicted"), "centroid")).alias("_classes")
+    )
+    keyed = df.withColumn("_key", F.coalesce(vector_key(F.col(vector)), F.lit("")))
+    asked = keyed.groupBy("_key").agg(F.any_value(vector).alias("_vector"))
+    met = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_block")
+    scored = F.transform(
+        "_classes",
+        lambda c: F.struct((-F.round(cosine(F.col("_vector"), c["centroid"]), 6)).alias("apart"), c["predicted"].alias("predicted")),
     )
-    return df.withColumn("_best", F.array_max(scored)).select(
-        *df.columns, F.col("_best.predicted").alias("predicted"), F.col("_best.similarity").alias("similarity")
+    best = met.groupBy("_key").agg(F.min(F.array_min(scored)).alias("_best"))
+    return keyed.join(best, "_key", "left").select(
+        *df.columns, F.col("_best.predicted").alias("predicted"), (-F.col("_best.apart")).alias("similarity")
     )
 
 
