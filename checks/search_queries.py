@@ -16,7 +16,7 @@ from spendlens.functions.routing import descriptor_override, direct_gate, enrich
 from spendlens.functions.terms import index_words, query_words, role_words
 from spendlens.functions.tokens import analyze
 from spendlens.operators.dense import nearest
-from spendlens.operators.embedding import hashed_vectors, text_vectors
+from spendlens.operators.embedding import hashed_vectors, stored_vectors
 from spendlens.operators.exact import alias_index, lookup
 from spendlens.operators.fusion import choose, cut, fuse, rerank
 from spendlens.operators.kb_build import alias_table
@@ -475,12 +475,13 @@ def as_found(found):
 
 
 def full_knowledge(spark, sf):
-    """Stored entries with a stored BM25 index and vectors of an external encoder."""
+    """Stored entries with a stored BM25 index and kept vectors of an external encoder."""
     entries = stored_entries(spark, sf)
     root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     index = build_index(entries, "entry_id", "document", root, bins=8)
-    vectors = text_vectors(entries.select("entry_id", "document"), "document", Letters()).select("entry_id", "vector")
-    return Knowledge(entries, alias_table(entries), index, None, cut_lineage(vectors))
+    kept = f"{root}-vectors"
+    vectors = stored_vectors(entries.select("entry_id", "document"), "document", kept, Letters()).select("entry_id", "vector")
+    return Knowledge(entries, alias_table(entries), index, None, cut_lineage(vectors), kept)
 
 
 @query("j14_search_tokens", recursive(*FULL_SEARCH) + FOUND)

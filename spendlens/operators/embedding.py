@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions.terms import char_grams
+from spendlens.session import cut_lineage
+from spendlens.sources.deltas import newest, publish_delta, read_deltas, touched
 
 DIMENSIONS = 256
 BATCH = 64
@@ -55,3 +57,36 @@ def text_vectors(df: DataFrame, text: str, encoder: Encoder | None = None, out:
     if encoder is None:
         return hashed_vectors(df, text, out)
     return encoded_vectors(df, text, encoder, out)
+
+
+_STORED = "digest string, vector array<float>"
+
+
+def encoder_version(encoder: Encoder | None) -> str:
+    """The name that an encoder's vectors are kept under: its `version`, or else its class."""
+    return "hashed" if encoder is None else str(getattr(encoder, "version", type(encoder).__name__))
+
+
+def stored_vectors(df: DataFrame, text: str, root: str, encoder: Encoder | None = None, out: str = "vector") -> DataFrame:
+    """All rows with the vector of their text, each different text encoded once and kept under `root`.
+
+    The key is the text's SHA-256 and the encoder's version. What is kept is looked up in the buckets of the asked
+    digests; only texts that are missing are encoded, and of texts stored twice the first vector counts, so an
+    encoder that is not repeatable gives one answer. A null text counts as empty.
+    """
+    spark, folder = df.sparkSession, f"{root}/{encoder_version(encoder)}"
+    keyed = df.withColumn("_digest", F.sha2(F.coalesce(text, F.lit("")), 256))
+    asked = keyed.groupBy(F.col("_digest").alias("digest")).agg(F.coalesce(F.first(text), F.lit("")).alias("_text"))
+    asked = cut_lineage(asked)
+    at = newest(spark, folder)
+    missing = asked
+    if at is not None:
+        kept = touched(read_deltas(spark, folder, "vectors", _STORED, at), "digest", asked, at.buckets)
+        missing = cut_lineage(asked.join(kept.select("digest"), "digest", "left_anti"))
+    if at is None or not missing.isEmpty():
+        new = text_vectors(missing, "_text", encoder, "vector").select("digest", F.col("vector").cast("array<float>").alias("vector"))
+        publish_delta(spark, folder, {"vectors": (new, "digest")})
+        at = newest(spark, folder)
+    rows = touched(read_deltas(spark, folder, "vectors", _STORED, at), "digest", asked, at.buckets)
+    first = rows.groupBy(F.col("digest").alias("_digest")).agg(F.min_by("vector", "delta").alias(out))
+    return keyed.join(first, "_digest").drop("_digest")

@@ -12,7 +12,7 @@ from spendlens.functions.rows import settled
 from spendlens.functions.terms import query_words, role_words
 from spendlens.functions.tokens import analyze
 from spendlens.operators.dense import nearest
-from spendlens.operators.embedding import Encoder, text_vectors
+from spendlens.operators.embedding import Encoder, stored_vectors, text_vectors
 from spendlens.operators.exact import alias_index, brand_positions, lookup
 from spendlens.operators.fusion import PairScorer, choose, cut, fuse, rerank, seed_list
 from spendlens.operators.lexical import (
@@ -28,13 +28,17 @@ from spendlens.session import cut_lineage
 
 
 class Knowledge(NamedTuple):
-    """Tables of a knowledge base. Search lists whose table is None stay empty. `postings` may be a stored index."""
+    """Tables of a knowledge base. Search lists whose table is None stay empty. `postings` may be a stored index.
+
+    `kept` is a folder that keeps the vectors of query texts, so that a text is encoded once over all searches.
+    """
 
     entries: DataFrame
     aliases: DataFrame
     postings: DataFrame | StoredIndex | None = None
     terms: DataFrame | None = None
     vectors: DataFrame | None = None
+    kept: str | None = None
 
 
 MATCH_COLUMNS = [
@@ -104,7 +108,8 @@ def dense_candidates(
     if kb.vectors is None:
         return None
     text = F.when(F.length("brand_query") >= options.min_query_chars, F.col("brand_query")).otherwise(F.col("query"))
-    vectors = text_vectors(queries.select("query_id", text.alias("asked")), "asked", encoder)
+    asked = queries.select("query_id", text.alias("asked"))
+    vectors = stored_vectors(asked, "asked", kb.kept, encoder) if kb.kept else text_vectors(asked, "asked", encoder)
     # Written out once: the join reads the queries twice, and an encoder need not give the same bits again.
     vectors = cut_lineage(vectors.select("query_id", "vector"))
     found = nearest(vectors, kb.vectors, options.dense_candidates)
