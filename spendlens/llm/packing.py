@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,11 @@ from spendlens.session import cut_lineage
 
 CAPACITY = 1024
 END = 2
-CHOICES = 12  # fillings tried per sequence, best first, where the search backs up
-STEPS = 1_500  # sequences completed over the whole search; the incumbent counts after that
+CHOICES = 12  # fillings kept per sequence, fullest first
+LOOKS = 8  # fillings looked at for each one kept
+ROUNDINGS = 24  # fractions of a sequence that the bound rounds lengths to
+BACKTRACKS = 2_000  # branches given up over the whole search; the incumbent counts after that
+STEPS = 8_000  # sequences completed over the whole search, likewise
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, place long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -85,94 +89,90 @@ def _pieces(path: str, capacity: int, end: int):
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, times), ...), repeats
 
 
+def _reach(sizes: list[int], counts: np.ndarray, room: int) -> list[int]:
+    """Bit sets: entry i has bit s where some of the pieces of sizes[:i] (rising) add up to s, s at most `room`."""
+    mask = (1 << (room + 1)) - 1
+    sums, levels = 1, [1]
+    for size in sizes:
+        left, step = min(int(counts[size]), room // size), 1
+        while left:
+            step = min(step, left)
+            sums |= (sums << step * size) & mask
+            left -= step
+            step *= 2
+        levels.append(sums)
+    return levels
+
+
+def _exact(levels: list[int], sizes: list[int], counts: np.ndarray, top: int, s: int):
+    """Every filling of sum `s` from sizes[:top], the one with the longest pieces first."""
+    if not s:
+        yield ()
+        return
+    for i in range(top - 1, -1, -1):
+        if not levels[i + 1] >> s & 1:
+            return
+        size = sizes[i]
+        for n in range(min(int(counts[size]), s // size), 0, -1):
+            if levels[i] >> (s - n * size) & 1:
+                for rest in _exact(levels, sizes, counts, i, s - n * size):
+                    yield (size,) * n + rest
+
+
+def _stretched(bits: int, span: int) -> int:
+    """Every bit set, and the `span` bits above it."""
+    done = 0
+    while done < span:
+        step = min(done + 1, span - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def _dominated(filling: tuple[int, ...], sizes: list[int], counts: np.ndarray, slack: int) -> bool:
+    """Whether a piece left out fits where some pieces of the filling (none, a shorter one, or several) are.
+
+    The filling with that piece instead is at least as good: what it sets free can go where the piece would.
+    """
+    one, several = 0, 0  # sums of one piece, of two or more
+    for size in filling:
+        several |= (several | one) << size
+        one |= 1 << size
+    swaps = _stretched(several | 1, slack)
+    if slack:
+        swaps |= _stretched(one << 1, slack - 1)
+    return any(swaps >> x & 1 and counts[x] > filling.count(x) for x in sizes)
+
+
 def _fillings(counts: np.ndarray, room: int, best: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` by one to three of the lengths in stock, fullest first, at most `best`.
+    """Undominated fillings of `room` by any number of pieces in stock, fullest first, at most `best`.
 
-    Among fillings of equal sum the one with fewer, longer pieces dominates: whatever the shorter pieces could
-    do later in its place, it leaves them free to do. A filling that one more piece would still fit is
-    dominated by the one with that piece.
+    Sums that can be reached are worked out for all pieces at once; fillings are read back from them, longest
+    pieces first, so that none is built that does not lead to its sum. At most `LOOKS` times `best` are read.
     """
-    sizes = np.flatnonzero(counts[: room + 1])
-    if not len(sizes):
+    sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])]
+    if not sizes:
         return [()]
-    found: dict[int, tuple[int, ...]] = {}
-    for a in sizes[::-1]:
-        found.setdefault(int(a), (int(a),))
-    small = int(sizes[0])
-    # Longest partner of every first length: the sum closest to the room from below.
-    left = room - sizes
-    at = np.searchsorted(sizes, np.minimum(left, sizes), side="right") - 1
-    for i in np.flatnonzero(at >= 0):
-        a, b = int(sizes[i]), int(sizes[at[i]])
-        if a == b and counts[a] < 2:
-            if at[i] == 0:
-                continue
-            b = int(sizes[at[i] - 1])
-        found.setdefault(a + b, (a, b))
-    if max(found) < room and len(sizes) > 2:
-        stock = np.zeros(room + 1, dtype=bool)
-        stock[sizes] = True
-        for i in range(len(sizes) - 1, -1, -1):
-            a = int(sizes[i])
-            gap = room - a
-            if gap < 2 * small:
-                continue
-            if a * 3 < room - 3 * small and found and max(found) >= room - small:
-                break
-            partners = sizes[(sizes <= min(a, gap - small))]
-            third = gap - partners
-            ok = (third >= 1) & (third <= partners)
-            ok[ok] = stock[third[ok]]
-            hit = [
-                (a, int(b), int(gap - b))
-                for b in partners[ok][::-1][:4]
-                if not _short(counts, (a, int(b), int(gap - b)))
-            ]
-            if hit:
-                found.setdefault(room, hit[0])
+    levels = _reach(sizes, counts, room)
+    found, looks = [], best * LOOKS if best > 1 else 1
+    left = levels[-1]
+    while left and looks > 0 and len(found) < best:
+        s = left.bit_length() - 1
+        left ^= 1 << s
+        share = max(1, looks // 2)  # some looks stay for the sums below
+        for filling in _exact(levels, sizes, counts, len(sizes), s):
+            if best == 1 or not _dominated(filling, sizes, counts, room - s):
+                found.append(filling)
+            looks, share = looks - 1, share - 1
+            if share <= 0 or looks <= 0 or len(found) == best:
                 break
-    sums = sorted((s for s in found if room - s < small or s == max(found)), reverse=True)
-    return [found[s] for s in sums[:best]]
-
-
-def _short(counts: np.ndarray, filling: tuple[int, ...]) -> bool:
-    return any(counts[s] < filling.count(s) for s in filling)
-
-
-def _longest_fill(counts: np.ndarray, room: int) -> tuple[int, ...]:
-    """Best filling, topped up by the longest pieces that still fit."""
-    chosen: list[int] = []
-    stock = counts.copy()
-    while True:
-        filling = _fillings(stock, room, 1)[0]
-        if not filling:
-            return tuple(chosen)
-        for s in filling:
-            stock[s] -= 1
-            room -= s
-        chosen += filling
+    return found
 
 
 def _repeats(counts: np.ndarray, pattern: list[int]) -> int:
     return int(min(counts[s] // pattern.count(s) for s in set(pattern)))
 
 
-def _dive(counts: np.ndarray, capacity: int) -> tuple[list[Pattern], int]:
-    """Fill around the largest piece again and again, each filling as often as the stock allows."""
-    counts, patterns, bins = counts.copy(), [], 0
-    while counts.any():
-        large = int(np.flatnonzero(counts)[-1])
-        counts[large] -= 1
-        pattern = [large, *_longest_fill(counts, capacity - large)]
-        counts[large] += 1
-        times = max(1, _repeats(counts, pattern))
-        for s in pattern:
-            counts[s] -= times
-        patterns.append((tuple((s, pattern.count(s)) for s in sorted(set(pattern), reverse=True)), times))
-        bins += times
-    return patterns, bins
-
-
 def _best_fit(counts: np.ndarray, capacity: int) -> tuple[list[Pattern], int]:
     """Best-fit decreasing on the histogram: pieces by falling length, each into the fullest sequence it fits."""
     open_bins: dict[int, dict[tuple[tuple[int, int], ...], int]] = {}  # room -> make-up -> sequences
@@ -208,66 +208,86 @@ def _best_fit(counts: np.ndarray, capacity: int) -> tuple[list[Pattern], int]:
     return patterns, sum(times for _, times in patterns)
 
 
+@cache
+def _rounded(capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of each length that no full sequence can exceed in sum, and that sum, for several roundings."""
+    sizes = np.arange(capacity + 1, dtype=np.int64)
+    rows, tops = [], []
+    for k in range(1, ROUNDINGS + 1):
+        whole, rest = np.divmod((k + 1) * sizes, capacity)
+        rows.append(np.where(rest == 0, sizes * k, whole * capacity))
+        tops.append(k * capacity)
+    return np.array(rows), np.array(tops)
+
+
 def waste_bound(counts: np.ndarray, capacity: int) -> int:
-    """Least number of sequences: total length, or pieces too long to share with what a split point leaves."""
+    """Least number of sequences: total length, pieces too long to share with what a split point leaves, or
+    lengths rounded to fractions of a sequence."""
     sizes = np.arange(len(counts))
-    total = int((counts * sizes).sum())
-    best = -(-total // capacity)
+    best = -(-int((counts * sizes).sum()) // capacity)
     over = np.concatenate([np.cumsum(counts[::-1])[::-1], [0]])
     weight = np.concatenate([np.cumsum((counts * sizes)[::-1])[::-1], [0]])
     half = capacity // 2
-    for k in np.flatnonzero(counts[: half + 1]):
-        k = int(k)
-        alone = int(over[min(capacity - k + 1, len(counts))])
-        large = int(over[half + 1]) - alone
-        room = large * capacity - int(weight[half + 1] - weight[min(capacity - k + 1, len(counts))])
-        small = int(weight[k] - weight[half + 1])
-        best = max(best, alone + large + max(0, -(-(small - room) // capacity)))
-    return best
-
-
-def plan_patterns(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[Pattern]:
+    k = np.flatnonzero(counts[: half + 1])
+    if len(k):
+        cut = np.minimum(capacity - k + 1, len(counts))
+        alone = over[cut]
+        large = over[half + 1] - alone
+        room = large * capacity - (weight[half + 1] - weight[cut])
+        small = weight[k] - weight[half + 1]
+        best = max(best, int((alone + large + np.maximum(0, -(-(small - room) // capacity))).max()))
+    rows, tops = _rounded(capacity)
+    return max(best, int((-(-(rows[:, : len(counts)] @ counts) // tops)).max()))
+
+
+def plan_patterns(
+    counts: np.ndarray, capacity: int = CAPACITY, backtracks: int = BACKTRACKS, steps: int = STEPS
+) -> list[Pattern]:
     """Patterns that use every piece of the histogram (counts[length]) once, in as few sequences as found.
 
-    Branch and bound over completions of the largest piece. The better of best-fit decreasing and a first dive
-    is the incumbent; a branch ends when its sequences plus the waste bound of what is left cannot beat it, and
-    the search when the incumbent meets the bound or `steps` sequences have been completed.
+    Branch and bound over completions of the largest piece: each branch takes one undominated filling, as often
+    as the stock allows or half as often. Best-fit decreasing is the first incumbent; a branch ends when its
+    sequences plus the waste bound of what is left cannot beat the incumbent, and the search when the incumbent
+    meets the bound, or after `backtracks` branches given up or `steps` sequences completed.
     """
     counts = np.asarray(counts, dtype=np.int64)
+    counts = np.concatenate([counts, np.zeros(max(0, capacity + 1 - len(counts)), dtype=np.int64)])
     if not counts.any():
         return []
     bound = waste_bound(counts, capacity)
-    best, least = min((_best_fit(counts, capacity), _dive(counts, capacity)), key=lambda found: found[1])
-    left = [steps]
-
-    def visit(stock: np.ndarray, done: list[Pattern], bins: int) -> None:
-        nonlocal best, least
-        stack = [(stock, done, bins)]
-        while stack and least > bound and left[0] > 0:
-            stock, done, bins = stack.pop()
-            if not stock.any():
-                if bins < least:
-                    best, least = done, bins
-                continue
-            if bins + waste_bound(stock, capacity) >= least:
-                continue
-            left[0] -= 1
-            large = int(np.flatnonzero(stock)[-1])
-            stock[large] -= 1
-            options = _fillings(stock, capacity - large, CHOICES)
-            stock[large] += 1
-            for filling in reversed(options):
-                pattern = [large, *filling]
-                times = _repeats(stock, pattern)
-                if not times:
-                    continue
-                rest = stock.copy()
-                for s in pattern:
-                    rest[s] -= times
-                make = tuple((s, pattern.count(s)) for s in sorted(set(pattern), reverse=True))
-                stack.append((rest, [*done, (make, times)], bins + times))
-
-    visit(counts.copy(), [], 0)
+    best, least = _best_fit(counts, capacity)
+    stack: list[tuple[np.ndarray, tuple | None, int]] = [(counts, None, 0)]  # stock, chain of patterns, sequences
+    while stack and least > bound and backtracks > 0 and steps > 0:
+        stock, chain, bins = stack.pop()
+        if not stock.any():
+            if bins < least:
+                best, least = [], bins
+                while chain:
+                    best.append(chain[0])
+                    chain = chain[1]
+            backtracks -= 1
+            continue
+        if bins + waste_bound(stock, capacity) >= least:
+            backtracks -= 1
+            continue
+        steps -= 1
+        large = int(np.flatnonzero(stock)[-1])
+        stock[large] -= 1
+        options = _fillings(stock, capacity - large, CHOICES)
+        stock[large] += 1
+        branches = []
+        for filling in options:
+            pattern = [large, *filling]
+            times = _repeats(stock, pattern)
+            branches.append((0, times, pattern))
+            if times > 1:
+                branches.append((1, times // 2, pattern))
+        for _, times, pattern in sorted(branches, key=lambda b: b[0])[::-1]:
+            rest = stock.copy()
+            make = tuple((s, pattern.count(s)) for s in sorted(set(pattern), reverse=True))
+            for s, n in make:
+                rest[s] -= n * times
+            stack.append((rest, ((make, times), chain), bins + times))
     return best
 
 
