@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import itertools
 import random
 import re
 import zlib
@@ -96,6 +97,42 @@ def test_search_finds_least_on_small_cases():
         assert packing.waste_bound(counts, 100) <= least <= found <= least + 1
 
 
+def test_fillings_are_undominated_and_fullest_first():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        counts = np.bincount(rng.integers(2, 20, 7), minlength=41)
+        room = int(rng.integers(8, 41))
+        stock = np.repeat(np.arange(41), counts).tolist()
+        every = {tuple(sorted(c, reverse=True)) for n in range(8) for c in itertools.combinations(stock, n) if sum(c) <= room}
+
+        def dominated(filling):
+            for x in set(stock):
+                if counts[x] <= filling.count(x):
+                    continue
+                for n in range(len(filling) + 1):
+                    for part in itertools.combinations(filling, n):
+                        if part != (x,) and sum(part) <= x <= sum(part) + room - sum(filling):
+                            return True
+            return False
+
+        want = {f for f in every if not dominated(f)}
+        got = packing._fillings(counts, room, 10_000)
+        assert len(got) == len(set(got)) and set(got) == want
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_search_betters_best_fit():
+    """Sequences of five and more pieces that best fit does not find."""
+    rng = np.random.default_rng(1)
+    better = 0
+    for low, high, n in ((150, 300, 500), (100, 500, 60), (1, 1023, 1000), (40, 250, 200)):
+        counts = np.bincount(rng.integers(low, high + 1, n), minlength=1025)
+        found, bound = sum(t for _, t in packing.plan_patterns(counts)), packing.waste_bound(counts, 1024)
+        assert bound <= found <= bound + 1
+        better += found < packing._best_fit(counts, 1024)[1]
+    assert better >= 2
+
+
 def test_packing(spark, tokenizer):
     rng = random.Random(11)
     texts = [" ".join(rng.choice(["alpha", "bet", "Gamma,"]) for _ in range(rng.randrange(900))) for _ in range(60)]
@@ -295,6 +332,33 @@ def test_boosted_spans_where_the_sample_hides_them(spark):
     assert not any(got[i] for i, _ in dates)
 
 
+HELD_OUT = [
+    ("email", "mail me at {} please", ["john.smith (at) example (dot) com", "kim (at) post.example.net", "Anna.Lee [AT] uni [DOT] edu"]),
+    ("email", "mail me at {} please", ["bob@corp (dot) org", "p.q_r (at) a-b (dot) co (dot) uk"]),
+    ("email", "reach {} today", ["jane [at] mail [dot] org", "ulf {at} web {dot} de", "sam at home dot example dot org"]),
+    ("email", "Write to {} today", ["jane.roe (at) mail (dot) example (dot) com", "x (at) y-z (dot) com"]),
+    ("ip", "server {} is down", ["10.0[.]0.1", "192[.]168[.]1[.]20", "172(.)16(.)0(.)9"]),
+    ("card", "card {} paid", ["4111.1111.1111.1111", "5500/0055/5555/5559", "4012_8888_8888_1881"]),
+    ("phone", "call {} now", ["(408) 555-7800", "408-555-7800", "00 49 30 5550 1234"]),
+    ("phone", "Tel. {}", ["06 12 34 56 78", "408.555.7800"]),
+]
+CLEAN = ["From 2023-04-17 to 2024-01-02, see 10.4.2", "we met at the dot of noon", "release 3.14.15.999 came out"]
+CLEAN += ["ISBN 978-3-161-48410-0", "card 4111.1111.1111.1112 paid", "doi 10.1000/182", "on 17/04/2023 at noon"]
+CLEAN += ["look at this. dot com bubble", "id 2021/2022/2023/2024", "pages 120 340 and 99"]
+
+
+def test_spellings_not_made_by_the_fit(spark):
+    """Fitted on a whole small table: every kind has a threshold, no kind takes another's spans, clean texts stay."""
+    judge = pii.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    assert set(pii.KINDS) <= set(judge.thresholds)
+    want = dict(enumerate((k, v, c.format(v)) for k, c, values in HELD_OUT for v in values))
+    rows = [(i, t) for i, (_, _, t) in want.items()] + [(1000 + i, t) for i, t in enumerate(CLEAN)]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.added] for r in pii.find_spans(table(spark, rows), judge).collect()}
+    assert not any(got[i] for i in got if i >= 1000)
+    assert all(got[i] in ([], [(k, v)]) for i, (k, v, _) in want.items())
+    assert sum(bool(got[i]) for i in want) >= 0.8 * len(want)
+
+
 def test_disproved_candidates(spark):
     rows = [("email", "a at 3.14", True), ("email", "a (at) b (dot) com", False), ("ip", "1[.]2[.]3[.]400", True), ("ip", "1[dot]2[dot]3[dot]40", False)]
     rows += [("card", "4111.1111.1111.1112", True), ("card", "4111.1111.1111.1111", False)]
