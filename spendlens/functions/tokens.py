@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.fixed import DESCRIPTOR_PHRASES, DESCRIPTOR_WORDS, LOCATIONS, NOISE_PATTERN
+from spendlens.functions.rows import settled
 
 
 def tokenize(text: Column) -> Column:
@@ -96,7 +97,9 @@ def analyze(df: DataFrame, text: str, out: str = "decomposed", brands: str | Non
 
     `brands` names a column with the 1-based positions of words known to be part
     of a multi-word brand (see operators.exact). Words, phrase hits and roles
-    are columns of their own on the way, so each is computed once per row.
+    are columns of their own on the way, so each is computed once per row. A
+    filter on the result stays above it: pushed below a distinct or a join it
+    would repeat the whole analysis for every row there.
     """
     kept = df.columns
     named = df.withColumn("_words", tokenize(F.col(text)))
@@ -118,15 +121,13 @@ def analyze(df: DataFrame, text: str, out: str = "decomposed", brands: str | Non
         .when(F.size("_brand") > 0, F.concat_ws(" ", "_brand"))
         .otherwise(F.col(text))
     )
-    return listed.select(
-        *kept,
-        F.struct(
-            F.col("_roles").alias("token_roles"),
-            F.col("_brand").alias("brand_tokens"),
-            tokens_with_role(F.col("_roles"), "descriptor").alias("descriptor_tokens"),
-            tokens_with_role(F.col("_roles"), "location").alias("location_tokens"),
-            tokens_with_role(F.col("_roles"), "noise").alias("noise_tokens"),
-            brand_query.alias("brand_query"),
-            F.concat_ws("; ", "_hints").alias("descriptor_context"),
-        ).alias(out),
+    decomposed = F.struct(
+        F.col("_roles").alias("token_roles"),
+        F.col("_brand").alias("brand_tokens"),
+        tokens_with_role(F.col("_roles"), "descriptor").alias("descriptor_tokens"),
+        tokens_with_role(F.col("_roles"), "location").alias("location_tokens"),
+        tokens_with_role(F.col("_roles"), "noise").alias("noise_tokens"),
+        brand_query.alias("brand_query"),
+        F.concat_ws("; ", "_hints").alias("descriptor_context"),
     )
+    return settled(listed, kept, **{out: decomposed})
