@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens import fixed
-from spendlens.functions.rows import posexploded
+from spendlens.functions.rows import let, posexploded
 from spendlens.functions.white import strip
 
 
@@ -41,9 +43,23 @@ def contains_any(line: Column, words: list[str]) -> Column:
     return hit
 
 
+def any_pattern(patterns: list[str]) -> str:
+    """One pattern that finds what any of them finds.
+
+    Those tied to the start of the text share one anchor, so a text is tried at
+    its first place and not at every other.
+    """
+    tied, free = [], []
+    for pattern in patterns:
+        flags, anchor, rest = re.match(r"(?:\(\?([a-z]+)\))?(\^?)(.*)", pattern, re.DOTALL).groups()
+        tied_down = anchor and "|" not in re.sub(r"\([^()]*\)", "", rest)
+        (tied if tied_down else free).append(f"(?{flags or ''}:{rest if tied_down else anchor + rest})")
+    return "|".join([*([f"^(?:{'|'.join(tied)})"] if tied else []), *free])
+
+
 def boilerplate(line: Column, extra: list[str] | None = None) -> Column:
-    hit = line.isin(*fixed.CARD_HEADERS, *fixed.ACCOUNT_HEADERS)
-    for pattern in [*fixed.BOILERPLATE, *(extra or [])]:
+    hit = line.isin(*fixed.CARD_HEADERS, *fixed.ACCOUNT_HEADERS) | line.rlike(any_pattern(fixed.BOILERPLATE))
+    for pattern in extra or []:
         hit = hit | line.rlike(pattern)
     return hit
 
@@ -70,14 +86,21 @@ def line_kind(line: Column, extra_boilerplate: list[str] | None = None) -> Colum
 
 def after_first(lines: Column, test) -> Column:
     """Lines behind the first that passes the test; none when no line does."""
-    at = F.array_position(F.transform(lines, test), True)
     none = F.array().cast("array<string>")
-    return F.when(at > 0, F.slice(lines, (at + 1).cast("int"), F.size(lines))).otherwise(none)
+
+    def behind(known: Column) -> Column:
+        place = F.array_position(F.transform(known, test), True)
+        return let(place, lambda at: F.when(at > 0, F.slice(known, (at + 1).cast("int"), F.size(known))).otherwise(none))
+
+    return let(lines, behind)
 
 
 def before_first(lines: Column, test) -> Column:
-    at = F.array_position(F.transform(lines, test), True)
-    return F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines)
+    def before(known: Column) -> Column:
+        place = F.array_position(F.transform(known, test), True)
+        return let(place, lambda at: F.when(at > 0, F.slice(known, F.lit(1), (at - 1).cast("int"))).otherwise(known))
+
+    return let(lines, before)
 
 
 def account_descriptions(text: Column, extra_boilerplate: list[str] | None = None) -> Column:
@@ -121,10 +144,13 @@ def card_descriptions(text: Column) -> Column:
 
     # Column titles right behind the header go; the same words further down stay.
     titles = ["AMOUNT ($)", "DATE", ""]
-    first_real = F.array_position(F.transform(section, lambda x: ~x.isin(*titles)), True)
-    body = F.when(
-        first_real > 0, F.slice(section, first_real.cast("int"), F.size(section))
-    ).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def from_first_real(lines: Column) -> Column:
+        place = F.array_position(F.transform(lines, lambda x: ~x.isin(*titles)), True)
+        return let(place, lambda at: F.when(at > 0, F.slice(lines, at.cast("int"), F.size(lines))).otherwise(none))
+
+    body = let(section, from_first_real)
     kept = F.filter(body, lambda x: ~noise(x))
     stripped = F.transform(kept, lambda x: strip(F.regexp_replace(x, fixed.CARD_LEADING_DATE, "")))
     return F.filter(stripped, lambda x: x != "")

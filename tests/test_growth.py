@@ -1,8 +1,13 @@
 """Work that must not grow faster than its input."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from spendlens import fixed
 from spendlens.functions.tokens import analyze
+from spendlens.operators.labelling import parse_responses, review_queue
+from spendlens.operators.statements import any_pattern, descriptions
 
 
 def optimized(df):
@@ -15,3 +20,38 @@ def test_a_filter_on_roles_stays_above_a_distinct(spark):
     plan = optimized(named)
     assert "RLIKE" in plan and "RLIKE" not in plan[plan.index("Aggregate") :]
     assert [r.text for r in named.collect()] == ["SHOP GAS 12"]
+
+
+def test_lines_of_a_page_are_cut_once(spark):
+    page = "Details of your account activity\n27 Dec\nShop\nnorth\n12.50\nRBC x MASTERCARD\nOther\nClosing Balance\nLate"
+    rows = spark.createDataFrame([(page, "chequing"), ("Head\nACTIVITY DESCRIPTION\nDATE\nJAN 2 EXTRA", "mastercard"), (None, "chequing")], "text string, kind string")
+    found = descriptions(rows, "text", "kind")
+    assert sorted((r.pos, r.description) for r in found.collect()) == [(0, "EXTRA"), (0, "Shop north"), (1, "Other")]
+    assert optimized(found).count("split(") <= 2  # a card page's and an account page's
+
+
+def test_one_pattern_finds_what_each_finds():
+    patterns = [*fixed.BOILERPLATE, "^a|b$", "x(y|z)"]
+    lines = ["rbc my MASTERCARD", "x rbc my MASTERCARD", "12 OF 13", "12 OF 13 ", "cab", "a", "ca", "xz", "Abcdefghij12", "$", "a) b"]
+    for line in lines:
+        assert bool(re.search(any_pattern(patterns), line)) == any(re.search(p, line) for p in patterns), line
+
+
+def test_a_response_is_parsed_once(spark):
+    body = '[{"description": "a", "category": "Odd"}, {"description": "b", "category": "Income"}, {"description": "b", "category": "Transportation"}'
+    texts = [body + "]", "Sure:\n```json\n" + body + "]\n```\nbye", body + ', {"description": "cut', "no idea", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, response string")
+    found = parse_responses(rows, "response")
+    assert sorted((r.id, r.description, r.category) for r in found.collect()) == [(i, "b", "Transportation") for i in range(3)]
+    assert optimized(found).count("from_json(") == 1
+
+
+def test_a_review_queue_reads_its_rows_once(spark):
+    fields = "cleaned string, category string, confidence double, flagged_for_review boolean, rule string"
+    rows = spark.createDataFrame(
+        [("NEW", "A", 0.6, True, "A"), ("OLD", "A", 0.6, True, "B"), (None, "A", 0.5, True, "A"), ("OLD", "A", 0.9, False, "A")], fields
+    )
+    known = spark.createDataFrame([("OLD",), ("OLD",), (None,)], "name string")
+    queue = review_queue(rows, known, "cleaned", "rule")
+    assert [(r.cleaned, r.is_new, r.disagrees) for r in queue.collect()] == [("NEW", True, False), ("OLD", False, True), (None, True, False)]
+    assert "LogicalRDD" not in optimized(queue)  # the sort reads what was written, not the rows once more
