@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.routing import is_category
-from spendlens.functions.rows import exploded
+from spendlens.functions.rows import exploded, settled
 from spendlens.operators.ranking import hashed_rank
 from spendlens.options import DEFAULTS, Options
+from spendlens.session import cut_lineage, spread
 
 NOISE_LINES = "DeprecationWarning|node --trace|Loaded cached"
 PAIRS = "array<struct<description:string,category:string>>"
@@ -33,10 +34,8 @@ def label_batches(df: DataFrame, text: str, size: int = 30, template: str = "{tr
     )
 
 
-def strip_response(text: Column) -> Column:
-    """Response text without tool noise and code fences."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~x.rlike(NOISE_LINES))
-    plain = F.trim(F.concat_ws("\n", lines))
+def without_fence(plain: Column) -> Column:
+    """Response text without code fences."""
     fence = F.when(plain.contains("```json"), F.lit("```json")).otherwise(F.lit("```"))
     behind = F.substring(plain, F.position(fence, plain) + F.length(fence), F.length(plain))
     fenced = F.trim(F.substring_index(behind, "```", 1))
@@ -50,31 +49,32 @@ def repaired(text: Column) -> Column:
     return F.when(cut != "", closed)
 
 
-def label_pairs(response: Column) -> Column:
-    """Struct array (description, category) of a response; empty for bad input.
+def parse_responses(df: DataFrame, response: str) -> DataFrame:
+    """One row per labelled description; none for bad input.
 
     Only known categories count; a description given twice keeps its last one.
+    Each step is a column of its own, so it runs once per response: inside one
+    expression a step runs once for every place, and every array element, that
+    names it.
     """
-    text = strip_response(response)
-    mended = repaired(text)
-    whole = (
-        F.when(F.json_array_length(text).isNotNull(), text)
-        .when(F.get_json_object(text, "$").isNull() & F.json_array_length(mended).isNotNull(), mended)
-    )
-    parsed = F.coalesce(F.from_json(whole, PAIRS), F.array().cast(PAIRS))
+    keep = [c for c in df.columns if c != response]
+    lines = F.filter(F.split(F.coalesce(F.col(response), F.lit("")), "\n"), lambda x: ~x.rlike(NOISE_LINES))
+    rows = spread(df).withColumn("_plain", F.trim(F.concat_ws("\n", lines)))
+    rows = settled(rows, keep, _text=without_fence(F.col("_plain")))
+    rows = settled(rows, [*keep, "_text"], _whole=F.json_array_length("_text").isNotNull())
+    broken = ~F.col("_whole") & F.get_json_object("_text", "$").isNull()
+    rows = settled(rows, [*keep, "_text", "_whole"], _mended=F.when(broken, repaired(F.col("_text"))))
+    json = F.when(F.col("_whole"), F.col("_text")).when(F.json_array_length("_mended").isNotNull(), F.col("_mended"))
+    parsed = F.coalesce(F.from_json(json, PAIRS), F.array().cast(PAIRS))
     valid = F.filter(parsed, lambda p: p["description"].isNotNull() & is_category(p["category"]))
-    return F.filter(
-        valid,
+    rows = settled(rows, keep, _valid=valid)
+    last = F.filter(
+        "_valid",
         lambda p, i: ~F.exists(
-            F.slice(valid, i + 2, F.size(valid)), lambda q: q["description"] == p["description"]
+            F.slice("_valid", i + 2, F.size("_valid")), lambda q: q["description"] == p["description"]
         ),
     )
-
-
-def parse_responses(df: DataFrame, response: str) -> DataFrame:
-    """One row per labelled description."""
-    keep = [c for c in df.columns if c != response]
-    return exploded(df, keep, label_pairs(F.col(response)), "p").select(*keep, "p.*")
+    return exploded(rows, keep, last, "p").select(*keep, "p.*")
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, key: str, out: str) -> DataFrame:
@@ -129,17 +129,17 @@ def review_queue(
     """Flagged rows in the order to look at them.
 
     New merchants (not in known.name) and rows where a rule and the model
-    disagree come first, then those nearest to the threshold.
+    disagree come first, then those nearest to the threshold. The queue is
+    written out before it is ordered, as the sort reads its input twice.
     """
     flagged = df.where("flagged_for_review")
-    side = known.select(F.col("name").alias("_known")).distinct()
-    fresh = flagged.join(side, F.col(name) == F.col("_known"), "left_anti").withColumn("is_new", F.lit(True))
-    seen = flagged.join(side, F.col(name) == F.col("_known"), "left_semi").withColumn("is_new", F.lit(False))
+    side = known.select(F.col("name").alias("_known")).where("_known IS NOT NULL").distinct()
     clash = F.lit(False)
     if rule_category:
         clash = F.coalesce(F.col(rule_category) != F.col("category"), F.lit(False))
     margin = F.round(F.abs(F.coalesce("confidence", F.lit(0.0)) - options.review_threshold), 6)
-    queue = fresh.unionByName(seen).withColumn("disagrees", clash).withColumn("margin", margin)
+    met = flagged.join(side, F.col(name) == F.col("_known"), "left").withColumn("is_new", F.col("_known").isNull())
+    queue = cut_lineage(met.drop("_known").withColumn("disagrees", clash).withColumn("margin", margin))
     return queue.orderBy(
         F.desc(F.col("is_new") | F.col("disagrees")), F.asc("margin"), F.asc(name)
     )
