@@ -13,7 +13,7 @@ from checks.text_queries import CLEAN_TEXTS, DECOMPOSED, branded_roles, distinct
 from checks.views import kb_entries, table, txn
 from spendlens.fixed import CATEGORIES, OVERRIDE_HINTS
 from spendlens.functions.routing import descriptor_override, direct_gate, enrich_gate
-from spendlens.functions.terms import index_words, query_words, role_words
+from spendlens.functions.terms import index_words, query_words, role_words, words_and_pairs
 from spendlens.functions.tokens import analyze
 from spendlens.operators.dense import nearest
 from spendlens.operators.embedding import hashed_vectors, stored_vectors
@@ -25,6 +25,7 @@ from spendlens.operators.lexical import (
     B,
     IDF_FLOOR,
     K1,
+    asked_terms,
     bm25_index,
     bm25_query_terms,
     sparse_top_k,
@@ -100,8 +101,10 @@ SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (
 
 @query("j4_tfidf_top5", q.with_(TFIDF) + RANKED)
 def j4_tfidf_top5(spark, sf):
-    postings, terms = tfidf_index(docs(spark, sf), "doc_id", "text")
-    wanted = tfidf_query_terms(table(spark, sf, "benchmark"), terms, "item_id", "text")
+    queries = table(spark, sf, "benchmark")
+    asked = asked_terms(queries, words_and_pairs(F.col("text")))
+    postings, terms = tfidf_index(docs(spark, sf), "doc_id", "text", asked)
+    wanted = tfidf_query_terms(queries, terms, "item_id", "text")
     return top5(sparse_top_k(wanted, postings, 5, "item_id", "doc_id"))
 
 
@@ -133,9 +136,8 @@ scores AS (SELECT item_id, id AS doc_id, round(sum(weight), 12) AS score FROM bq
 
 @query("j5_bm25_top5", q.with_(bm25("documents", "doc_id", "text", "d"), BENCH_WORDS) + RANKED)
 def j5_bm25_top5(spark, sf):
-    postings = bm25_index(docs(spark, sf), "doc_id", "text")
-    asked = table(spark, sf, "benchmark")
-    wanted = bm25_query_terms(asked, "item_id", query_words(F.upper("text")))
+    wanted = cut_lineage(bm25_query_terms(table(spark, sf, "benchmark"), "item_id", query_words(F.upper("text"))))
+    postings = bm25_index(docs(spark, sf), "doc_id", "text", asked_terms(wanted, F.array("term")))
     return top5(sparse_top_k(wanted, postings, 5, "item_id", "doc_id"))
 
 
@@ -147,11 +149,11 @@ scores AS (SELECT item_id, id AS doc_id, round(sum(weight), 12) AS score FROM cq
 
 @query("j5_common_terms", q.with_(bm25("documents", "doc_id", "text", "d"), COMMON) + RANKED.replace("rank <= 5", "rank <= 15"))
 def j5_common_terms(spark, sf):
-    postings = bm25_index(docs(spark, sf), "doc_id", "text")
     third = F.col("item_id") % 3
     words = F.when(third == 0, F.array(F.lit("the"))).when(third == 1, F.array(*map(F.lit, ("the", "of", "in"))))
     words = words.otherwise(F.array(*map(F.lit, ("and", "the", "the"))))
-    wanted = bm25_query_terms(table(spark, sf, "benchmark"), "item_id", words)
+    wanted = cut_lineage(bm25_query_terms(table(spark, sf, "benchmark"), "item_id", words))
+    postings = bm25_index(docs(spark, sf), "doc_id", "text", asked_terms(wanted, F.array("term")))
     return top5(sparse_top_k(wanted, postings, 15, "item_id", "doc_id"))
 
 
@@ -187,9 +189,10 @@ scores AS (SELECT text, id AS entry_id, round(sum(weight), 12) AS score FROM rq
 SELECT text, entry_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, entry_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 15""")
 def j6_bm25_roles(spark, sf):
-    postings = bm25_index(stored_entries(spark, sf), "entry_id", "document")
     roles = analyze(distinct_texts(spark, sf), "text", "a")
     wanted = bm25_query_terms(roles, "text", role_words(F.col("a.brand_tokens"), F.col("a.descriptor_tokens")))
+    wanted = cut_lineage(wanted)
+    postings = bm25_index(stored_entries(spark, sf), "entry_id", "document")
     found = sparse_top_k(wanted, postings, 15, "text", "entry_id")
     return found.select("text", "entry_id", "score", "rank")
 

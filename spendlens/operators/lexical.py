@@ -59,11 +59,29 @@ def document_count(docs: DataFrame) -> Column:
     return docs.agg(F.count("*")).scalar()
 
 
-def tfidf_index(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (doc, term, weight) and terms (term, idf) of a corpus."""
-    counts = term_counts(docs, doc, words_and_pairs(F.col(text)))
-    terms = tfidf_terms(counts, document_count(docs))
-    return unit_weights(counts, terms, doc), terms
+def asked_terms(rows: DataFrame, terms: Column) -> DataFrame:
+    """Different terms of some queries, written out so that Spark knows their size and sends few to every task."""
+    return cut_lineage(exploded(rows, [], terms, "term").distinct())
+
+
+def tfidf_index(docs: DataFrame, doc: str, text: str, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (doc, term, weight) and terms (term, idf) of a corpus.
+
+    `asked` names the terms (term) that one search needs: only their postings
+    are made. Weights still come from all terms of all documents. Texts are
+    dealt by document first, so the counts of a document need no shuffle of
+    their own, and the terms and norms are written once.
+    """
+    counts = term_counts(docs.repartition(doc), doc, words_and_pairs(F.col(text)))
+    if asked is None:
+        terms = tfidf_terms(counts, document_count(docs))
+        return unit_weights(counts, terms, doc), terms
+    terms = cut_lineage(tfidf_terms(counts, document_count(docs)))
+    raw = F.col("tf") * F.col("idf")
+    norms = cut_lineage(counts.join(terms, "term").groupBy(doc).agg(F.sqrt(F.sum(raw * raw)).alias("norm")))
+    known = cut_lineage(terms.join(asked, "term", "left_semi"))
+    postings = counts.join(known, "term").join(norms, doc)
+    return postings.select(doc, "term", (raw / F.col("norm")).alias("weight")), known
 
 
 def tfidf_query_terms(queries: DataFrame, terms: DataFrame, query: str, text: str) -> DataFrame:
@@ -82,15 +100,20 @@ def bm25_share(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def bm25_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Postings (doc, term, weight) holding each term's whole BM25 share."""
+def bm25_index(docs: DataFrame, doc: str, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """Postings (doc, term, weight) holding each term's whole BM25 share.
+
+    `asked` names the terms (term) that one search needs: only their postings
+    are counted, in a pass over all documents. Lengths are those of whole texts.
+    """
     cut = docs.select(doc, index_words(F.col(text)).alias("tokens"))
     sized = cut.select(doc, F.size("tokens").alias("length"), "tokens")
-    counts = (
-        exploded(sized, [doc, "length"], "tokens", "term")
-        .groupBy(doc, "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    found = exploded(sized, [doc, "length"], "tokens", "term")
+    if asked is not None:
+        found = found.join(asked, "term", "left_semi")
+    counts = found.groupBy(doc, "length", "term").agg(F.count("*").alias("tf"))
+    if asked is not None:
+        counts = cut_lineage(counts)
     total = document_count(docs)
     average = sized.agg(F.avg("length")).scalar()
     hits = counts.groupBy("term").agg(F.count("*").alias("hits"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from spendlens import fixed
 from spendlens.functions.tokens import analyze
+from spendlens.functions.terms import words_and_pairs
 from spendlens.operators.labelling import parse_responses, review_queue
+from spendlens.operators.lexical import asked_terms, bm25_index, tfidf_index
 from spendlens.operators.statements import any_pattern, descriptions
 
 
@@ -55,3 +57,22 @@ def test_a_review_queue_reads_its_rows_once(spark):
     queue = review_queue(rows, known, "cleaned", "rule")
     assert [(r.cleaned, r.is_new, r.disagrees) for r in queue.collect()] == [("NEW", True, False), ("OLD", False, True), (None, True, False)]
     assert "LogicalRDD" not in optimized(queue)  # the sort reads what was written, not the rows once more
+
+
+def test_postings_of_asked_terms_weigh_as_in_the_whole_index(spark):
+    texts = [(1, "red bolt red nut"), (2, "red bolt"), (2, "blue bolt"), (3, "blue nut nut"), (4, None), (None, "red bolt")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    queries = spark.createDataFrame([("red bolt gone",)], "text string")
+    asked = asked_terms(queries, words_and_pairs(F.col("text")))
+    wanted = {r.term for r in asked.collect()}
+
+    def held(postings, only=None):
+        rows = postings.select("doc_id", "term", F.round("weight", 9).alias("weight")).collect()
+        return sorted((str(r.doc_id), r.term, r.weight) for r in rows if only is None or r.term in only)
+
+    whole, terms = tfidf_index(docs, "doc_id", "text")
+    some, known = tfidf_index(docs, "doc_id", "text", asked)
+    assert held(some) == held(whole, wanted) and held(some)
+    assert {r.term for r in known.collect()} == wanted & {r.term for r in terms.collect()}
+    some = held(bm25_index(docs, "doc_id", "text", asked))
+    assert some == held(bm25_index(docs, "doc_id", "text"), wanted) and some
