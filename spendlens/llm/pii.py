@@ -2,9 +2,9 @@
 
 Base patterns give sure spans. Loose generators propose further, overlapping spans; boosted trees judge each by
 its format and the words around it, and a threshold per kind (a spelt "at" has its own), calibrated on rows kept
-out of the fit, selects. Labels come from the base spans of a bounded sample: as they are and respelled the way people hide or shorten
+out of the fit, selects. Labels come from the base spans of all documents: as they are and respelled the way people hide or shorten
 them they are positive; dates, versions, amounts and numbers that fail the checks, put in the same places, are
-negative, and so are candidates of the sample that a check proves wrong. Its other candidates may be personal data
+negative, and so are candidates that a check proves wrong. Its other candidates may be personal data
 that someone hid or shortened, so they have no label. Everything but the fit is column expressions.
 """
 
@@ -20,7 +20,6 @@ from spendlens.llm.trees import Boosted, fit
 from spendlens.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000  # documents, on average, from which the trees are fitted
 PRECISION = 0.99  # least share of right choices among held-out candidates over a kind's threshold
 LEAST = 20  # held-out positives without which a kind's threshold is out of reach
 ROUNDS = 32  # trees
@@ -327,16 +326,17 @@ class Judge:
     thresholds: dict[str, float]
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Judge:
-    """Fit on about `sample` documents, chosen by a hash of the text; thresholds from a third of their rows.
+def learn(docs: DataFrame, text: str = "text", sample: int | None = None) -> Judge:
+    """Fit on the rows that all documents give; thresholds from a third of them.
 
-    Without both labels nothing is learned and only base spans are found.
+    A caller may ask for about `sample` documents, chosen by a hash of the text; the queries do not. Rows with equal features are one row with their number as its weight, so the fit grows with the different shapes
+    of candidates. Without both labels nothing is learned and only base spans are found.
     """
-    n = docs.count()
-    share = min(1.0, sample / n) if n else 1.0
     picked = docs.select(F.col(text).cast("string").alias("text"))
-    if share < 1:
-        picked = picked.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    if sample is not None:
+        share = sample / max(docs.count(), 1)
+        if share < 1:
+            picked = picked.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     found = cut_lineage(_with_candidates(picked, "text").select("_base", "_loose").where("size(_base) + size(_loose) > 0"))
     base = found.select(F.explode("_base").alias("s")).select("s.*")
     loose = found.select(F.explode("_loose").alias("s")).select("s.*").where(_disproved(F.col("kind"), F.col("value")))
@@ -346,15 +346,16 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Judge:
     rows = _in_places(made).select(*columns).union(loose.select(*columns))
     made = _features(F.col("kind"), F.col("value"), F.col("before"), F.col("after"))
     fold = F.pmod(F.xxhash64("value", "before"), F.lit(3)).alias("fold")
-    rows = cut_lineage(rows.select("kind", "label", fold, *[v.alias(k) for k, v in made.items()]).coalesce(4))
+    rows = rows.select("kind", "label", fold, *[v.alias(k) for k, v in made.items()])
+    rows = cut_lineage(rows.groupBy(*rows.columns).agg(F.count("*").alias("times")))
     labels = {r[0] for r in rows.where("fold > 0").select("label").distinct().toLocalIterator()}
     if labels != {0, 1}:
         return Judge(None, {})
-    trees = fit(rows.where("fold > 0"), list(made), rounds=ROUNDS)
+    trees = fit(rows.where("fold > 0"), list(made), rounds=ROUNDS, weight="times")
     way = F.when(F.col("spelt_at") > 0, F.concat("kind", F.lit(" at"))).otherwise(F.col("kind")).alias("kind")
-    judged = rows.where("fold = 0").select(way, "label", F.floor(trees.column(F.col) * 100).cast("int").alias("p"))
+    judged = rows.where("fold = 0").select(way, "label", "times", F.floor(trees.column(F.col) * 100).cast("int").alias("p"))
     counts: dict[str, dict[int, list[int]]] = {}
-    for kind, p, label, times in judged.groupBy("kind", "p", "label").count().toLocalIterator():
+    for kind, p, label, times in judged.groupBy("kind", "p", "label").agg(F.sum("times")).toLocalIterator():
         counts.setdefault(kind, {}).setdefault(p, [0, 0])[label] += times
     thresholds = {}
     for kind, at in counts.items():

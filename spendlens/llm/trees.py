@@ -66,13 +66,21 @@ def _read(node) -> Node:
     return Node(int(split.featureIndex()), float(split.threshold()), 0.0, _read(node.leftChild()), _read(node.rightChild()))
 
 
-def fit(rows: DataFrame, names: list[str], label: str = "label", rounds: int = 20, depth: int = 3) -> Boosted:
-    """Gradient boosted trees on numeric feature columns; `rows` must hold both labels."""
+def fit(
+    rows: DataFrame, names: list[str], label: str = "label", rounds: int = 20, depth: int = 3, weight: str | None = None
+) -> Boosted:
+    """Gradient boosted trees on numeric feature columns; `rows` must hold both labels.
+
+    `weight` names a column that says how many equal rows a row stands for.
+    """
     numeric = [F.col(n).cast("double").alias(n) for n in names]
+    times = F.lit(1) if weight is None else F.col(weight)
     packed = VectorAssembler(inputCols=names, outputCol="features").transform(
-        rows.select(*numeric, F.col(label).cast("double").alias("label"))
+        rows.select(*numeric, F.col(label).cast("double").alias("label"), times.cast("double").alias("weight"))
     )
     learner = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, maxBins=32)
-    model = learner.fit(packed.select("features", "label"))
+    if weight is not None:
+        learner = learner.setWeightCol("weight")
+    model = learner.fit(packed.select("features", "label", *(["weight"] if weight else [])))
     trees = [_read(t._java_obj.rootNode()) for t in model.trees]
     return Boosted(tuple(zip(map(float, model.treeWeights), trees)), tuple(names))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spendlens import fixed
 from spendlens.functions.tokens import analyze
 from spendlens.functions.terms import words_and_pairs
+from spendlens.llm import pii
 from spendlens.operators.labelling import parse_responses, review_queue
 from spendlens.operators.lexical import asked_terms, bm25_index, tfidf_index
 from spendlens.operators.statements import any_pattern, descriptions
@@ -76,3 +77,15 @@ def test_postings_of_asked_terms_weigh_as_in_the_whole_index(spark):
     assert {r.term for r in known.collect()} == wanted & {r.term for r in terms.collect()}
     some = held(bm25_index(docs, "doc_id", "text", asked))
     assert some == held(bm25_index(docs, "doc_id", "text"), wanted) and some
+
+
+def test_personal_data_is_learned_from_all_documents(spark, monkeypatch):
+    seen, whole = [], pii._with_candidates
+
+    def counted(docs, text):
+        seen.append(docs.count())
+        return whole(docs.limit(0), text)
+
+    monkeypatch.setattr(pii, "_with_candidates", counted)
+    pii.learn(spark.range(20_500).select(F.concat(F.lit("x"), "id").alias("text")))
+    assert seen == [20_500]
