@@ -24,6 +24,7 @@ from spendlens.operators.embedding import Encoder
 from spendlens.operators.fusion import PairScorer
 from spendlens.options import DEFAULTS, Options
 from spendlens.plans.search import Knowledge, search
+from spendlens.session import cut_lineage
 
 
 class TextModel(Protocol):
@@ -168,12 +169,13 @@ def classify(
 
     The knowledge base and the models see each unresolved cleaned text once;
     answers are joined back to the rows. Rows no stage answers keep nulls and
-    are flagged.
+    are flagged. The cleaned rows feed several scans, so they are written once.
     """
     quick = quick_stages(df, text, rules, options)
     stage = first_available(stages or [])
     if kb is None and stage is None:
         return quick.withColumn("flagged_for_review", F.col("category").isNull())
+    quick = cut_lineage(quick)
     open_texts = quick.where(F.col("category").isNull()).select("cleaned").distinct()
     answers = knowledge_answers(open_texts.where(F.col("cleaned") != ""), kb, scorer, encoder, options)
     if stage is not None:

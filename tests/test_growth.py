@@ -11,6 +11,7 @@ from spendlens.llm import pii
 from spendlens.operators.labelling import parse_responses, review_queue
 from spendlens.operators.lexical import asked_terms, bm25_index, tfidf_index
 from spendlens.operators.statements import any_pattern, descriptions
+from spendlens.plans.classify import Stage, classify
 
 
 def optimized(df):
@@ -89,3 +90,15 @@ def test_personal_data_is_learned_from_all_documents(spark, monkeypatch):
     monkeypatch.setattr(pii, "_with_candidates", counted)
     pii.learn(spark.range(20_500).select(F.concat(F.lit("x"), "id").alias("text")))
     assert seen == [20_500]
+
+
+class Answer:
+    def score(self, df, text):
+        return df.withColumn("category", F.lit("Income")).withColumn("confidence", F.lit(0.5))
+
+
+def test_a_cascade_cleans_each_row_once(spark):
+    rows = spark.createDataFrame([(1, "SHOP ABC"), (2, "Payroll Deposit x"), (3, "SHOP ABC"), (4, None)], "id int, description string")
+    found = classify(rows.withColumn("nothing", F.lit(None)), stages=[Stage("m", Answer())])
+    assert "LogicalRDD" not in optimized(found)
+    assert sorted((r.id, r.nothing, r.source) for r in found.collect()) == [(1, None, "m"), (2, None, "direction"), (3, None, "m"), (4, None, "m")]
