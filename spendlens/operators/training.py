@@ -14,6 +14,7 @@ from spendlens.functions.labels import map_labels
 from spendlens.functions.names import strings
 from spendlens.functions.rows import exploded, posexploded
 from spendlens.operators.ranking import hashed_rank
+from spendlens.session import cut_lineage
 
 SEED = 42
 SPLIT = (0.8, 0.9)
@@ -252,12 +253,13 @@ def pseudo_labels(
 
     Shares are ranks over distinct rounded confidences, at most 10**digits + 1
     per class, so no class is sorted as a whole. Rows of equal rounded
-    confidence share a rank.
+    confidence share a rank. Predictions are counted and then filtered, so they
+    are written once.
     """
     needed = F.lit(threshold)
     for name, value in (class_thresholds or {}).items():
         needed = F.when(F.col("category") == name, F.lit(value)).otherwise(needed)
-    rounded = df.withColumn("_c", F.round("confidence", digits))
+    rounded = cut_lineage(df).withColumn("_c", F.round("confidence", digits))
     counts = rounded.groupBy("category", "_c").agg(F.count("*").alias("_n"))
     above = Window.partitionBy("category").orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("category")

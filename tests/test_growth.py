@@ -11,6 +11,7 @@ from spendlens.llm import pii
 from spendlens.operators.labelling import parse_responses, review_queue
 from spendlens.operators.lexical import asked_terms, bm25_index, tfidf_index
 from spendlens.operators.statements import any_pattern, descriptions
+from spendlens.operators.training import pseudo_labels
 from spendlens.plans.classify import Stage, classify
 
 
@@ -102,3 +103,10 @@ def test_a_cascade_cleans_each_row_once(spark):
     found = classify(rows.withColumn("nothing", F.lit(None)), stages=[Stage("m", Answer())])
     assert "LogicalRDD" not in optimized(found)
     assert sorted((r.id, r.nothing, r.source) for r in found.collect()) == [(1, None, "m"), (2, None, "direction"), (3, None, "m"), (4, None, "m")]
+
+
+def test_predictions_are_made_once_for_pseudo_labels(spark):
+    rows = spark.createDataFrame([(i, "Income", 0.9 + i / 100) for i in range(10)], "id int, category string, confidence double")
+    found = pseudo_labels(rows)
+    assert "LogicalRDD" not in optimized(found)
+    assert sorted(r.id for r in found.collect()) == [8, 9]
