@@ -8,6 +8,7 @@ from checks.views import judged, table, txn
 from spendlens.fixed import CATEGORIES
 from spendlens.functions.cleaning import with_clean
 from spendlens.operators import evaluate as ev
+from spendlens.session import cut_lineage
 
 J = q.with_(q.TXN, q.CLEANED, q.JUDGED)
 OK = "(category IS NOT DISTINCT FROM label)"
@@ -166,7 +167,8 @@ MODELS = """, models AS (SELECT 'plain' AS model, category, label, source, confi
 
 
 def models(spark, sf):
-    rows = judged(spark, sf)
+    """Two models' answers to the same rows, which are judged and written once."""
+    rows = cut_lineage(judged(spark, sf).select("txn_key", "category", "label", "source", "confidence"))
     shifted = rows.withColumn("category", F.when(F.col("txn_key") % 4 == 0, F.col("label")).otherwise(F.col("category")))
     return rows.withColumn("model", F.lit("plain")).unionByName(shifted.withColumn("model", F.lit("shifted")))
 

@@ -110,3 +110,14 @@ def test_predictions_are_made_once_for_pseudo_labels(spark):
     found = pseudo_labels(rows)
     assert "LogicalRDD" not in optimized(found)
     assert sorted(r.id for r in found.collect()) == [8, 9]
+
+
+def test_rows_of_two_models_are_judged_once(spark, tmp_path):
+    from checks.eval_queries import e14_models
+
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string, l_shipdate date"
+    spark.createDataFrame([(i, 1, 1, 1, 10.0 * i, "A", None) for i in range(12)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "red bolt", "PROMO")], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = e14_models(spark, str(tmp_path))
+    assert "RLIKE" not in optimized(found)
+    assert sorted((r.model, r.n) for r in found.collect()) == [("plain", 12), ("shifted", 12)]
