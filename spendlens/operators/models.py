@@ -105,7 +105,11 @@ def train_text_model(
     iterations: int = 50,
     regularization: float = 1e-5,
 ) -> LinearTextModel:
-    """Fit on rows weighted so that every class counts the same."""
+    """Fit on rows weighted so that every class counts the same.
+
+    Each step of the fit shuffles a gradient (classes x features) per partition, so the cached rows are read in no more
+    partitions than there are cores.
+    """
     rows = df.where(F.col(label).isin(*CATEGORIES)).select(
         damped(GRAMS[kind](F.col(text))).alias("_grams"), F.col(label).alias("_label")
     )
@@ -132,7 +136,8 @@ def train_text_model(
             ),
         ]
     )
-    fitted = pipeline.fit(indexer.transform(weighted))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    fitted = pipeline.fit(indexer.transform(weighted.coalesce(cores)))
     weighted.unpersist()
     sizes.unpersist()
     return LinearTextModel(fitted, kind)

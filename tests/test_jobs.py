@@ -7,6 +7,7 @@ from checks.catalog import ORACLES, QUERIES
 from checks.compare import connect, difference
 from spendlens.operators.evaluate import exact_p
 from spendlens.operators.labelling import parse_responses
+from spendlens.operators import models
 from spendlens.operators.models import ExternalTextModel, LinearTextModel, train_text_model
 from spendlens.operators.statements import account_descriptions, card_descriptions
 
@@ -58,6 +59,16 @@ def test_models(spark, tmp_path):
     assert {r["confidence"] for r in outside if r["cleaned"] == "SUBWAY"} == {0.06}
 
 
+@pytest.mark.parametrize("kind", ["linear", "subword"])
+def test_fit_reads_no_more_partitions_than_cores(spark, monkeypatch, kind):
+    seen, fit = [], models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    df = spark.createDataFrame([(f"shop {i % 7}", ["Income", "Transportation"][i % 2]) for i in range(60)], "cleaned string, category string")
+    model = train_text_model(df.repartition(30), kind=kind, features=1 << 8, iterations=2)
+    assert len(seen) == 1 and seen[0] <= spark.sparkContext.defaultParallelism
+    assert model.score(df, "cleaned").count() == 60
+
+
 def test_exact_p():
     assert exact_p(0, 0) == 1.0
     assert abs(exact_p(39, 6) - 5.4e-7) < 1e-7
