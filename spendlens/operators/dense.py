@@ -70,26 +70,56 @@ def with_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInPandas(assign, schema)
 
 
+def best_columns(scores: np.ndarray, keep: int) -> np.ndarray:
+    """The `keep` best columns of each row, best first, ties to the smaller column; no row is sorted whole."""
+    scores = np.where(np.isnan(scores), -np.inf, scores)
+    least = np.partition(scores, -keep, axis=1)[:, -keep, None]
+    picked = scores >= least
+    tied = picked.sum(axis=1) > keep
+    if tied.any():
+        level = scores[tied] == least[tied]
+        room = keep - (picked[tied] & ~level).sum(axis=1, keepdims=True)
+        picked[tied] &= ~level | (level.cumsum(axis=1) <= room)
+    columns = np.nonzero(picked)[1].reshape(len(scores), keep)
+    order = np.argsort(-np.take_along_axis(scores, columns, 1), axis=1, kind="stable")
+    return np.take_along_axis(columns, order, 1)
+
+
 def best_in_block(k: int, queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-    """k best corpus rows per query row of one block pair."""
+    """k best corpus rows per query row of one block pair.
+
+    A query with a `floor` above zero, which its k-th best similarity reaches, keeps no row below it.
+    """
     if not len(queries) or not len(corpus):
         return pd.DataFrame({"qkey": [], "entry_id": [], "similarity": []}, dtype=object)
-    scores = np.round(np.clip(unit_rows(queries["vector"]) @ unit_rows(corpus["vector"]).T, 0.0, 1.0), DIGITS)
-    ids = corpus["entry_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[:, order]
-    keep = min(k, scores.shape[1])
-    # Columns are in id order, so a stable sort breaks ties by id.
-    best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+    corpus = corpus.sort_values("entry_id", kind="stable")
+    raw = unit_rows(queries["vector"]) @ unit_rows(corpus["vector"]).T
+    floor = queries["floor"].to_numpy() if "floor" in queries else np.zeros(len(queries))
+    bare, held = np.nonzero(~(floor > 0))[0], np.nonzero(floor > 0)[0]
+    # Columns are in id order, so of equal scores the smaller column comes first.
+    best = best_columns(rounded(raw[bare]), min(k, raw.shape[1])) if len(bare) else np.empty((0, 1), dtype=int)
+    # Rounding lifts a similarity by less than SLACK.
+    row, column = np.nonzero(raw[held] >= (floor[held] - SLACK)[:, None])
+    row = held[row]
+    scores = rounded(raw[row, column])
+    order = np.lexsort((column, -scores, row))
+    place = np.arange(len(order)) - np.searchsorted(row, row[order])  # rows come in order
+    order = order[place < k]
+    rows = np.concatenate([np.repeat(bare, best.shape[1]), row[order]])
+    columns = np.concatenate([best.ravel(), column[order]])
     return pd.DataFrame(
         {
-            "qkey": np.repeat(queries["vkey"].to_numpy(), keep),
-            "entry_id": ids[best].ravel(),
-            "similarity": np.take_along_axis(scores, best, 1).ravel(),
+            "qkey": queries["vkey"].to_numpy()[rows],
+            "entry_id": corpus["entry_id"].to_numpy()[columns],
+            "similarity": rounded(raw[rows, columns]),
         }
     )
 
 
+def rounded(similarity: np.ndarray) -> np.ndarray:
+    return np.round(np.clip(similarity, 0.0, 1.0), DIGITS)
+
+
 def join_blocks(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Block pairs that share (cell, qpart, part), scored and cut to k per query."""
     kind = corpus.schema["entry_id"].dataType.simpleString()
@@ -151,6 +181,7 @@ def visits(
                     {
                         "vkey": pdf["vkey"].to_numpy()[row],
                         "vector": pdf["vector"].to_numpy()[row],
+                        "floor": pdf["floor"].to_numpy()[row],
                         "cell": cell.astype(np.int32),
                     }
                 )
@@ -213,12 +244,13 @@ def nearest(
     )
     vector_type = located.schema["vector"].dataType.simpleString()
     visiting = bounded.mapInPandas(
-        visits(anchors, lows, highs), f"vkey string, vector {vector_type}, cell int"
+        visits(anchors, lows, highs), f"vkey string, vector {vector_type}, floor double, cell int"
     ).persist()
     visit_parts = parts_by_cell(visiting.groupBy("cell").agg(F.count("*").alias("n")).collect(), block)
     scored = join_blocks(
         visiting.select(
-            "cell", "vkey", "vector", part_of("vkey", visit_parts).alias("qpart"), all_parts(corpus_parts).alias("part")
+            "cell", "vkey", "vector", "floor",
+            part_of("vkey", visit_parts).alias("qpart"), all_parts(corpus_parts).alias("part"),
         ),
         parted.select("*", all_parts(visit_parts).alias("qpart")),
         k,

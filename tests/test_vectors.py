@@ -3,8 +3,9 @@
 import os
 
 import numpy as np
+import pandas as pd
 
-from spendlens.operators.dense import nearest
+from spendlens.operators.dense import best_in_block, nearest
 from spendlens.operators.embedding import stored_vectors
 
 
@@ -46,3 +47,24 @@ def test_a_noisy_encoder_answers_all_queries(spark, tmp_path):
     corpus = vectors.selectExpr("query_id AS entry_id", "vector")
     found = nearest(vectors, corpus, 1).collect()
     assert len(found) == 40 and all(r.similarity == 1.0 for r in found)
+
+
+def test_a_floor_keeps_what_reaches_it_and_no_more():
+    rng = np.random.default_rng(4)
+    corpus = pd.DataFrame({"entry_id": rng.permutation(90), "vector": list(rng.integers(-2, 3, (90, 3)).astype(np.float32))})
+    queries = pd.DataFrame({"vkey": [f"q{i:02}" for i in range(40)], "vector": list(rng.integers(-2, 3, (40, 3)).astype(np.float32))})
+    scores = np.round(np.clip(unit(queries) @ unit(corpus).T, 0.0, 1.0), 6)
+    floor = np.sort(scores, axis=1)[:, -5]
+    found = best_in_block(9, queries.assign(floor=floor), corpus)
+    for i, key in enumerate(queries["vkey"]):
+        ranked = sorted(zip(-scores[i], corpus["entry_id"]))[:9]
+        want = [(e, -s) for s, e in ranked if -s >= floor[i] - 1e-6 or floor[i] <= 0]
+        got = found[found["qkey"] == key]
+        assert list(zip(got["entry_id"], got["similarity"])) == want
+    assert len(found) < 9 * 40
+
+
+def unit(rows):
+    matrix = np.stack(rows["vector"]).astype(np.float64)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
