@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spendlens.functions.rows import let
+
 QUERY_TOKENS = 8
 
 
@@ -33,16 +35,18 @@ def words(text: Column) -> Column:
 
 
 def words_and_pairs(text: Column) -> Column:
-    tokens = words(text)
-    pairs = F.when(
-        F.size(tokens) > 1,
-        F.zip_with(
-            F.slice(tokens, F.lit(1), F.size(tokens) - 1),
-            F.slice(tokens, F.lit(2), F.size(tokens) - 1),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs)
+    def both(tokens: Column) -> Column:
+        pairs = F.when(
+            F.size(tokens) > 1,
+            F.zip_with(
+                F.slice(tokens, F.lit(1), F.size(tokens) - 1),
+                F.slice(tokens, F.lit(2), F.size(tokens) - 1),
+                lambda a, b: F.concat(a, F.lit(" "), b),
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+        return F.concat(tokens, pairs)
+
+    return let(words(text), both)
 
 
 def index_words(text: Column) -> Column:

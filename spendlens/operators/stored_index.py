@@ -2,7 +2,7 @@
 
 A segment holds the postings of one batch of documents: term, document, count and document length, in folders by a
 hash of the term (bins) and sorted by term in them, with the size and best share of each (term, level), the heaviest
-postings of each term and the documents' ids. Weights depend on the whole corpus, so they are not stored: a search
+postings of each term that has more than HEAVY and the documents' ids. Weights depend on the whole corpus, so they are not stored: a search
 works them out for the postings it reads, from the segments' totals. Appending writes a new segment and touches no
 other. A manifest lists the segments of each version; a batch that was lost half way is never seen.
 
@@ -31,7 +31,7 @@ from spendlens.operators.lexical import (
 from spendlens.operators.ranking import top_n
 from spendlens.session import cut_lineage
 
-HEAVY = 64  # postings of a term kept for the floor of a search's scores
+HEAVY = 64  # postings of a term kept for the floor of a search's scores; terms with no more need no copy of theirs
 BIN_ROWS = 2_000_000  # postings a bin should hold
 MOST_BINS = 4096
 LITERAL_TERMS = 512  # up to so many different terms are filters of the scan; more are a join
@@ -141,11 +141,18 @@ def _write_segment(index: StoredIndex, segment: int, counts: DataFrame, lengths:
     rows = _stored(own, "postings").drop("segment")
     sizes = rows.groupBy("bin", "term", "bucket").agg(F.count("*").alias("n"), F.max("share").alias("top_share"))
     write(sizes.repartitionByRange("bin", "term").sortWithinPartitions("bin", "term"), "sizes")
-    heavy = top_n(rows, ["bin", "term"], [F.desc("share"), F.asc(doc)], HEAVY).drop("rank")
+    common = cut_lineage(_common(_stored(own, "sizes"), ["bin", "term"]))
+    common_rows = rows.join(common, ["bin", "term"], "left_semi")
+    heavy = top_n(common_rows, ["bin", "term"], [F.desc("share"), F.asc(doc)], HEAVY).drop("rank")
     write(heavy.repartitionByRange("bin", "term").sortWithinPartitions("bin", "term"), "heavy")
     return index._replace(segments=(*index.segments, (segment, documents, texts, tokens)))
 
 
+def _common(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Terms with more than HEAVY postings."""
+    return sizes.groupBy(*keys).agg(F.sum("n").alias("_n")).where(F.col("_n") > HEAVY).select(*keys)
+
+
 def build_index(
     docs: DataFrame, doc: str, text: str, root: str, kind: str = "bm25", bins: int | None = None
 ) -> StoredIndex:
@@ -257,8 +264,13 @@ def _bm25_postings(index: StoredIndex, terms: DataFrame) -> Postings:
     rows = weighed(read("postings")).join(big, ["term", "bucket"], "left")
     rows = rows.select(doc, "term", "weight", "bucket", salt)
 
+    # A term's heaviest postings in a segment, or all of them where they are few.
+    common = cut_lineage(_common(sizes, ["segment", "term"]))
+
     def heavy(k: int) -> DataFrame:
-        found = weighed(read("heavy")).select(doc, "term", "weight")
+        kept = read("heavy").join(common, ["segment", "term"], "left_semi")
+        rare = read("postings").join(common, ["segment", "term"], "left_anti")
+        found = weighed(kept.unionByName(rare)).select(doc, "term", "weight")
         return top_n(found, ["term"], [F.desc("weight"), F.asc(doc)], k).drop("rank")
 
     return Postings(rows, levels, heavy)

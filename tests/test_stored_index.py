@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spendlens.functions.terms import words_and_pairs
 from spendlens.operators import lexical, stored_index
 from spendlens.operators.lexical import bm25_index, bm25_query_terms, sparse_top_k, tfidf_index, tfidf_query_terms
 from spendlens.operators.stored_index import append_index, build_index, merge_segments, open_index, search_terms, search_texts
@@ -87,6 +88,30 @@ def test_scan_reads_the_bins_and_terms_of_the_queries(spark, tmp_path, capsys):
     assert {r.bin for r in rows.select("bin").distinct().collect()} == bins
 
 
+def test_heavy_postings_are_those_of_common_terms(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, f"w0 {rng.choice(['w1', 'w2'])} {rng.choice(WORDS)} w0" + " w3" * (i % 5 == 0)) for i in range(200)]
+    index = build_index(table(spark, rows[:150]), "doc_id", "text", str(tmp_path / "index"), bins=4)
+    index = append_index(index, table(spark, rows[150:]), "text")
+    sizes = stored_index._stored(index, "sizes").groupBy("segment", "term").agg(F.sum("n").alias("n"))
+    common = {(r.segment, r.term) for r in sizes.where(F.col("n") > stored_index.HEAVY).collect()}
+    heavy = stored_index._stored(index, "heavy").groupBy("segment", "term").count().collect()
+    assert {(r.segment, r.term) for r in heavy} == common and {r["count"] for r in heavy} == {stored_index.HEAVY}
+    assert 0 < len(common) < sizes.count()
+    queries = asked(spark, rng)
+    for k in (5, 100):
+        want = plain(sparse_top_k(query_terms(queries), bm25_index(table(spark, rows), "doc_id", "text"), k))
+        assert plain(search_terms(index, query_terms(queries), k)) == want
+
+
+def test_a_text_is_cut_once_for_words_and_pairs(spark):
+    rows = table(spark, [(1, "Ab c9 d ef"), (2, None), (3, "xx")]).repartition(2)
+    cut = rows.select("doc_id", words_and_pairs(F.col("text")).alias("terms"))
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = {r.doc_id: r.terms for r in cut.collect()}
+    assert got == {1: ["ab", "c9", "ef", "ab c9", "c9 ef"], 2: None, 3: ["xx"]}
+
+
 def test_empty_index(spark, tmp_path):
     root = str(tmp_path / "index")
     assert open_index(spark, root) is None
