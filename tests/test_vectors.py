@@ -4,9 +4,13 @@ import os
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
+from spendlens.functions.terms import char_grams
 from spendlens.operators.dense import best_in_block, nearest
-from spendlens.operators.embedding import stored_vectors
+from spendlens.operators.embedding import hashed_vectors, stored_vectors
 
 
 class Noisy:
@@ -68,3 +72,20 @@ def unit(rows):
     matrix = np.stack(rows["vector"]).astype(np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+
+def test_hashed_vectors_equal_those_of_the_ml_stages(spark):
+    texts = [
+        "Ab c", "", "  \t x\ny\x0b\x0cz\r ", "a" * 50 + " b", "the the cat", "é", "漢",
+        "\U0001f600\U0001f600 straße İI éàü漢字漢字 \u00a0nbsp\u2003em \u0085nel ls\x1cfs", "\u0000 \u0001ab",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    grams = rows.withColumn("grams", char_grams(F.col("text"), 3, 5))
+    counted = HashingTF(numFeatures=256, inputCol="grams", outputCol="tf").transform(grams)
+    unit_counts = Normalizer(p=2.0, inputCol="tf", outputCol="unit").transform(counted)
+    want = {r.id: r.v for r in unit_counts.select("id", vector_to_array("unit", "float32").alias("v")).collect()}
+    made = hashed_vectors(rows, "text")
+    assert made.columns == ["id", "text", "vector"]
+    assert {r.id: r.vector for r in made.collect()} == want
+    # Interpreted lambdas cut the grams before, one expression per character.
+    assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
