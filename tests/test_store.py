@@ -47,6 +47,28 @@ def test_repeats_inside_a_batch_and_across_batches(spark, tmp_path):
     assert held(spark, root) == ([("q", "ONE", "d1")], [("ONE", "q", 1)])
 
 
+def test_the_last_batch_of_the_query_holds_all_entries_again(spark, tmp_path, monkeypatch):
+    from checks import kb_queries
+
+    spark.createDataFrame([(1, "Supplier#11", 2), (2, "Supplier#22", 3)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(
+        str(tmp_path / "supplier.parquet"))
+    parts = [(1, "blue cup", 1, "PROMO"), (2, "red cup", 2, "SMALL"), (3, "blue cup", 3, "LARGE"), (4, "tin", 5, "PROMO")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_type string").write.parquet(
+        str(tmp_path / "part.parquet"))
+    batches = []
+
+    def recorded(spark, root, batch):
+        batches.append(sorted((r.entry_id, r.position) for r in batch.select("entry_id", "position").collect()))
+        return write_store(spark, root, batch)
+
+    monkeypatch.setattr(kb_queries, "write_store", recorded)
+    held = kb_queries.s9_store_batches(spark, str(tmp_path)).collect()
+    seeded, placed, again = batches
+    assert len(seeded) == 2 and len(placed) == 3
+    assert again == sorted(seeded + placed)
+    assert sorted(r.canonical_name for r in held) == ["BLUE CUP", "RED CUP", "SUPPLIER HOUSE BB", "SUPPLIER HOUSE CC"]
+
+
 def test_an_append_rewrites_nothing(spark, tmp_path):
     root = str(tmp_path / "kb")
     write_store(spark, root, entries(spark, [(i, f"e{i}", f"NAME {i}", 1) for i in range(2000)]))
