@@ -49,6 +49,27 @@ def words_and_pairs(text: Column) -> Column:
     return let(words(text), both)
 
 
+def words_and_pairs_size(text: Column) -> Column:
+    """How many there are of both, without cutting the pairs."""
+    n = F.size(words(text))
+    return n + F.greatest(n - 1, F.lit(0))
+
+
+def counted(terms: Column) -> Column:
+    """Array of (term, tf) of an array of terms, in the order of the terms; null where there are none."""
+
+    def runs(found: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i) != F.get(found, i - 1))
+        )
+        lengths = let(starts, lambda at: F.transform(at, lambda i, j: F.struct(
+            F.get(found, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(found)) - i).cast("long").alias("tf")
+        )))
+        return F.when(F.size(found) > 0, lengths)
+
+    return let(F.sort_array(terms), runs)
+
+
 def index_words(text: Column) -> Column:
     """Accent-free lower-case runs of letters and digits, as full-text search cuts them."""
     return F.regexp_extract_all(fold_accents(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

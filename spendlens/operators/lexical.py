@@ -8,7 +8,9 @@ Results are exact. Common terms are not dropped and not joined blindly:
    candidates. The others read only posting buckets (by weight) that can.
 3. Surviving candidates get the remaining terms by a join on (document, term).
 
-Buckets of a very common term are salted, so no task holds a whole term.
+Buckets of a very common term are salted, so no task holds a whole term. Few
+query terms are sent to all postings instead: these are dealt by document
+once, and every score is whole where it is made.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.rows import exploded
-from spendlens.functions.terms import index_words, words_and_pairs
+from spendlens.functions.terms import counted, index_words, words_and_pairs
 from spendlens.operators.ranking import top_n
 from spendlens.session import cut_lineage
 
@@ -32,6 +34,7 @@ IDF_FLOOR = 1e-6
 RANK_DIGITS = 12  # sums that agree in these are ties, so ranks do not depend on the order of summing
 SCORE_DIGITS = 6  # of the score that is returned
 BUCKET_ROWS = 50_000
+FEW_TERMS = 50_000  # rows of query terms up to which a search sends them to all postings
 
 
 def term_counts(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
@@ -41,11 +44,46 @@ def term_counts(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
     )
 
 
+def document_terms(rows: DataFrame, doc: str, terms: Column, *keep: str) -> DataFrame:
+    """(doc, *keep, term, tf) as grouping the terms by all of these gives, but counted inside the row of a document.
+
+    Only documents whose id comes more than once are grouped.
+    """
+    keys = [doc, *keep]
+    again = rows.groupBy(doc).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(doc).alias("_again"))
+    again = cut_lineage(again)
+
+    def alone(part: DataFrame) -> DataFrame:
+        return exploded(part, keys, counted(terms), "_run").select(*keys, "_run.term", "_run.tf")
+
+    if again.isEmpty():
+        return alone(rows)
+    same = F.col(doc).eqNullSafe(F.col("_again"))
+    repeated = exploded(rows.join(again, same, "left_semi"), keys, terms, "term")
+    grouped = repeated.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return alone(rows.join(again, same, "left_anti")).unionByName(grouped)
+
+
+def tfidf_weight(documents: Column, hits: Column) -> Column:
+    """Smoothed idf."""
+    return F.log((1.0 + documents) / (1.0 + hits)) + 1.0
+
+
+def document_norms(counts: DataFrame, doc: str, documents: Column) -> DataFrame:
+    """(doc, norm): length of each document's vector of tf x idf.
+
+    The postings are dealt by term once, which tells a term's documents, and
+    summed by document in the tasks.
+    """
+    hits = F.count("*").over(Window.partitionBy("term"))
+    weighed = counts.select(doc, "tf", hits.alias("hits"))
+    raw = F.col("tf") * tfidf_weight(documents, F.col("hits"))
+    return weighed.groupBy(doc).agg(F.sqrt(F.sum(raw * raw)).alias("norm"))
+
+
 def tfidf_terms(counts: DataFrame, documents: Column) -> DataFrame:
     """(term, idf) with smoothed idf."""
-    return counts.groupBy("term").agg(
-        (F.log((1.0 + documents) / (1.0 + F.count("*"))) + 1.0).alias("idf")
-    )
+    return counts.groupBy("term").agg(tfidf_weight(documents, F.count("*")).alias("idf"))
 
 
 def unit_weights(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
@@ -68,20 +106,19 @@ def tfidf_index(docs: DataFrame, doc: str, text: str, asked: DataFrame | None =
     """Postings (doc, term, weight) and terms (term, idf) of a corpus.
 
     `asked` names the terms (term) that one search needs: only their postings
-    are made. Weights still come from all terms of all documents. Texts are
-    dealt by document first, so the counts of a document need no shuffle of
-    their own, and the terms and norms are written once.
+    are made. Weights still come from all terms of all documents: the norms
+    and the postings that are asked for are written once.
     """
-    counts = term_counts(docs.repartition(doc), doc, words_and_pairs(F.col(text)))
+    counts = document_terms(docs, doc, words_and_pairs(F.col(text)))
+    total = document_count(docs)
     if asked is None:
-        terms = tfidf_terms(counts, document_count(docs))
+        terms = tfidf_terms(counts, total)
         return unit_weights(counts, terms, doc), terms
-    terms = cut_lineage(tfidf_terms(counts, document_count(docs)))
-    raw = F.col("tf") * F.col("idf")
-    norms = cut_lineage(counts.join(terms, "term").groupBy(doc).agg(F.sqrt(F.sum(raw * raw)).alias("norm")))
-    known = cut_lineage(terms.join(asked, "term", "left_semi"))
-    postings = counts.join(known, "term").join(norms, doc)
-    return postings.select(doc, "term", (raw / F.col("norm")).alias("weight")), known
+    norms = cut_lineage(document_norms(counts, doc, total))
+    found = cut_lineage(counts.join(asked, "term", "left_semi"))
+    known = cut_lineage(tfidf_terms(found, total))
+    weight = (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")
+    return found.join(known, "term").join(norms, doc).select(doc, "term", weight), known
 
 
 def tfidf_query_terms(queries: DataFrame, terms: DataFrame, query: str, text: str) -> DataFrame:
@@ -183,6 +220,17 @@ def sure_scores(query_terms: DataFrame, heavy: DataFrame, query: str, doc: str,
     return ranked.where(F.col("rank") == k).select(query, below(F.col("score")).alias("floor"))
 
 
+def best_documents(shares: DataFrame, query: str, doc: str, k: int) -> DataFrame:
+    """The k best documents of each query by the sum of their shares."""
+    scored = (
+        shares.groupBy(query, doc)
+        .agg(F.round(F.sum("share"), RANK_DIGITS).alias("score"))
+        .where(F.col("score") > 0)
+    )
+    best = top_n(scored, [query], [F.desc("score"), F.asc(doc)], k)
+    return best.withColumn("score", F.round("score", SCORE_DIGITS))
+
+
 def sparse_top_k(
     query_terms: DataFrame,
     postings: DataFrame | Postings,
@@ -198,6 +246,11 @@ def sparse_top_k(
     smaller document id. All hits with a score above zero count. The returned
     score is rounded to SCORE_DIGITS.
     """
+    query_terms = cut_lineage(query_terms)
+    if query_terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        dealt = (postings.rows if isinstance(postings, Postings) else postings).select(doc, "term", "weight").repartition(doc)
+        shares = dealt.join(query_terms.where(F.col(query).isNotNull()), "term")
+        return best_documents(shares.select(query, doc, (F.col("qweight") * F.col("weight")).alias("share")), query, doc, k)
     rows, sizes, heavy = postings if isinstance(postings, Postings) else in_buckets(postings, doc)
     tops = sizes.groupBy("term").agg(F.max("top").alias("term_top"))
     wanted = query_terms.join(tops, "term").withColumn("most", F.col("qweight") * F.col("term_top"))
@@ -240,12 +293,5 @@ def sparse_top_k(
         .join(rows.select(doc, "term", "weight"), [doc, "term"])
         .select(query, doc, (F.col("qweight") * F.col("weight")).alias("share"))
     )
-    scored = (
-        alive.select(query, doc, F.col("partial").alias("share"))
-        .unionByName(rest)
-        .groupBy(query, doc)
-        .agg(F.round(F.sum("share"), RANK_DIGITS).alias("score"))
-        .where(F.col("score") > 0)
-    )
-    best = top_n(scored, [query], [F.desc("score"), F.asc(doc)], k)
-    return best.withColumn("score", F.round("score", SCORE_DIGITS))
+    shares = alive.select(query, doc, F.col("partial").alias("share")).unionByName(rest)
+    return best_documents(shares, query, doc, k)

@@ -141,3 +141,32 @@ def test_search_on_a_stored_index(spark, tmp_path, kind):
     got = search(asked_texts, Knowledge(entries, aliases, index), scorer="overlap").drop("decomposed")
     want = search(asked_texts, index_knowledge(entries, aliases, kind), scorer="overlap").drop("decomposed")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_terms_are_counted_inside_the_row_of_a_document(spark):
+    from spendlens.operators.lexical import document_terms
+
+    rows = table(spark, [(1, "b a b"), (2, ""), (3, None), (4, "c"), (4, "c d"), (None, "e"), (None, "e a"), (5, "a")])
+    found = document_terms(rows, "doc_id", F.split(F.nullif("text", F.lit("")), " "))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [
+        (1, "a", 1), (1, "b", 2), (4, "c", 2), (4, "d", 1), (5, "a", 1), (None, "a", 1), (None, "e", 2)]))
+    alone = document_terms(rows.where("doc_id <> 4"), "doc_id", F.split("text", " "))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_few_and_many_query_terms_answer_alike(spark, monkeypatch, few):
+    monkeypatch.setattr(lexical, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(lexical, "FEW_TERMS", few)
+    rng = random.Random(9)
+    rows = texts(rng, range(120))
+    queries = asked(spark, rng)
+    postings = bm25_index(table(spark, rows), "doc_id", "text")
+    want = {}
+    for r in postings.join(query_terms(queries), "term").collect():
+        want[r.query_id, r.doc_id] = want.get((r.query_id, r.doc_id), 0.0) + r.qweight * r.weight
+    best = []
+    for query in {q for q, _ in want}:
+        ranked = sorted((-round(s, 12), d) for (q, d), s in want.items() if q == query and s > 0)[:4]
+        best += [(query, d, round(-s, 6), i) for i, (s, d) in enumerate(ranked, 1)]
+    assert plain(sparse_top_k(query_terms(queries), postings, 4)) == sorted(best)
