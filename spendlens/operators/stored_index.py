@@ -18,14 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.rows import exploded
-from spendlens.functions.terms import index_words, words_and_pairs
+from spendlens.functions.terms import index_words, words_and_pairs, words_and_pairs_size
 from spendlens.operators.lexical import (
     BUCKET_ROWS,
     Postings,
     bm25_idf,
     bm25_share,
+    document_norms,
+    document_terms,
     sparse_top_k,
     tfidf_query_terms,
+    tfidf_weight,
     weight_bucket,
 )
 from spendlens.operators.ranking import top_n
@@ -34,6 +37,8 @@ from spendlens.session import cut_lineage
 HEAVY = 64  # postings of a term kept for the floor of a search's scores; terms with no more need no copy of theirs
 BIN_ROWS = 2_000_000  # postings a bin should hold
 MOST_BINS = 4096
+PIECE_ROWS = 1_000_000  # postings that a task of a write should hold
+SPLIT = 4  # pieces over which a level of one term is dealt
 LITERAL_TERMS = 512  # up to so many different terms are filters of the scan; more are a join
 MANIFEST = (
     "version long, segment long, documents long, texts long, tokens long, kind string, bins int, doc string,"
@@ -114,30 +119,39 @@ def _stored(index: StoredIndex, name: str) -> DataFrame:
 
 def _counted(docs: DataFrame, doc: str, text: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """(doc, length) and (doc, length, term, tf)."""
-    terms = index_words(F.col(text)) if kind == "bm25" else words_and_pairs(F.col(text))
+    terms, length = index_words(F.col(text)), F.size(index_words(F.col(text)))
+    if kind == "tfidf":
+        terms, length = words_and_pairs(F.col(text)), words_and_pairs_size(F.col(text))
     cut = docs.select(doc, terms.alias("tokens"))
     sized = cut.select(doc, F.size("tokens").alias("length"), "tokens")
-    counts = exploded(sized, [doc, "length"], "tokens", "term").groupBy(doc, "length", "term")
-    return sized.select(doc, "length"), counts.agg(F.count("*").alias("tf"))
+    return docs.select(doc, length.alias("length")), document_terms(sized, doc, F.col("tokens"), "length")
 
 
 def _write_segment(index: StoredIndex, segment: int, counts: DataFrame, lengths: DataFrame) -> StoredIndex:
-    """Postings, sizes, heaviest postings and ids of one batch. Ranges over (bin, term, level, id) split a common term
-    over tasks."""
+    """Postings, sizes, heaviest postings and ids of one batch.
+
+    A bin is dealt in pieces of about PIECE_ROWS, by term and level and, for the common terms, by id. The number of terms
+    is known by then, so the texts are not cut once more to find ranges. What follows from the other columns is worked
+    out behind the shuffle.
+    """
     root, doc = index.root, index.doc
     lengths.write.mode("overwrite").parquet(f"{root}/documents/segment={segment}")
     own = index._replace(segments=((segment, 0, 0, 0),))
     documents, texts, tokens = _stored(own, "documents").agg(F.count("*"), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
     share = bm25_share(F.col("tf"), F.col("length"), F.lit(_average(texts, tokens)))
-    rows = counts.withColumn("share", share).withColumn("bucket", weight_bucket(F.col("share")))
-    rows = rows.withColumn("bin", term_bin(F.col("term"), index.bins))
+    rows = counts.withColumn("bucket", weight_bucket(share)).withColumn("bin", term_bin(F.col("term"), index.bins))
+    pieces = tokens // (index.bins * PIECE_ROWS) + 1
     order = ["bin", "term", "bucket", doc]
 
     def write(df: DataFrame, name: str) -> None:
         writer = df.write.mode("overwrite").partitionBy("bin")
         writer.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{root}/{name}/segment={segment}")
 
-    write(rows.repartitionByRange(*order).sortWithinPartitions(*order), "postings")
+    level, part = F.pmod(F.xxhash64("term", "bucket"), F.lit(pieces)), F.pmod(F.xxhash64(doc), F.lit(SPLIT))
+    task = F.col("bin") * F.lit(pieces) + F.pmod(level + part, F.lit(pieces))
+    dealt = rows.repartitionById(index.bins * pieces, task.cast("int")).sortWithinPartitions(*order)
+    columns = [doc, "length", "term", "tf", "share", "bucket", "bin"]
+    write(dealt.withColumn("share", share).select(*columns), "postings")
     rows = _stored(own, "postings").drop("segment")
     sizes = rows.groupBy("bin", "term", "bucket").agg(F.count("*").alias("n"), F.max("share").alias("top_share"))
     write(sizes.repartitionByRange("bin", "term").sortWithinPartitions("bin", "term"), "sizes")
@@ -167,8 +181,8 @@ def build_index(
     before = open_index(spark, root)
     version = before.version + 1 if before else 1
     lengths, counts = _counted(docs, doc, text, kind)
-    counts = cut_lineage(counts)
     if bins is None:
+        counts = cut_lineage(counts)
         bins = max(8, min(MOST_BINS, counts.count() // BIN_ROWS + 1))
     index = StoredIndex(spark, root, version, kind, bins, doc, docs.schema[doc].dataType.simpleString(), ())
     return _finish(_write_segment(index, _new_number(before), counts, lengths))
@@ -184,7 +198,7 @@ def append_index(index: StoredIndex, docs: DataFrame, text: str) -> StoredIndex:
     fresh = docs.join(_stored(index, "documents").select(doc), doc, "left_anti")
     lengths, counts = _counted(fresh, doc, text, index.kind)
     grown = index._replace(version=index.version + 1)
-    return _finish(_write_segment(grown, _new_number(index), cut_lineage(counts), lengths))
+    return _finish(_write_segment(grown, _new_number(index), counts, lengths))
 
 
 def merge_segments(index: StoredIndex) -> StoredIndex:
@@ -198,17 +212,15 @@ def merge_segments(index: StoredIndex) -> StoredIndex:
 def _finish(index: StoredIndex) -> StoredIndex:
     """TF-IDF needs each document's norm, which every batch changes: one row per document and version."""
     if index.kind == "tfidf":
-        rows = _stored(index, "postings")
-        weighted = rows.join(_tfidf_terms(index, _stored(index, "sizes")), "term")
-        raw = F.col("tf") * F.col("idf")
-        norms = weighted.groupBy(index.doc).agg(F.sqrt(F.sum(raw * raw)).alias("norm"))
+        rows = _stored(index, "postings").select(index.doc, "term", "tf")
+        norms = document_norms(rows, index.doc, F.lit(index.documents))
         norms.write.mode("overwrite").parquet(f"{index.root}/norms/version={index.version}")
     return _publish(index)
 
 
 def _tfidf_terms(index: StoredIndex, sizes: DataFrame) -> DataFrame:
     hits = sizes.groupBy("term").agg(F.sum("n").alias("hits"))
-    return hits.select("term", (F.log((1.0 + F.lit(index.documents)) / (1.0 + F.col("hits"))) + 1.0).alias("idf"))
+    return hits.select("term", tfidf_weight(F.lit(index.documents), F.col("hits")).alias("idf"))
 
 
 def _pruned(index: StoredIndex, terms: DataFrame):

@@ -170,3 +170,16 @@ def test_few_and_many_query_terms_answer_alike(spark, monkeypatch, few):
         ranked = sorted((-round(s, 12), d) for (q, d), s in want.items() if q == query and s > 0)[:4]
         best += [(query, d, round(-s, 6), i) for i, (s, d) in enumerate(ranked, 1)]
     assert plain(sparse_top_k(query_terms(queries), postings, 4)) == sorted(best)
+
+
+@pytest.mark.parametrize("kind", ["tfidf", "bm25"])
+def test_a_segment_is_written_without_a_copy_of_its_postings(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(stored_index, "PIECE_ROWS", 30)
+    written, cut = [], stored_index.cut_lineage
+    monkeypatch.setattr(stored_index, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    index = build_index(table(spark, texts(random.Random(3), range(60))), "doc_id", "text", str(tmp_path / "index"), kind, bins=3)
+    append_index(index, table(spark, texts(random.Random(4), range(40, 90))), "text")
+    assert not [columns for columns in written if "tf" in columns]
+    rows = stored_index._stored(open_index(spark, str(tmp_path / "index")), "postings")
+    assert len(rows.inputFiles()) > 12  # a bin is written by several tasks
+    assert rows.select("doc_id", "term").distinct().count() == rows.count() > 0
