@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from checks import sql as q
 from checks.kb_queries import KB_CTES, PLACE_ALIAS
 from checks.registry import query
-from checks.views import judged, kb_entries, table, txn
+from checks.views import judged, kb_entries, table, true_label, txn
+from spendlens.functions.cleaning import with_clean
 from spendlens.operators import models as m
 from spendlens.operators import training as tr
 from spendlens.operators.dense import nearest
@@ -18,9 +19,11 @@ J = q.with_(q.TXN, q.CLEANED, q.JUDGED) + UNIQUE
 
 
 def unique(spark, sf):
-    """One row per raw text with its cleaned text and first label."""
-    rows = judged(spark, sf).where("label IS NOT NULL AND cleaned <> ''")
-    return rows.groupBy("raw").agg(F.any_value("cleaned").alias("cleaned"), F.min("label").alias("category"))
+    """One row per raw text with its cleaned text and first label. Rows of a text differ in the label alone, so a text is
+    cleaned once."""
+    labelled = txn(spark, sf).select("raw", true_label().alias("label")).where("label IS NOT NULL").distinct()
+    rows = with_clean(labelled.groupBy("raw").agg(F.min("label").alias("category")), "raw")
+    return rows.where("cleaned <> ''").select("raw", "cleaned", "category")
 
 
 @query("t1_stratified_split", J + """

@@ -61,7 +61,7 @@ def damped(grams: Column) -> Column:
             F.round(STEPS * (1.0 + F.log((F.coalesce(F.get(at, j + 1), n) - i).cast("double")))).cast("int"),
         )))))
 
-    repeated = F.flatten(F.transform(F.array(F.array_sort(grams)), weighted))
+    repeated = F.flatten(F.transform(F.array(F.sort_array(grams)), weighted))
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), grams).otherwise(repeated)
 
 
@@ -107,20 +107,29 @@ def train_text_model(
 ) -> LinearTextModel:
     """Fit on rows weighted so that every class counts the same.
 
-    Each step of the fit shuffles a gradient (classes x features) per partition, so the cached rows are read in no more
-    partitions than there are cores.
+    Equal rows (text and label) are cut into grams and hashed once and counted as often as they come. Each step of the
+    fit shuffles a gradient (classes x features) per partition, so the cached rows are read in no more partitions than
+    there are cores.
     """
-    rows = df.where(F.col(label).isin(*CATEGORIES)).select(
-        damped(GRAMS[kind](F.col(text))).alias("_grams"), F.col(label).alias("_label")
+    rows = (
+        df.where(F.col(label).isin(*CATEGORIES))
+        .groupBy(F.col(text).alias("_text"), F.col(label).alias("_label"))
+        .agg(F.count("*").alias("_times"))
+        .persist()
     )
-    sizes = rows.groupBy("_label").agg(F.count("*").alias("_n")).persist()
+    sizes = rows.groupBy("_label").agg(F.sum("_times").alias("_n")).persist()
     total = sizes.agg(F.sum("_n")).scalar()
     weights = sizes.select("_label", (total / (sizes.agg(F.count("*")).scalar() * F.col("_n"))).alias("_weight"))
-    weighted = rows.join(F.broadcast(weights), "_label").persist()
     indexer = StringIndexerModel.from_labels(CATEGORIES, "_label", "_index")
+    grams = indexer.transform(rows.join(F.broadcast(weights), "_label")).select(
+        damped(GRAMS[kind](F.col("_text"))).alias("_grams"), "_index", "_weight", "_times"
+    )
+    hashed = HashingTF(numFeatures=features, inputCol="_grams", outputCol="_tf")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    counts = hashed.transform(grams).drop("_grams").persist()
+    every = counts.coalesce(cores).select("_tf", "_index", "_weight", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
     pipeline = Pipeline(
         stages=[
-            HashingTF(numFeatures=features, inputCol="_grams", outputCol="_tf"),
             IDF(inputCol="_tf", outputCol="_tfidf"),
             Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit"),
             LogisticRegression(
@@ -136,11 +145,10 @@ def train_text_model(
             ),
         ]
     )
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    fitted = pipeline.fit(indexer.transform(weighted.coalesce(cores)))
-    weighted.unpersist()
-    sizes.unpersist()
-    return LinearTextModel(fitted, kind)
+    fitted = pipeline.fit(every)
+    for kept in (counts, sizes, rows):
+        kept.unpersist()
+    return LinearTextModel(PipelineModel([hashed, *fitted.stages]), kind)
 
 
 class ExternalTextModel:

@@ -133,3 +133,34 @@ def test_gates_and_texts(spark):
     assert row["text"] == (
         "COSTCO GAS. merchant identity: COSTCO. external metadata: warehouse retailer. descriptor context: gas station, fuel"
     )
+
+
+def test_equal_texts_are_cut_once_and_count_as_often_as_they_come(spark, monkeypatch):
+    from pyspark.ml.feature import HashingTF
+
+    from spendlens.operators.models import train_text_model
+
+    seen, transform = [], HashingTF.transform
+    monkeypatch.setattr(HashingTF, "transform", lambda self, df, params=None: seen.append(df.count()) or transform(self, df, params))
+    rows = [("BLUE CUP", "Income")] * 9 + [("RED CAR", "Transportation")] * 4 + [("RED CAR", "Income"), ("TIN", "unknown")]
+    model = train_text_model(spark.createDataFrame(rows, "cleaned string, category string"), features=200, iterations=5)
+    assert seen == [3]
+    assert model.pipeline.stages[1].numDocs == 14
+    assert model.pipeline.stages[-1].summary.predictions.count() == 14
+    found = model.score(spark.createDataFrame([("BLUE CUP",), ("RED CAR",)], "cleaned string"), "cleaned").collect()
+    assert [r.category for r in found] == ["Income", "Transportation"]
+
+
+def test_training_texts_are_cleaned_once_each(spark, tmp_path):
+    from checks.train_queries import unique
+
+    spark.createDataFrame([(1, "tin cup", "PROMO"), (2, "tin cup", "SMALL")], "p_partkey long, p_name string, p_type string").write.parquet(
+        str(tmp_path / "part.parquet"))
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string, l_shipdate date"
+    lines = [(o, n, p, 7, 1.0, "A", None) for o, n, p in [(3, 1, 1), (3, 2, 2), (15, 1, 1), (10, 1, 1), (11, 1, 2)]]
+    spark.createDataFrame(lines, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = unique(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [
+        ("SQ *TIN CUP NEPEAN ON", "TIN CUP", "Food & Dining"), ("TIN CUP WEB SERVICES", "TIN CUP WEB SERVICES", "Transportation")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Aggregate")
